@@ -1,0 +1,87 @@
+"""Attach a fitted table to rows by key, whatever the sizes and the skew."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.sizing import MAX_ROWS, settle
+
+HOT_SHARE = 1000
+SALTS = 64
+
+
+def attach(
+    df: DataFrame,
+    table: DataFrame,
+    on: Sequence[str],
+    defaults: Mapping[str, object] | None = None,
+    max_rows: int = MAX_ROWS,
+) -> DataFrame:
+    """Left join ``table`` (unique on ``on``); misses take ``defaults``.
+
+    A table measured to be small is broadcast. A larger one is shuffled with
+    the hot keys of ``df`` salted.
+    """
+    on = list(on)
+    small = settle(table, max_rows)
+    if small is not None:
+        joined = df.join(F.broadcast(small), on, "left")
+    elif df.isStreaming:
+        # A micro-batch is small, and its hot keys cannot be counted beforehand.
+        joined = df.join(table, on, "left")
+    else:
+        joined = _salted_left(df, table, on)
+    # The key columns lead after a join by name; keep the caller's order.
+    added = [c for c in table.columns if c not in on]
+    fill = dict(defaults or {})
+    return joined.select(
+        *df.columns,
+        *[F.coalesce(F.col(c), F.lit(fill[c])).alias(c) if c in fill else F.col(c) for c in added],
+    )
+
+
+def hot_keys(df: DataFrame, on: Sequence[str], share: int = HOT_SHARE) -> DataFrame:
+    """Keys holding more than 1/share of the rows: fewer than ``share`` of them."""
+    sizes = df.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    total = df.count()
+    found = sizes.where(F.col("n") * share > total).select(*on).toArrow()
+    return df.sparkSession.createDataFrame(found, schema=df.select(*on).schema)
+
+
+def row_salt(df: DataFrame, salts: int = SALTS) -> Column:
+    """A salt from the row and its input split: spreads equal rows, stable on retry."""
+    hashed = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return F.pmod(F.xxhash64(*hashed, F.spark_partition_id()), F.lit(salts)).cast("int")
+
+
+def _salted_left(df: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+    hot = hot_keys(df.dropna(subset=on), on).withColumn("__hot", F.lit(True))
+    no_key = ~_all_present(on)
+    # ``hot`` has fewer than HOT_SHARE rows by construction.
+    rows = df.withColumn("__own", row_salt(df)).join(F.broadcast(hot), on, "left")
+    rows = rows.withColumn(
+        "__salt", F.when(F.col("__hot") | no_key, F.col("__own")).otherwise(F.lit(0))
+    ).drop("__hot", "__own")
+    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    copies = table.join(F.broadcast(hot), on, "left").withColumn(
+        "__salt", F.explode(F.when(F.col("__hot"), every).otherwise(F.array(F.lit(0))))
+    )
+    return rows.join(copies.drop("__hot"), [*on, "__salt"], "left").drop("__salt")
+
+
+def _all_present(on: Sequence[str]) -> Column:
+    present = F.lit(True)
+    for c in on:
+        present = present & F.col(c).isNotNull()
+    return present
+
+
+def join_on_key(left: DataFrame, *others: DataFrame, key: str) -> DataFrame:
+    """Put columns of several tables side by side by their row key."""
+    for other in others:
+        left = left.join(other, key, "inner")
+    return left
