@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .base import QUERIES, SQL, Query
 
-_MODULES = ("profiling",)
+_MODULES = ("profiling", "features", "predictions", "history", "modelling")
 
 
 def _load() -> None:

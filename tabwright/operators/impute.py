@@ -66,10 +66,18 @@ def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def fit_imputation(train: DataFrame, columns: Sequence[str] | None = None) -> Imputation:
-    """Medians for numbers, the mode or a marker for strings; sparse columns go."""
+def fit_imputation(
+    train: DataFrame, columns: Sequence[str] | None = None, complete_too: bool = False
+) -> Imputation:
+    """Medians for numbers, the mode or a marker for strings; sparse columns go.
+
+    Columns without gaps in train get no value, unless ``complete_too`` asks for
+    one in case another table has gaps there.
+    """
     columns = list(columns or train.columns)
     shares = missing_shares(train, columns)
+    if complete_too:
+        shares = {c: shares.get(c, 0.0) for c in columns}
     fitted = Imputation(drop=[c for c, p in shares.items() if p > DROP_ABOVE_PCT])
     kept = [c for c in shares if c not in fitted.drop]
     numbers = [c for c in numeric_columns(train) if c in kept]

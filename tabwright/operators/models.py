@@ -124,9 +124,11 @@ def default_learners(task: str) -> dict[str, Learner]:
     return {a: Learner(a) for a in DEFAULTS[task]}
 
 
-def boosted_variants(name: str) -> dict[str, Learner]:
-    """The three parameter variants tried for a winning boosted model."""
-    return {f"{name}_v{i}": Learner(name, v) for i, v in enumerate(BOOSTED_VARIANTS, 1)}
+def boosted_variants(
+    name: str, variants: Sequence[Mapping[str, object]] = BOOSTED_VARIANTS
+) -> dict[str, Learner]:
+    """The parameter variants tried for a winning boosted model."""
+    return {f"{name}_v{i}": Learner(name, v) for i, v in enumerate(variants, 1)}
 
 
 def _check_binary(table: DataFrame, task: str) -> None:
