@@ -6,9 +6,10 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from ..functions import lookup
 from ..functions.columns import align_to, drop_strings, split_target
 from ..functions.scalar import date_cycles, date_parts
-from ..operators import encode, groups, impute, lookup, numeric, select
+from ..operators import encode, groups, impute, numeric, select
 from .base import (
     GAPS_SQL,
     LABELLED_SQL,

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import lookup
 from ..functions.columns import nan_to_null
 from ..operators import experiments as ex
-from ..operators import lookup, profile
+from ..operators import profile
 from ..session import new_shared_path
 from ..sources import tables
 from ..sources.experiment_store import ExperimentStore

@@ -6,6 +6,7 @@ from itertools import product
 
 from pyspark.sql import functions as F
 
+from ..functions.moments import correlation
 from ..operators import blend, folds, metrics, quality, submission, trials
 from .base import (
     MODELS,
@@ -153,7 +154,7 @@ def _importances(spark, sf_dir):
         F.struct(
             F.lit(m).alias("model"),
             F.lit(f).alias("feature"),
-            F.abs(F.corr(m, F.col(f).cast("double"))).alias("importance"),
+            F.abs(correlation(m, f)).alias("importance"),
         ).alias(f"{m}_{f}")
         for m, f in product(MODELS, _FEATURES)
     ]

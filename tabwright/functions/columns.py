@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FLOATING = (T.FloatType, T.DoubleType)
+DIGEST_LENGTH = 64
 
 
 def numeric_columns(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]:
@@ -90,23 +91,31 @@ def _plain(columns: Sequence[str], by: Sequence[str]) -> list[str]:
     return [c for c in columns if c not in by]
 
 
-def any_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Unpivot columns of any type to ``(column, as_long, as_double, as_text)``.
+def typed_long(df: DataFrame, columns: Sequence[str]) -> list[DataFrame]:
+    """Unpivot columns of any type to ``(column, value)``, one table per type class.
 
-    Each value keeps its own type class, so that counting distinct values
-    neither rounds large integers nor prints doubles.
+    Counting distinct values then neither rounds large integers nor prints
+    doubles. A long text is replaced by its 256-bit digest, so that whole documents
+    need not be shuffled.
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
-
-    def entry(c: str) -> Column:
-        is_long = isinstance(kinds[c], _INTEGRAL)
-        is_double = isinstance(kinds[c], _FLOATING)
-        null = F.lit(None)
-        return F.struct(
-            F.lit(c).alias("column"),
-            (F.col(c) if is_long else null).cast("bigint").alias("as_long"),
-            (F.col(c) if is_double else null).cast("double").alias("as_double"),
-            (null if is_long or is_double else F.col(c)).cast("string").alias("as_text"),
-        )
-
-    return df.select(F.inline(F.array(*[entry(c) for c in columns])))
+    longs = [c for c in columns if isinstance(kinds[c], _INTEGRAL)]
+    doubles = [c for c in columns if isinstance(kinds[c], _FLOATING)]
+    others = [c for c in columns if c not in longs and c not in doubles]
+
+    def text(c: str) -> Column:
+        plain = F.col(c).cast("string")
+        # A digest is longer than any text left as it is.
+        return F.when(F.length(plain) < DIGEST_LENGTH, plain).otherwise(F.sha2(plain, 256))
+
+    def unpivoted(names: list[str], value: Callable[[str], Column]) -> DataFrame:
+        return df.select(*[value(c).alias(c) for c in names]).unpivot([], names, "column", "value")
+
+    made = []
+    if longs:
+        made.append(unpivoted(longs, lambda c: F.col(c).cast("bigint")))
+    if doubles:
+        made.append(unpivoted(doubles, lambda c: F.col(c).cast("double")))
+    if others:
+        made.append(unpivoted(others, text))
+    return made

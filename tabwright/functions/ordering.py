@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .sizing import broadcast_if_small
 
 IN_ONE_TASK = 5_000_000
+MAX_RANGES = 20_000
 _SHARDS = 64
 _PROBES = 1000
 
@@ -48,8 +49,9 @@ def with_range(df: DataFrame, column: str, edges: Sequence[float], name: str) ->
     return cutter.transform(df.withColumn(double, F.col(column).cast("double"))).drop(double)
 
 
-def _ranges_for(rows: int, in_one_task: int) -> int:
-    return max(2, min(5000, 2 * (rows // in_one_task + 1)))
+def ranges_for(rows: int, in_one_task: int) -> int:
+    """Twice as many ranges as tasks are needed, as the cuts are approximate."""
+    return max(2, min(MAX_RANGES, 2 * (rows // in_one_task + 1)))
 
 
 def running_total(
@@ -71,10 +73,10 @@ def running_total(
     if rows <= in_one_task:
         w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(before, -1)
         return df.withColumn(name, F.coalesce(F.sum(amount).over(w), F.lit(0)))
-    edges = range_edges(df, order[0], _ranges_for(rows, in_one_task))
+    edges = range_edges(df, order[0], ranges_for(rows, in_one_task))
     cut = with_range(df, order[0], edges, "__range")
     keys = [*partition, "__range"]
-    # One row per partition value and range, at most 5,000 per window here.
+    # One row per partition value and range, at most MAX_RANGES per window here.
     w = Window.partitionBy(*partition).orderBy("__range").rowsBetween(before, -1)
     starts = (
         cut.groupBy(*keys)

@@ -1,10 +1,15 @@
 """Exact quantiles that hold at any size.
 
 ``percentile`` keeps every distinct value of a group in one task, so it serves
-only groups whose row count has been checked. Larger groups are narrowed: count
-the values per equal-width bin inside the bracket that holds a rank, keep the
-bin with that rank, and repeat until the bracket is one value. Each round is a
-column-pruned scan with a partial aggregation; only bin counts are shuffled.
+only groups whose row count has been checked.
+
+A whole column beyond that is narrowed: count the values per equal-width bin
+inside the bracket that holds a rank, keep the bin with that rank, and repeat
+until the bracket is one value. Each round is a column-pruned scan with a
+partial aggregation; only bin counts are shuffled.
+
+Large groups are ranked: equal values are counted first, then numbered range by
+range, so that no task holds a group.
 """
 
 from __future__ import annotations
@@ -12,38 +17,46 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .columns import numeric_long, per_column
+from .lookup import attach, prepare
+from .ordering import IN_ONE_TASK, running_total
 
-IN_ONE_TASK = 5_000_000
 BINS = 4096
+IN_ONE_GROUP = 100_000
 
 
 def quantiles(
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], in_one_task: int = IN_ONE_TASK
+) -> DataFrame:
+    """``(column, q array<double>)`` with linear interpolation, NULLs skipped."""
+    if df.count() <= in_one_task:
+        return per_column(df, columns, lambda c: {"q": _percentile(c, probs)})
+    return narrowed(df, columns, probs)
+
+
+def group_quantiles(
     df: DataFrame,
+    by: str,
     columns: Sequence[str],
     probs: Sequence[float],
-    by: Sequence[str] = (),
+    in_one_group: int = IN_ONE_GROUP,
     in_one_task: int = IN_ONE_TASK,
 ) -> DataFrame:
-    """``(by..., column, q array<double>)`` with linear interpolation, NULLs skipped."""
-    by = list(by)
-    if not by:
-        if df.count() <= in_one_task:
-            return per_column(df, columns, lambda c: {"q": _percentile(c, probs)})
-        return narrowed(df, columns, probs)
-    # At most count / in_one_task groups can be larger than in_one_task.
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.where(F.col("n") > in_one_task).drop("n").dropna().toArrow()
-    if large.num_rows == 0:
-        return _grouped(df, columns, probs, by)
-    large = F.broadcast(df.sparkSession.createDataFrame(large))
-    rest = df.join(large, by, "left_anti")
-    return _grouped(rest, columns, probs, by).unionByName(
-        narrowed(df.join(large, by, "left_semi"), columns, probs, by)
+    """``(by, column, q array<double>)`` per non-null group."""
+    known = df.where(F.col(by).isNotNull())
+    sizes = known.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.agg(F.max("n").alias("n")).first()["n"] or 0
+    if largest <= in_one_group:
+        return _grouped(known, by, columns, probs)
+    large = sizes.where(F.col("n") > in_one_group).select(by, F.lit(True).alias("__large"))
+    marked = attach(known, prepare(large), [by], {"__large": False})
+    small_rows = marked.where(~F.col("__large")).drop("__large")
+    large_rows = marked.where("__large").drop("__large")
+    return _grouped(small_rows, by, columns, probs).unionByName(
+        _ranked(large_rows, by, columns, probs, in_one_task)
     )
 
 
@@ -53,7 +66,7 @@ def quantile_values(
     """Fitted quantiles as literals: one short list per column."""
     if not columns:
         return {}
-    rows = quantiles(df, columns, probs, in_one_task=in_one_task).collect()
+    rows = quantiles(df, columns, probs, in_one_task).collect()
     found = {r["column"]: r["q"] for r in rows}
     return {c: found.get(c) for c in columns}
 
@@ -62,73 +75,89 @@ def _percentile(c: str, probs: Sequence[float]):
     return F.percentile(F.col(c).cast("double"), [float(p) for p in probs])
 
 
-def _grouped(df: DataFrame, columns: Sequence[str], probs, by: list[str]) -> DataFrame:
-    wide = df.groupBy(*by).agg(
+def _grouped(df: DataFrame, by: str, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    wide = df.groupBy(by).agg(
         *[
             F.struct(F.lit(c).alias("column"), _percentile(c, probs).alias("q")).alias(f"s{i}")
             for i, c in enumerate(columns)
         ]
     )
-    entries = F.array(*[F.col(f"s{i}") for i in range(len(columns))])
-    return wide.select(*by, F.inline(entries))
+    return wide.select(by, F.inline(F.array(*[F.col(f"s{i}") for i in range(len(columns))])))
+
+
+def _ranked(
+    df: DataFrame, by: str, columns: Sequence[str], probs: Sequence[float], in_one_task: int
+) -> DataFrame:
+    series = [by, "column"]
+    long = numeric_long(df, columns, [by]).where(F.col("value").isNotNull())
+    counted = long.groupBy(*series, "value").agg(F.count(F.lit(1)).alias("n"))
+    numbered = running_total(
+        counted, series, ["value"], F.col("n"), "before", in_one_task=in_one_task
+    )
+    totals = counted.groupBy(*series).agg(F.sum("n").alias("total"))
+    ranks = F.array(
+        *[
+            F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("total") - 1)).alias("at"))
+            for i, p in enumerate(probs)
+        ]
+    )
+    placed = attach(numbered, prepare(totals), series).withColumn("r", F.explode(ranks))
+    upto = F.col("before") + F.col("n")
+    low, high = F.floor("r.at"), F.ceil("r.at")
+    kept = placed.where((high >= F.col("before")) & (low < upto))
+    has_low = (low >= F.col("before")) & (low < upto)
+    has_high = (high >= F.col("before")) & (high < upto)
+    ends = kept.groupBy(*series, F.col("r.i").alias("i"), F.col("r.at").alias("at")).agg(
+        F.max(F.when(has_low, F.col("value"))).alias("left"),
+        F.max(F.when(has_high, F.col("value"))).alias("right"),
+    )
+    value = F.col("left") + (F.col("at") - F.floor("at")) * (F.col("right") - F.col("left"))
+    # As many rows per group as there are probabilities.
+    inside = F.sort_array(F.collect_list(F.struct("i", value.alias("v"))))
+    return ends.groupBy(*series).agg(F.transform(inside, lambda e: e["v"]).alias("q"))
 
 
 def narrowed(
-    df: DataFrame,
-    columns: Sequence[str],
-    probs: Sequence[float],
-    by: Sequence[str] = (),
-    bins: int = BINS,
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], bins: int = BINS
 ) -> DataFrame:
-    """Quantiles by bracket narrowing; the series count (groups x columns) must be small."""
+    """Whole-column quantiles by bracket narrowing."""
     spark = df.sparkSession
-    by = list(by)
-    series = [*by, "column"]
-    long = numeric_long(df, columns, by).where(F.col("value").isNotNull())
-    ends = (
-        long.groupBy(*series)
-        .agg(F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-        .collect()
-    )
+    long = numeric_long(df, columns).where(F.col("value").isNotNull())
+
+    def end(c: str) -> dict[str, Column]:
+        x = F.col(c).cast("double")
+        return {"n": F.count(x), "lo": F.min(x), "hi": F.max(x)}
 
-    exact: dict[tuple, float] = {}
-    pending: dict[tuple, tuple[float, float, int]] = {}
+    ends = per_column(df, columns, end).where(F.col("n") > 0).collect()
+    exact: dict[tuple[str, int], float] = {}
+    pending: dict[tuple[str, int], tuple[float, float, int]] = {}
     for r in ends:
-        sid = tuple(r[s] for s in series)
         for p in probs:
             at = p * (r["n"] - 1)
             for rank in {math.floor(at), math.ceil(at)}:
-                pending[(sid, rank)] = (r["lo"], r["hi"], 0)
-
-    by_fields = [df.schema[b] for b in by]
-    bracket_schema = T.StructType(
-        [
-            *[T.StructField(f.name, f.dataType) for f in by_fields],
-            T.StructField("column", T.StringType()),
-            T.StructField("lo", T.DoubleType()),
-            T.StructField("hi", T.DoubleType()),
-            T.StructField("below", T.LongType()),
-            T.StructField("ranks", T.ArrayType(T.LongType())),
-        ]
-    )
+                pending[(r["column"], rank)] = (r["lo"], r["hi"], 0)
+
+    bracket = ["column", "lo", "hi", "below", "ranks"]
     while True:
         for key in [k for k, (lo, hi, _) in pending.items() if lo == hi]:
             exact[key] = pending.pop(key)[0]
         if not pending:
             break
         shared: dict[tuple, list[int]] = {}
-        for (sid, rank), bracket in pending.items():
-            shared.setdefault((sid, bracket), []).append(rank)
-        rows = [(*sid, lo, hi, below, ranks) for (sid, (lo, hi, below)), ranks in shared.items()]
-        brackets = F.broadcast(spark.createDataFrame(rows, bracket_schema))
+        for (column, rank), span in pending.items():
+            shared.setdefault((column, *span), []).append(rank)
+        # At most two ranks per column and probability.
+        brackets = spark.createDataFrame(
+            [(*k, ranks) for k, ranks in shared.items()],
+            "column string, lo double, hi double, below bigint, ranks array<bigint>",
+        )
         # Halves keep hi - lo finite for the whole double range.
         share = (F.col("value") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
-        inside = [*series, "lo", "hi", "below", "ranks"]
         counted = (
-            long.join(brackets, series)
+            long.join(F.broadcast(brackets), "column")
             .where(F.col("value").between(F.col("lo"), F.col("hi")))
             .withColumn("bin", F.least(F.floor(share * bins), F.lit(bins - 1)))
-            .groupBy(*inside, "bin")
+            .groupBy(*bracket, "bin")
             .agg(
                 F.count(F.lit(1)).alias("n"),
                 F.min("value").alias("bin_lo"),
@@ -136,33 +165,25 @@ def narrowed(
             )
         )
         # At most ``bins`` rows per bracket reach this window.
-        order = Window.partitionBy(*inside).orderBy("bin")
+        order = Window.partitionBy(*bracket).orderBy("bin")
         upto = F.col("below") + F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
         found = (
             counted.withColumn("upto", upto)
             .withColumn("rank", F.explode("ranks"))
             .where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
-            .select(*series, "rank", "bin_lo", "bin_hi", (F.col("upto") - F.col("n")).alias("before"))
+            .select("column", "rank", "bin_lo", "bin_hi", (F.col("upto") - F.col("n")).alias("before"))
             .collect()
         )
         for r in found:
-            sid = tuple(r[s] for s in series)
-            pending[(sid, r["rank"])] = (r["bin_lo"], r["bin_hi"], r["before"])
+            pending[(r["column"], r["rank"])] = (r["bin_lo"], r["bin_hi"], r["before"])
 
     out = []
     for r in ends:
-        sid = tuple(r[s] for s in series)
         q = []
         for p in probs:
             at = p * (r["n"] - 1)
-            left, right = exact[(sid, math.floor(at))], exact[(sid, math.ceil(at))]
+            left = exact[(r["column"], math.floor(at))]
+            right = exact[(r["column"], math.ceil(at))]
             q.append(left + (at - math.floor(at)) * (right - left))
-        out.append((*sid, q))
-    schema = T.StructType(
-        [
-            *[T.StructField(f.name, f.dataType) for f in by_fields],
-            T.StructField("column", T.StringType()),
-            T.StructField("q", T.ArrayType(T.DoubleType())),
-        ]
-    )
-    return spark.createDataFrame(out, schema)
+        out.append((r["column"], q))
+    return spark.createDataFrame(out, "column string, q array<double>")

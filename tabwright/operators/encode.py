@@ -9,9 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import per_column
-from ..functions.sizing import MAX_ROWS, settle
-from ..session import cut_lineage
-from .lookup import attach
+from ..functions.lookup import Lookup, attach, prepare
+from ..functions.sizing import MAX_ROWS
 from .profile import distinct_counts, value_counts
 
 # Which encoding a number of distinct values gets.
@@ -20,42 +19,37 @@ ONE_HOT_MAX_VALUES = 10
 UNSEEN_LABEL = -1
 
 
-def settled_counts(train: DataFrame, columns: Sequence[str]) -> dict[str, DataFrame]:
-    """One ``(value, n)`` table per column from a single pass over train.
-
-    Small tables become literals; larger ones are written once to the shared
-    folder, so that attaching several columns does not count again.
-    """
-    counted = value_counts(train, columns)
-    whole = settle(counted)
-    table = cut_lineage(counted) if whole is None else whole
-    return {c: table.where(F.col("column") == c).select("value", "n") for c in columns}
+def prepared_counts(
+    train: DataFrame, columns: Sequence[str], max_rows: int = MAX_ROWS
+) -> dict[str, Lookup]:
+    """One ``(value, n)`` table per column from a single pass over train."""
+    every = prepare(value_counts(train, columns), max_rows)
+    return {
+        c: Lookup(every.table.where(F.col("column") == c).select("value", "n"), every.small)
+        for c in columns
+    }
 
 
-def _attach_value(
-    df: DataFrame, column: str, table: DataFrame, name: str, default: object, max_rows: int
-) -> DataFrame:
-    """Attach ``table(value, name)`` by the string value of ``column``."""
+def _attach_value(df: DataFrame, column: str, lookup: Lookup, name: str, default: object) -> DataFrame:
+    """Attach ``lookup(value, name)`` by the string value of ``column``."""
     key = f"__{column}_value"
     keyed = df.withColumn(key, F.col(column).cast("string"))
-    found = attach(keyed, table.withColumnRenamed("value", key), [key], {name: default}, max_rows)
-    return found.drop(key)
+    table = Lookup(lookup.table.withColumnRenamed("value", key), lookup.small)
+    return attach(keyed, table, [key], {name: default}).drop(key)
 
 
 @dataclass
 class CountEncoding:
     """``{c}_count`` (or ``{c}_freq``, the share of non-null rows); unseen values get 0."""
 
-    tables: dict[str, DataFrame]
+    tables: dict[str, Lookup]
     suffix: str
     drop_source: bool
-    max_rows: int = MAX_ROWS
 
     def transform(self, df: DataFrame) -> DataFrame:
-        for c, table in self.tables.items():
-            name = f"{c}_{self.suffix}"
-            default = 0.0 if self.suffix == "freq" else 0
-            df = _attach_value(df, c, table, name, default, self.max_rows)
+        default = 0.0 if self.suffix == "freq" else 0
+        for c, lookup in self.tables.items():
+            df = _attach_value(df, c, lookup, f"{c}_{self.suffix}", default)
         return df.drop(*self.tables) if self.drop_source else df
 
 
@@ -63,10 +57,10 @@ def fit_count_encoding(
     train: DataFrame, columns: Sequence[str], drop_source: bool = True, max_rows: int = MAX_ROWS
 ) -> CountEncoding:
     tables = {
-        c: t.select("value", F.col("n").alias(f"{c}_count"))
-        for c, t in settled_counts(train, columns).items()
+        c: Lookup(t.table.select("value", F.col("n").alias(f"{c}_count")), t.small)
+        for c, t in prepared_counts(train, columns, max_rows).items()
     }
-    return CountEncoding(tables, "count", drop_source, max_rows)
+    return CountEncoding(tables, "count", drop_source)
 
 
 def fit_frequency_encoding(
@@ -77,10 +71,12 @@ def fit_frequency_encoding(
         for r in per_column(train, columns, lambda c: {"n": F.count(c)}).collect()
     }
     tables = {
-        c: t.select("value", (F.col("n") / F.lit(present[c] or 1)).alias(f"{c}_freq"))
-        for c, t in settled_counts(train, columns).items()
+        c: Lookup(
+            t.table.select("value", (F.col("n") / F.lit(present[c] or 1)).alias(f"{c}_freq")), t.small
+        )
+        for c, t in prepared_counts(train, columns, max_rows).items()
     }
-    return CountEncoding(tables, "freq", drop_source=False, max_rows=max_rows)
+    return CountEncoding(tables, "freq", drop_source=False)
 
 
 def few_categories(train: DataFrame, columns: Sequence[str], at_most: int) -> dict[str, list[str]]:
@@ -156,22 +152,19 @@ def fit_one_hot(
 class TargetEncoding:
     """Out-of-fold target means for train, full-train means for other tables."""
 
-    by_fold: dict[str, DataFrame]
-    by_value: dict[str, DataFrame]
+    by_fold: dict[str, Lookup]
+    by_value: dict[str, Lookup]
     fold: str
     overall: float
-    max_rows: int = MAX_ROWS
 
     def transform_train(self, train: DataFrame) -> DataFrame:
-        for c, table in self.by_fold.items():
-            train = attach(
-                train, table, [c, self.fold], {f"{c}_target_enc": self.overall}, self.max_rows
-            )
+        for c, lookup in self.by_fold.items():
+            train = attach(train, lookup, [c, self.fold], {f"{c}_target_enc": self.overall})
         return train
 
     def transform(self, df: DataFrame) -> DataFrame:
-        for c, table in self.by_value.items():
-            df = attach(df, table, [c], {f"{c}_target_enc": self.overall}, self.max_rows)
+        for c, lookup in self.by_value.items():
+            df = attach(df, lookup, [c], {f"{c}_target_enc": self.overall})
         return df
 
 
@@ -192,24 +185,21 @@ def fit_target_encoding(
     by_fold, by_value = {}, {}
     for c in columns:
         name = f"{c}_target_enc"
-        sums = (
+        sums = prepare(
             train.where(F.col(c).isNotNull())
             .groupBy(c, fold)
-            .agg(F.sum(y).alias("s"), F.count(y).alias("n"))
+            .agg(F.sum(y).alias("s"), F.count(y).alias("n")),
+            max_rows,
         )
-        kept = settle(sums, max_rows)
-        sums = cut_lineage(sums) if kept is None else kept
         whole = Window.partitionBy(c)
         rest_n = F.sum("n").over(whole) - F.col("n")
         rest_s = F.sum("s").over(whole) - F.coalesce(F.col("s"), F.lit(0.0))
-        by_fold[c] = sums.select(
-            c, fold, F.when(rest_n > 0, rest_s / F.nullif(rest_n, F.lit(0))).alias(name)
-        )
+        mean = F.when(rest_n > 0, rest_s / F.nullif(rest_n, F.lit(0)))
+        by_fold[c] = Lookup(sums.table.select(c, fold, mean.alias(name)), sums.small)
         total_n = F.sum("n")
-        by_value[c] = sums.groupBy(c).agg(
-            F.when(total_n > 0, F.sum("s") / F.nullif(total_n, F.lit(0))).alias(name)
-        )
-    return TargetEncoding(by_fold, by_value, fold, overall, max_rows)
+        mean = F.when(total_n > 0, F.sum("s") / F.nullif(total_n, F.lit(0)))
+        by_value[c] = Lookup(sums.table.groupBy(c).agg(mean.alias(name)), sums.small)
+    return TargetEncoding(by_fold, by_value, fold, overall)
 
 
 @dataclass

@@ -8,11 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import IN_ONE_TASK, range_edges, with_range
-from ..functions.quantiles import quantiles
-from ..functions.sizing import MAX_ROWS, settle
-from ..session import cut_lineage
-from .lookup import attach
+from ..functions.lookup import Lookup, attach, prepare
+from ..functions.ordering import IN_ONE_TASK, range_edges, ranges_for, with_range
+from ..functions.quantiles import IN_ONE_GROUP, group_quantiles
+from ..functions.sizing import MAX_ROWS
 
 SIMPLE_STATS = ("mean", "std", "max", "min")
 ALL_STATS = (*SIMPLE_STATS, "median")
@@ -33,7 +32,7 @@ def group_table(
     group: str,
     columns: Sequence[str],
     stats: Sequence[str] = ALL_STATS,
-    in_one_task: int = IN_ONE_TASK,
+    in_one_group: int = IN_ONE_GROUP,
 ) -> DataFrame:
     """One row per group: ``{c}_{stat}_by_{group}`` for every column in one aggregation."""
     known = df.where(F.col(group).isNotNull())
@@ -42,28 +41,31 @@ def group_table(
     if "median" not in stats:
         return known.groupBy(group).agg(*named)
     # A median keeps a group's values together: only for groups of checked size.
-    largest = known.groupBy(group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest <= in_one_task:
+    sizes = known.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.agg(F.max("n").alias("n")).first()["n"] or 0
+    if largest <= in_one_group:
         middle = [F.median(F.col(c).cast("double")).alias(f"{c}_median_by_{group}") for c in columns]
         return known.groupBy(group).agg(*named, *middle)
     medians = (
-        quantiles(known, columns, [0.5], by=[group], in_one_task=in_one_task)
+        group_quantiles(known, group, columns, [0.5], in_one_group)
         .groupBy(group)
-        .pivot("column", list(columns))
-        .agg(F.first(F.col("q")[0]))
-        .select(group, *[F.col(c).alias(f"{c}_median_by_{group}") for c in columns])
+        .agg(
+            *[
+                F.max(F.when(F.col("column") == c, F.col("q")[0])).alias(f"{c}_median_by_{group}")
+                for c in columns
+            ]
+        )
     )
     return known.groupBy(group).agg(*named).join(medians, group, "left")
 
 
 @dataclass
 class GroupStatistics:
-    tables: dict[str, DataFrame]
-    max_rows: int = MAX_ROWS
+    tables: dict[str, Lookup]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        for group, table in self.tables.items():
-            df = attach(df, table, [group], max_rows=self.max_rows)
+        for group, lookup in self.tables.items():
+            df = attach(df, lookup, [group])
         return df
 
 
@@ -74,12 +76,9 @@ def fit_group_statistics(
     stats: Sequence[str] = ALL_STATS,
     max_rows: int = MAX_ROWS,
 ) -> GroupStatistics:
-    tables = {}
-    for g in groups:
-        table = group_table(train, g, [c for c in columns if c != g], stats)
-        small = settle(table, max_rows)
-        tables[g] = cut_lineage(table) if small is None else small
-    return GroupStatistics(tables, max_rows)
+    return GroupStatistics(
+        {g: prepare(group_table(train, g, [c for c in columns if c != g], stats), max_rows) for g in groups}
+    )
 
 
 def group_transform(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
@@ -131,7 +130,7 @@ def lag_features(
     hot = F.broadcast(df.sparkSession.createDataFrame(large))
     is_hot = F.col(group).eqNullSafe(F.col("__large"))
     ordered = df.withColumn("__at", _as_number(df, order[0]))
-    edges = range_edges(ordered, "__at", max(2, min(5000, 2 * (total // in_one_task + 1))))
+    edges = range_edges(ordered, "__at", ranges_for(total, in_one_task))
     marked = with_range(ordered, "__at", edges, "__range").drop("__at")
     # NULL groups get no lags, so nothing needs them together.
     hot_rows = marked.join(hot, is_hot, "left_semi")

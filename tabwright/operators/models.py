@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
@@ -13,7 +13,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .folds import FOLDS, SEED, fold_by_hash
@@ -116,10 +116,19 @@ class Learner:
     params: Mapping[str, object] = field(default_factory=dict)
 
     def fit(self, table: DataFrame, task: str) -> Fitted:
-        _check_binary(table, task)
         return Fitted(make_estimator(self.algorithm, task, table, self.params).fit(table), task)
 
 
+@dataclass(frozen=True)
+class CustomLearner:
+    """Any Spark estimator as a learner; it reads ``features`` and ``y``."""
+
+    estimator: Estimator
+
+    def fit(self, table: DataFrame, task: str) -> Fitted:
+        return Fitted(self.estimator.fit(table), task)
+
+
 def default_learners(task: str) -> dict[str, Learner]:
     return {a: Learner(a) for a in DEFAULTS[task]}
 
@@ -136,18 +145,20 @@ def _check_binary(table: DataFrame, task: str) -> None:
         raise ValueError("classification labels must be 0 and 1")
 
 
-def _together(jobs, parallelism: int) -> list:
+def _together(spark: SparkSession, jobs: Sequence[Callable], parallelism: int) -> list:
     """Run independent fits side by side, as Spark's own cross-validator does."""
+    wrap = inheritable_thread_target(spark)
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(j)) for j in jobs]]
+        return [f.result() for f in [pool.submit(wrap(j)) for j in jobs]]
 
 
 def fit_all(table: DataFrame, learners: Mapping[str, Learner], task: str, parallelism: int = 2) -> dict[str, Fitted]:
     """Every learner fitted on the whole table."""
     table = table.persist()
     try:
+        _check_binary(table, task)
         names = list(learners)
-        fits = _together([lambda n=n: learners[n].fit(table, task) for n in names], parallelism)
+        fits = _together(table.sparkSession, [lambda n=n: learners[n].fit(table, task) for n in names], parallelism)
         return dict(zip(names, fits, strict=True))
     finally:
         table.unpersist()
@@ -170,8 +181,10 @@ def oof_predictions(
     """
     table = table.persist()
     try:
+        _check_binary(table, task)
         work = [(k, n) for k in range(folds) for n in learners]
         fits = _together(
+            table.sparkSession,
             [lambda k=k, n=n: learners[n].fit(table.where(F.col("fold") != k), task) for k, n in work],
             parallelism,
         )

@@ -6,15 +6,21 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import any_long, numeric_columns, per_column, string_columns
-from ..functions.moments import excess_kurtosis, skew
-from ..functions.quantiles import IN_ONE_TASK, quantile_values, quantiles
+from ..functions.columns import numeric_columns, per_column, string_columns, typed_long
+from ..functions.moments import correlation, excess_kurtosis, skew
+from ..functions.ordering import IN_ONE_TASK
+from ..functions.quantiles import quantile_values, quantiles
 
 QUARTILES = (0.25, 0.5, 0.75)
-PAIRS_PER_PASS = 500
+
+# Wider aggregations than this fall out of whole-stage code generation.
+SUMS_PER_PASS = 80
+HOLED_PER_PASS = 9
 
 # The profile's thresholds.
 HIGH_MISSING_PCT = 50
@@ -74,7 +80,7 @@ def describe(
             },
         )
         return fused.select("*", *named).select(*order)
-    fences = quantiles(df, columns, QUARTILES, in_one_task=in_one_task).select("column", *named)
+    fences = quantiles(df, columns, QUARTILES, in_one_task).select("column", *named)
     # Both sides have one row per column.
     return per_column(df, columns, _summary).join(F.broadcast(fences), "column", "left").select(*order)
 
@@ -112,23 +118,75 @@ def class_imbalance(df: DataFrame, target: str) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``(feature1, feature2, corr)`` for every pair i < j, pairwise complete."""
-    pairs = list(combinations(columns or numeric_columns(df), 2))
-    batches = [pairs[i : i + PAIRS_PER_PASS] for i in range(0, len(pairs), PAIRS_PER_PASS)]
-    return reduce(DataFrame.unionByName, [_corr_batch(df, b) for b in batches])
+    """``(feature1, feature2, corr)`` for every pair i < j, pairwise complete.
+
+    A first pass finds means, gaps and constants. Pairs without gaps then need only
+    sums of centred products; pairs with gaps keep their own counts and means.
+    """
+    columns = list(columns or numeric_columns(df))
+    x = {c: F.col(c).cast("double") for c in columns}
+    facts = {
+        r["column"]: r
+        for r in per_column(
+            df,
+            columns,
+            lambda c: {
+                "gaps": F.count(F.lit(1)) - F.count(c),
+                "mean": F.avg(x[c]),
+                "flat": F.coalesce(F.min(x[c]) == F.max(x[c]), F.lit(True)),
+            },
+        ).collect()
+    }
+    pairs = list(combinations(columns, 2))
+    whole = [c for c in columns if not facts[c]["gaps"] and not facts[c]["flat"]]
+    full = [p for p in pairs if p[0] in whole and p[1] in whole]
+    flat = [p for p in pairs if facts[p[0]]["flat"] or facts[p[1]]["flat"]]
+    holed = [p for p in pairs if p not in set(full) and p not in set(flat)]
+
+    parts = []
+    if len(full) > SUMS_PER_PASS:
+        parts.append(_matrix_correlations(df, whole))
+    elif full:
+        parts.append(_centred_correlations(df, full, {c: facts[c]["mean"] for c in whole}))
+    for i in range(0, len(holed), HOLED_PER_PASS):
+        cells = [(a, b, correlation(a, b)) for a, b in holed[i : i + HOLED_PER_PASS]]
+        parts.append(_pair_rows(df, cells))
+    if flat:
+        rows = [(a, b, None) for a, b in flat]
+        parts.append(df.sparkSession.createDataFrame(rows, "feature1 string, feature2 string, corr double"))
+    return reduce(DataFrame.unionByName, parts)
 
 
-def _corr_batch(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    def cell(i: int, a: str, b: str) -> Column:
-        r = F.corr(F.col(a).cast("double"), F.col(b).cast("double"))
-        return F.struct(
-            F.lit(a).alias("feature1"),
-            F.lit(b).alias("feature2"),
-            F.when(~F.isnan(r), r).alias("corr"),
-        ).alias(f"p{i}")
+def _pair_rows(df: DataFrame, cells: Sequence[tuple[str, str, Column]]) -> DataFrame:
+    row = df.agg(
+        *[
+            F.struct(F.lit(a).alias("feature1"), F.lit(b).alias("feature2"), r.alias("corr")).alias(f"p{i}")
+            for i, (a, b, r) in enumerate(cells)
+        ]
+    )
+    return row.select(F.inline(F.array(*[F.col(f"p{i}") for i in range(len(cells))])))
+
+
+def _centred_correlations(
+    df: DataFrame, pairs: Sequence[tuple[str, str]], means: dict[str, float]
+) -> DataFrame:
+    centred = {c: F.col(c).cast("double") - F.lit(m) for c, m in means.items()}
+    spread = {c: F.sqrt(F.sum(d * d)) for c, d in centred.items()}
+    cells = [
+        (a, b, F.try_divide(F.sum(centred[a] * centred[b]), spread[a] * spread[b])) for a, b in pairs
+    ]
+    return _pair_rows(df, cells)
+
 
-    row = df.agg(*[cell(i, a, b) for i, (a, b) in enumerate(pairs)])
-    return row.select(F.inline(F.array(*[F.col(f"p{i}") for i in range(len(pairs))])))
+def _matrix_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Many columns: one distributed matrix product; the driver gets its result only."""
+    table = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    vectors = VectorAssembler(inputCols=table.columns, outputCol="features").transform(table)
+    matrix = Correlation.corr(vectors.select("features"), "features").first()[0].toArray()
+    rows = [
+        (columns[i], columns[j], float(matrix[i, j])) for i, j in combinations(range(len(columns)), 2)
+    ]
+    return df.sparkSession.createDataFrame(rows, "feature1 string, feature2 string, corr double")
 
 
 def high_correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -141,9 +199,8 @@ def target_correlations(
 ) -> DataFrame:
     """The ``k`` highest and ``k`` lowest correlations with the target."""
     features = [c for c in (columns or numeric_columns(df)) if c != target]
-    against = per_column(
-        df, features, lambda c: {"corr": F.corr(F.col(c).cast("double"), F.col(target).cast("double"))}
-    ).where(F.col("corr").isNotNull() & ~F.isnan("corr"))
+    against = per_column(df, features, lambda c: {"corr": correlation(c, target)})
+    against = against.where(F.col("corr").isNotNull())
     # One row per column: an unpartitioned window is harmless here.
     high = F.row_number().over(Window.orderBy(F.desc("corr"), "column"))
     low = F.row_number().over(Window.orderBy("corr", F.desc("column")))
@@ -204,23 +261,18 @@ def distinct_counts(
 ) -> DataFrame:
     """``(column, n_unique)``, NULLs not counted.
 
-    The exact count is one two-step aggregation over all columns together
+    The exact count is a two-step aggregation over all columns of a type together
     instead of one expansion per distinct aggregate.
     """
     columns = list(columns or df.columns)
     if approximate:
         return per_column(df, columns, lambda c: {"n_unique": F.approx_count_distinct(c)})
-    kept = any_long(df, columns)
-    present = F.coalesce(
-        kept["as_long"].isNotNull() | kept["as_double"].isNotNull() | kept["as_text"].isNotNull(),
-        F.lit(False),
-    )
-    return (
-        kept.groupBy("column", "as_long", "as_double", "as_text")
-        .agg(F.first(present).alias("present"))
-        .groupBy("column")
-        .agg(F.count_if("present").alias("n_unique"))
-    )
+    return reduce(DataFrame.unionByName, [_distinct_of(part) for part in typed_long(df, columns)])
+
+
+def _distinct_of(long: DataFrame) -> DataFrame:
+    groups = long.groupBy("column", "value").agg(F.lit(1).alias("one"))
+    return groups.groupBy("column").agg(F.count_if(F.col("value").isNotNull()).alias("n_unique"))
 
 
 def categorical_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -258,7 +310,8 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 3
         if lo == hi:  # a single value sits in the middle of a unit-wide range
             lo, hi = lo - 0.5, hi + 0.5
         at = F.floor((F.col(c).cast("double") - lo) / (hi - lo) * bins)
-        return F.least(at, F.lit(bins - 1)).cast("bigint")
+        # ``least`` skips NULL, which belongs to no bin.
+        return F.when(F.col(c).isNotNull(), F.least(at, F.lit(bins - 1))).cast("bigint")
 
     binned = df.select(*[bin_of(c).alias(c) for c in columns]).unpivot([], columns, "column", "bin")
     return (

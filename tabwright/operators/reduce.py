@@ -56,11 +56,8 @@ def fit_clusters(
     columns = list(columns)
     if len(columns) < 2:
         return ClusterFeatures(columns, [])
-    data = _vectors(train, [_filled(c) for c in columns]).persist()
-    try:
-        model = KMeans(k=k, seed=seed).fit(data)
-    finally:
-        data.unpersist()
+    # The fit keeps its own compact copy of the vectors while it iterates.
+    model = KMeans(k=k, seed=seed).fit(_vectors(train, [_filled(c) for c in columns]))
     return ClusterFeatures(columns, [list(map(float, v)) for v in model.clusterCenters()])
 
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import per_column
-from ..functions.ordering import IN_ONE_TASK, range_edges, with_range
+from ..functions.moments import correlation
+from ..functions.ordering import IN_ONE_TASK, range_edges, ranges_for, with_range
 from ..functions.sizing import broadcast_if_small
-from pyspark.sql import Window
 
 
 def running_best(
@@ -24,7 +24,7 @@ def running_best(
     from the best of the ranges before it."""
     pick = F.max if maximize else F.min
     rows = trials.count()
-    ranges = max(2, min(5000, 2 * (rows // in_one_task + 1)))
+    ranges = ranges_for(rows, in_one_task)
     edges = range_edges(trials, trial, ranges) if rows > in_one_task else []
     cut = with_range(trials, trial, edges, "__range")
     # One row per range.
@@ -56,8 +56,7 @@ def parameter_importance(trials: DataFrame, params: Sequence[str], score: str =
     """``(param, importance)``: absolute correlation with the score, as shares of their sum."""
 
     def make(p: str):
-        r = F.abs(F.corr(F.col(p).cast("double"), F.col(score).cast("double")))
-        return {"r": F.when(~F.isnan(r), r)}
+        return {"r": F.abs(correlation(p, score))}
 
     # One row per parameter.
     every = Window.partitionBy(F.lit(1))
