@@ -493,7 +493,7 @@ def fe_lag_types(spark, sf_dir):
 
 def _mi_sql(table: str, features: list[str], target: str) -> str:
     def bins(c: str) -> str:
-        return "(" + " + ".join(f"({c} > q[{i}])::INT" for i in range(1, 10)) + ")"
+        return "(" + " + ".join(f"COALESCE(({c} > q[{i}])::INT, 0)" for i in range(1, 10)) + ")"
 
     def part(c: str) -> str:
         probs = "[" + ", ".join(f"{i / 10}" for i in range(1, 10)) + "]"
@@ -502,7 +502,7 @@ def _mi_sql(table: str, features: list[str], target: str) -> str:
       SELECT {bins(c)} AS bin, {target} AS cls, COUNT(*)::DOUBLE AS n
         FROM {table}, (SELECT LIST_SORT(LIST_DISTINCT(QUANTILE_CONT({c}::DOUBLE, {probs}))) AS q FROM {table}) GROUP BY 1, 2))"""
 
-    return union_sql(features, part).replace(" > q[", " > q[")
+    return union_sql(features, part)
 
 
 @query("fe_mi_binned", _mi_sql(LABELLED_SQL, ["n_chars", "doc_id"], "quality"))
