@@ -46,7 +46,9 @@ def with_range(df: DataFrame, column: str, edges: Sequence[float], name: str) ->
         return df.withColumn(name, F.lit(0.0))
     double = f"__{name}_of"
     cutter = Bucketizer(splits=splits, inputCol=double, outputCol=name, handleInvalid="keep")
-    return cutter.transform(df.withColumn(double, F.col(column).cast("double"))).drop(double)
+    # As in an ascending order, NULL comes first and NaN last.
+    number = F.coalesce(F.col(column).cast("double"), F.lit(float("-inf")))
+    return cutter.transform(df.withColumn(double, number)).drop(double)
 
 
 def ranges_for(rows: int, in_one_task: int) -> int:

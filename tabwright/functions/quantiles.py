@@ -19,11 +19,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from . import ordering
 from .columns import numeric_long, per_column
 from .lookup import attach, prepare
-from .ordering import IN_ONE_TASK, running_total
+from .ordering import running_total
 
+IN_ONE_TASK = 2_000_000
 BINS = 4096
 IN_ONE_GROUP = 100_000
 
@@ -33,17 +36,37 @@ def quantiles(
 ) -> DataFrame:
     """``(column, q array<double>)`` with linear interpolation, NULLs skipped."""
     if df.count() <= in_one_task:
-        return per_column(df, columns, lambda c: {"q": _percentile(c, probs)})
+        return per_column(df, columns, lambda c: {"q": percentile(df, c, probs)})
     return narrowed(df, columns, probs)
 
 
+def percentile(df: DataFrame, c: str, probs: Sequence[float]) -> Column:
+    """An aggregate for tables of checked size.
+
+    Measures seldom repeat a value, so sorting them beats counting them.
+    """
+    x = F.col(c).cast("double")
+    if not isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
+        return F.percentile(x, [float(p) for p in probs])
+    ordered = F.sort_array(F.collect_list(x))
+    last = F.count(x) - 1
+
+    def at(p: float) -> Column:
+        place = last * F.lit(float(p))
+        low = F.get(ordered, F.floor(place).cast("int"))
+        high = F.get(ordered, F.ceil(place).cast("int"))
+        return low + (place - F.floor(place)) * (high - low)
+
+    return F.when(last >= 0, F.array(*[at(p) for p in probs]))
+
+
 def group_quantiles(
     df: DataFrame,
     by: str,
     columns: Sequence[str],
     probs: Sequence[float],
     in_one_group: int = IN_ONE_GROUP,
-    in_one_task: int = IN_ONE_TASK,
+    in_one_task: int = ordering.IN_ONE_TASK,
 ) -> DataFrame:
     """``(by, column, q array<double>)`` per non-null group."""
     known = df.where(F.col(by).isNotNull())
@@ -71,14 +94,10 @@ def quantile_values(
     return {c: found.get(c) for c in columns}
 
 
-def _percentile(c: str, probs: Sequence[float]):
-    return F.percentile(F.col(c).cast("double"), [float(p) for p in probs])
-
-
 def _grouped(df: DataFrame, by: str, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
     wide = df.groupBy(by).agg(
         *[
-            F.struct(F.lit(c).alias("column"), _percentile(c, probs).alias("q")).alias(f"s{i}")
+            F.struct(F.lit(c).alias("column"), F.percentile(F.col(c).cast("double"), [float(p) for p in probs]).alias("q")).alias(f"s{i}")
             for i, c in enumerate(columns)
         ]
     )

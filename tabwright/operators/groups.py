@@ -155,7 +155,14 @@ def lag_features(
 
 
 def _as_number(df: DataFrame, column: str) -> Column:
-    kind = df.schema[column].dataType.typeName()
-    if kind in ("timestamp", "timestamp_ntz", "date"):
-        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
-    return F.col(column).cast("double")
+    """A number that never falls as the order column rises."""
+    kind, c = df.schema[column].dataType.typeName(), F.col(column)
+    if kind == "date":
+        return F.unix_date(c).cast("double")
+    if kind == "timestamp":
+        return F.unix_micros(c).cast("double")
+    if kind == "timestamp_ntz":
+        # By its parts: a conversion through the session's zone may step back.
+        clock = F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+        return F.unix_date(c.cast("date")) * 86400.0 + clock
+    return c.cast("double")

@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_columns, per_column, string_columns, typed_long
 from ..functions.moments import correlation, excess_kurtosis, skew
-from ..functions.ordering import IN_ONE_TASK
-from ..functions.quantiles import quantile_values, quantiles
+from ..functions.quantiles import IN_ONE_TASK, percentile, quantile_values, quantiles
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -74,10 +73,7 @@ def describe(
         fused = per_column(
             df,
             columns,
-            lambda c: {
-                **_summary(c),
-                "q": F.percentile(F.col(c).cast("double"), [float(p) for p in QUARTILES]),
-            },
+            lambda c: {**_summary(c), "q": percentile(df, c, QUARTILES)},
         )
         return fused.select("*", *named).select(*order)
     fences = quantiles(df, columns, QUARTILES, in_one_task).select("column", *named)
