@@ -517,6 +517,56 @@ def fe_mi_lines(spark, sf_dir):
     return rounded(select.mutual_information(lines, ["l_extendedprice", "l_partkey", "l_suppkey"], "l_returnflag"))
 
 
+def _value_bins_sql(c: str) -> str:
+    return "(" + " + ".join(f"COALESCE(({c} > e.t[{i}])::INT, 0)" for i in range(1, 10)) + ")"
+
+
+_PROBS = "[" + ", ".join(f"{i / 10}" for i in range(1, 10)) + "]"
+
+
+@query(
+    "fe_mi_regression",
+    _mi_sql(
+        f"""(SELECT l_quantity, l_extendedprice, {_value_bins_sql("l_extendedprice")} AS price_bin FROM lineitem,
+    (SELECT LIST_SORT(LIST_DISTINCT(QUANTILE_CONT(l_extendedprice, {_PROBS}))) AS t FROM lineitem) e)""",
+        ["l_quantity"],
+        "price_bin",
+    ),
+)
+def fe_mi_regression(spark, sf_dir):
+    """A numeric target is binned like the features."""
+    lines = read(spark, sf_dir, "lineitem")
+    return rounded(select.mutual_information(lines, ["l_quantity"], "l_extendedprice"))
+
+
+@query(
+    "fe_group_medians_ranked",
+    """SELECT l_returnflag, ROUND(AVG(l_extendedprice), 4) AS l_extendedprice_mean_by_l_returnflag,
+    ROUND(MEDIAN(l_extendedprice), 4) AS l_extendedprice_median_by_l_returnflag, ROUND(AVG(l_quantity), 4) AS l_quantity_mean_by_l_returnflag,
+    MEDIAN(l_quantity) AS l_quantity_median_by_l_returnflag FROM lineitem GROUP BY l_returnflag""",
+)
+def fe_group_medians_ranked(spark, sf_dir):
+    """Groups too large to keep together: their values are ranked range by range."""
+    lines = read(spark, sf_dir, "lineitem")
+    columns = ["l_extendedprice", "l_quantity"]
+    table = groups.group_table(lines, "l_returnflag", columns, ("mean", "median"), in_one_group=100)
+    return rounded(table, 4)
+
+
+@query(
+    "fe_count_salted",
+    """SELECT l_orderkey, l_linenumber, l_partkey, n AS l_returnflag_count, m AS l_suppkey_count FROM lineitem
+  JOIN (SELECT l_returnflag, COUNT(*) AS n FROM lineitem GROUP BY 1) USING (l_returnflag)
+  JOIN (SELECT l_suppkey, COUNT(*) AS m FROM lineitem GROUP BY 1) USING (l_suppkey)""",
+)
+def fe_count_salted(spark, sf_dir):
+    """The plan for count tables too large to broadcast; the flag's values are all hot."""
+    lines = read(spark, sf_dir, "lineitem")
+    table = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_suppkey")
+    fitted = encode.fit_count_encoding(table, ["l_returnflag", "l_suppkey"], max_rows=0)
+    return fitted.transform(table)
+
+
 @query("fe_select")
 def fe_select(spark, sf_dir):
     docs = labelled_documents(spark, sf_dir).drop("toxic")

@@ -189,6 +189,42 @@ def eda_high_corr(spark, sf_dir):
     return profile.high_correlations(_amounts(spark, sf_dir))
 
 
+@query(
+    "eda_top_corr",
+    "SELECT feature1, feature2, ROUND(corr, 3) AS corr FROM ("
+    + "\nUNION ALL\n".join(
+        f"SELECT '{a}' AS feature1, '{b}' AS feature2, CORR({a}, {b}) AS corr FROM {_AMOUNTS_SQL}"
+        for a, b in combinations(_AMOUNTS, 2)
+    )
+    + ") WHERE ABS(corr) > 0.8 ORDER BY ABS(ROUND(corr, 3)) DESC, feature1, feature2 LIMIT 2",
+)
+def eda_top_corr(spark, sf_dir):
+    return profile.top_correlations(_amounts(spark, sf_dir), k=2)
+
+
+@query(
+    "eda_corr_gaps",
+    f"""SELECT 'o_orderkey' AS feature1, 'o_custkey' AS feature2, ROUND(CORR(o_orderkey, o_custkey), 6) AS corr FROM {GAPS_SQL}
+UNION ALL SELECT 'o_orderkey', 'o_totalprice', ROUND(CORR(o_orderkey, o_totalprice), 6) FROM {GAPS_SQL}
+UNION ALL SELECT 'o_custkey', 'o_totalprice', ROUND(CORR(o_custkey, o_totalprice), 6) FROM {GAPS_SQL}""",
+)
+def eda_corr_gaps(spark, sf_dir):
+    """Pairwise complete: every pair has its own rows."""
+    return rounded(profile.correlations(orders_with_gaps(spark, sf_dir)))
+
+
+@query(
+    "eda_describe_narrowed",
+    union_sql(
+        LINE_NUMBERS,
+        lambda c: f"""SELECT '{c}' AS "column", COUNT({c}) AS "count", {_summary_sql(c)} FROM lineitem""",
+    ),
+)
+def eda_describe_narrowed(spark, sf_dir):
+    """The plan for tables too large for one task."""
+    return rounded(profile.describe(read(spark, sf_dir, "lineitem"), in_one_task=1000))
+
+
 @query(
     "eda_target_corr",
     'WITH c AS ('

@@ -101,6 +101,10 @@ class Fitted:
             value = F.col("prediction")
         return made.select(*table.columns, value.alias(name))
 
+    def save(self, path: str) -> None:
+        """Write the model to a folder every executor can reach."""
+        self.model.write().save(path)
+
     def importances(self, features: Sequence[str]) -> dict[str, float]:
         found = getattr(self.model, "featureImportances", None)
         if found is None:
@@ -108,6 +112,11 @@ class Fitted:
         return {f: float(v) for f, v in zip(features, found.toArray(), strict=True)}
 
 
+def load_fitted(kind: type[Model], path: str, task: str) -> Fitted:
+    """A saved model of a Spark model class."""
+    return Fitted(kind.load(path), task)
+
+
 @dataclass(frozen=True)
 class Learner:
     """An algorithm with its parameters."""

@@ -190,6 +190,12 @@ def high_correlations(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     return found.withColumn("corr", F.round("corr", 3))
 
 
+def top_correlations(df: DataFrame, columns: Sequence[str] | None = None, k: int = 5) -> DataFrame:
+    """The ``k`` strongest of the high correlations."""
+    found = high_correlations(df, columns)
+    return found.orderBy(F.desc(F.abs("corr")), "feature1", "feature2").limit(k)
+
+
 def target_correlations(
     df: DataFrame, target: str, columns: Sequence[str] | None = None, k: int = 5
 ) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -45,22 +45,21 @@ def train_models(
     errors = task != CLASSIFICATION
     sizes = {m: (-s if errors else s) for m, s in means.items()}
 
-    tried: dict[str, DataFrame] = {}
+    makers: dict[str, Callable[[DataFrame], DataFrame]] = {}
     if len(names) >= MIN_BLEND:
-        tried["vote"] = vote(held, names)
-        tried["blend"] = weighted(held, score_weights(sizes, errors))
+        makers["vote"] = lambda df: vote(df, names)
+        makers["blend"] = lambda df: weighted(df, score_weights(sizes, errors))
     if len(names) >= MIN_TOP:
-        tried["top"] = top_blend(held, sizes, errors)
-    ensembles = {n: _one_score(df, task) for n, df in tried.items()}
+        makers["top"] = lambda df: top_blend(df, sizes, errors)
+    ensembles = {n: _one_score(make(held), task) for n, make in makers.items()}
     every = {**means, **ensembles}
     best = max(sorted(every), key=every.__getitem__)
 
     predictions = None
     if test is not None:
         made = predict_all(test, fit_all(table.drop("fold"), learners, task, parallelism))
-        if best in ensembles:
-            shares = {"vote": vote, "blend": lambda d, _: weighted(d, score_weights(sizes, errors)), "top": lambda d, _: top_blend(d, sizes, errors)}
-            made = shares[best](made, names)
+        if best in makers:
+            made = makers[best](made)
         predictions = made.drop("features")
     return TrainingResult(scores, board, ensembles, best, predictions)
 

@@ -67,3 +67,29 @@ def inventory_summary(spark: SparkSession, path: str) -> DataFrame:
     return files.groupBy("extension").agg(
         F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("size_bytes")
     )
+
+
+def csv_shapes(spark: SparkSession, path: str) -> DataFrame:
+    """``(name, columns, rows)`` of every CSV file under ``path``.
+
+    Only headers are read by the driver; records are counted in one job, parsed,
+    so that a quoted line break does not count as a row.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    listed = files.where(F.lower("path").endswith(".csv")).select("path").collect()
+    paths = [r["path"] for r in listed]
+    schema = "name string, columns int, rows bigint"
+    if not paths:
+        return spark.createDataFrame([], schema)
+    reader = spark.read.option("header", True).option("multiLine", True)
+    widths = [(p, p.rsplit("/", 1)[-1], len(reader.csv(p).columns)) for p in paths]
+    heads = spark.createDataFrame(widths, "path string, name string, columns int")
+    counted = (
+        reader.schema("first string")
+        .csv(paths)
+        .groupBy(F.col("_metadata.file_path").alias("path"))
+        .agg(F.count(F.lit(1)).alias("rows"))
+    )
+    # One row per file on both sides.
+    met = heads.join(counted, "path", "left")
+    return met.select("name", "columns", F.coalesce("rows", F.lit(0)).alias("rows"))

@@ -128,6 +128,22 @@ def test_lag_over_cuts_equals_pandas(spark, data):
         np.testing.assert_allclose(got[f"v_lag_{p}_by_g"].to_numpy(dtype=float), want.sort_index().to_numpy())
 
 
+def test_lag_with_missing_order_over_cuts(spark):
+    pdf = pd.DataFrame({"k": range(40), "g": ["a"] * 40, "v": np.arange(40.0)})
+    order = F.when(F.col("k") % 4 != 0, F.col("k") % 9).alias("t")
+    df = spark.createDataFrame(pdf).select("*", order)
+    want = rows_by(groups.lag_features(df, "g", ["v"], ["t", "k"], [1, 2]), "k")
+    assert rows_by(groups.lag_features(df, "g", ["v"], ["t", "k"], [1, 2], in_one_task=6), "k") == want
+
+
+def test_salted_join_spreads_equal_rows(spark):
+    df = spark.range(4000).select(F.lit(5).alias("k")).repartition(16)
+    table = spark.createDataFrame([(5, "x")], "k int, v string")
+    joined = attach(df, Lookup(table, False), ["k"])
+    assert joined.where("v = 'x'").count() == 4000
+    assert "__salt" in joined._jdf.queryExecution().toString()
+
+
 def test_lag_of_null_group_is_null(spark):
     df = spark.createDataFrame([(1, None, 1.0), (2, None, 2.0), (3, "a", 3.0), (4, "a", 4.0)], "t int, g string, v double")
     for limit in (1, 100):

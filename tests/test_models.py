@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.ml.classification import NaiveBayes
+from pyspark.ml.classification import LogisticRegressionModel, NaiveBayes
 from pyspark.sql import functions as F
 
 from tabwright.operators import models, search, stacking
@@ -74,6 +74,14 @@ def test_custom_estimator_as_learner(classes):
     assert len(out) == 200 and out.p.between(0, 1).all()
 
 
+def test_saved_model_predicts_the_same(classes, tmp_path):
+    fitted = Learner("logistic").fit(classes, CLASSIFICATION)
+    fitted.save(str(tmp_path / "model"))
+    again = models.load_fitted(LogisticRegressionModel, str(tmp_path / "model"), CLASSIFICATION)
+    both = again.predict(fitted.predict(classes, "a"), "b").select("a", "b").toPandas()
+    assert (both.a == both.b).all()
+
+
 def test_importances_rank_the_signal(classes):
     fitted = models.fit_all(classes, SMALL, CLASSIFICATION)
     table = models.importance_table(classes, fitted, ["a", "b", "c"]).toPandas()

@@ -150,3 +150,11 @@ def test_csv_nan_becomes_null(spark, tmp_path):
     (tmp_path / "t.csv").write_text("k,x\n1,NaN\n2,3.5\n3,\n")
     out = tables.read_table(spark, str(tmp_path / "t.csv"), "k int, x double")
     assert [r["x"] for r in out.orderBy("k").collect()] == [None, 3.5, None]
+
+
+def test_csv_shapes_count_records(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('x,y\n1,"two\nlines"\n2,b\n')
+    (tmp_path / "empty.csv").write_text("only\n")
+    (tmp_path / "c.txt").write_text("no")
+    got = {r["name"]: (r["columns"], r["rows"]) for r in tables.csv_shapes(spark, str(tmp_path)).collect()}
+    assert got == {"a.csv": (2, 2), "empty.csv": (1, 0)}
