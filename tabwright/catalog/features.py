@@ -112,9 +112,16 @@ def fe_impute_unknown(spark, sf_dir):
 
 
 def _date_sql(c: str) -> str:
-    return f"""YEAR({c}) AS {c}_year, MONTH({c}) AS {c}_month, DAY({c}) AS {c}_day,
-    ISODOW({c}) - 1 AS {c}_dayofweek, DAYOFYEAR({c}) AS {c}_dayofyear, WEEKOFYEAR({c}) AS {c}_weekofyear,
-    QUARTER({c}) AS {c}_quarter"""
+    parts = {
+        "year": f"YEAR({c})",
+        "month": f"MONTH({c})",
+        "day": f"DAY({c})",
+        "dayofweek": f"ISODOW({c}) - 1",
+        "dayofyear": f"DAYOFYEAR({c})",
+        "weekofyear": f"WEEKOFYEAR({c})",
+        "quarter": f"QUARTER({c})",
+    }
+    return ", ".join(f"CAST({e} AS INTEGER) AS {c}_{n}" for n, e in parts.items())
 
 
 @query("fe_datetime", f"SELECT o_orderkey, {_date_sql('o_orderdate')} FROM orders")

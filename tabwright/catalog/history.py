@@ -205,7 +205,7 @@ def src_csv(spark, sf_dir):
 
 @query(
     "src_csv_inferred",
-    "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
+    "SELECT CAST(c_custkey AS INTEGER) AS c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
 )
 def src_csv_inferred(spark, sf_dir):
     path = new_shared_path(spark, "customer") + ".csv"

@@ -234,7 +234,8 @@ def eda_describe_narrowed(spark, sf_dir):
     )
     + """), r AS (SELECT "column", corr, ROW_NUMBER() OVER (ORDER BY corr DESC, "column") AS from_top,
     ROW_NUMBER() OVER (ORDER BY corr, "column" DESC) AS from_bottom FROM c)
-SELECT "column", ROUND(corr, 6) AS corr, from_top, from_bottom FROM r WHERE from_top <= 2 OR from_bottom <= 2""",
+SELECT "column", ROUND(corr, 6) AS corr, CAST(from_top AS INTEGER) AS from_top,
+    CAST(from_bottom AS INTEGER) AS from_bottom FROM r WHERE from_top <= 2 OR from_bottom <= 2""",
 )
 def eda_target_corr(spark, sf_dir):
     return rounded(profile.target_correlations(_amounts(spark, sf_dir), "l_extendedprice", k=2))
@@ -261,7 +262,7 @@ def eda_categorical(spark, sf_dir):
     union_sql(
         _PART_TEXTS,
         lambda c: f"""SELECT * FROM (SELECT '{c}' AS "column", {c} AS value, COUNT(*) AS n,
-    ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, {c}) AS rank FROM part GROUP BY {c}) WHERE rank <= 10""",
+    CAST(ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, {c}) AS INTEGER) AS rank FROM part GROUP BY {c}) WHERE rank <= 10""",
     ),
 )
 def eda_top_values(spark, sf_dir):
@@ -271,7 +272,7 @@ def eda_top_values(spark, sf_dir):
 @query(
     "eda_top_texts",
     """SELECT * FROM (SELECT 'text' AS "column", text AS value, COUNT(*) AS n,
-    ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, text) AS rank FROM documents GROUP BY text) WHERE rank <= 10""",
+    CAST(ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, text) AS INTEGER) AS rank FROM documents GROUP BY text) WHERE rank <= 10""",
 )
 def eda_top_texts(spark, sf_dir):
     return profile.top_values(read(spark, sf_dir, "documents"), ["text"])
