@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FLOATING = (T.FloatType, T.DoubleType)
 DIGEST_LENGTH = 64
+WIDE = 12
 
 
 def numeric_columns(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]:
@@ -81,14 +82,24 @@ def per_column(
 
 def numeric_long(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Unpivot numeric columns to ``(by..., column, value double)``."""
-    picked = df.select(*by, *[F.col(c).cast("double").alias(c) for c in _plain(columns, by)])
     if set(columns) & set(by):
         raise ValueError("a column cannot be both a group and a value")
+    picked = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
     return picked.unpivot(list(by), list(columns), "column", "value")
 
 
-def _plain(columns: Sequence[str], by: Sequence[str]) -> list[str]:
-    return [c for c in columns if c not in by]
+def per_numeric_column(
+    df: DataFrame, columns: Sequence[str], make: Callable[[str], dict[str, Column]]
+) -> DataFrame:
+    """``per_column`` for statistics that treat every column as doubles.
+
+    Many columns in one aggregation fall out of code generation; they are unpivoted
+    and grouped by their name instead, still in one scan.
+    """
+    if len(columns) <= WIDE:
+        return per_column(df, columns, make)
+    stats = [e.alias(n) for n, e in make("value").items()]
+    return numeric_long(df, columns).groupBy("column").agg(*stats)
 
 
 def typed_long(df: DataFrame, columns: Sequence[str]) -> list[DataFrame]:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import ordering
-from .columns import numeric_long, per_column
+from .columns import numeric_long, per_column, per_numeric_column
 from .lookup import attach, prepare
 from .ordering import running_total
 
@@ -147,7 +147,7 @@ def narrowed(
         x = F.col(c).cast("double")
         return {"n": F.count(x), "lo": F.min(x), "hi": F.max(x)}
 
-    ends = per_column(df, columns, end).where(F.col("n") > 0).collect()
+    ends = per_numeric_column(df, columns, end).where(F.col("n") > 0).collect()
     exact: dict[tuple[str, int], float] = {}
     pending: dict[tuple[str, int], tuple[float, float, int]] = {}
     for r in ends:

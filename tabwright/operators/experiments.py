@@ -15,6 +15,7 @@ RUNNING = "running"
 RETENTION_DAYS = 30
 LIST_LIMIT = 20
 BYTES_PER_MB = 1024 * 1024
+MAX_METRICS = 10_000
 
 
 def list_experiments(
@@ -53,9 +54,12 @@ def best_experiments(experiments: DataFrame, metric: str, minimize: bool = False
 
 
 def metric_names(experiments: DataFrame) -> list[str]:
-    """Distinct metric names: schema-sized, as each becomes a column."""
+    """Distinct metric names; each becomes a column, so there must not be too many."""
     keys = F.explode(F.map_keys(F.from_json("metrics", "map<string,string>")))
-    return sorted(r["k"] for r in experiments.select(keys.alias("k")).distinct().collect())
+    found = experiments.select(keys.alias("k")).distinct().limit(MAX_METRICS + 1).collect()
+    if len(found) > MAX_METRICS:
+        raise ValueError(f"more than {MAX_METRICS} metric names: pass the ones to compare")
+    return sorted(r["k"] for r in found)
 
 
 def compare_experiments(experiments: DataFrame, metrics: Sequence[str] | None = None) -> DataFrame:

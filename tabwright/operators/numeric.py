@@ -10,7 +10,7 @@ from itertools import combinations, combinations_with_replacement
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import numeric_columns, per_column
+from ..functions.columns import numeric_columns, per_column, per_numeric_column
 from ..functions.moments import skew
 from ..functions.quantiles import quantile_values
 from ..functions.scalar import RATIO_GUARD, clip, row_statistics
@@ -51,7 +51,7 @@ def fit_numeric_features(train: DataFrame, columns: Sequence[str]) -> Derived:
         return Derived({})
     gates = {
         r["column"]: r
-        for r in per_column(
+        for r in per_numeric_column(
             train,
             columns,
             lambda c: {"low": F.min(_x(c)), "skew": skew(c), "variance": F.var_samp(_x(c))},
@@ -141,7 +141,7 @@ def fit_clipping(
     elif method == "zscore":
         bounds = {
             r["column"]: (r["m"] - threshold * r["s"], r["m"] + threshold * r["s"])
-            for r in per_column(
+            for r in per_numeric_column(
                 train, columns, lambda c: {"m": F.avg(_x(c)), "s": F.stddev_samp(_x(c))}
             ).collect()
             if r["s"] is not None
@@ -167,7 +167,7 @@ class Scaling:
 
 def fit_standard_scaling(train: DataFrame, columns: Sequence[str]) -> Scaling:
     """Mean and population standard deviation."""
-    rows = per_column(
+    rows = per_numeric_column(
         train, columns, lambda c: {"m": F.avg(_x(c)), "s": F.stddev_pop(_x(c))}
     ).collect()
     return Scaling({r["column"]: (r["m"], r["s"]) for r in rows if r["m"] is not None})
@@ -184,7 +184,7 @@ def scalable_columns(train: DataFrame, columns: Sequence[str] | None = None) ->
     columns = list(columns or numeric_columns(train))
     tops = {
         r["column"]: r
-        for r in per_column(
+        for r in per_numeric_column(
             train, columns, lambda c: {"lo": F.min(_x(c)), "hi": F.max(_x(c))}
         ).collect()
     }

@@ -11,7 +11,13 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import numeric_columns, per_column, string_columns, typed_long
+from ..functions.columns import (
+    numeric_columns,
+    per_column,
+    per_numeric_column,
+    string_columns,
+    typed_long,
+)
 from ..functions.moments import correlation, excess_kurtosis, skew
 from ..functions.quantiles import IN_ONE_TASK, percentile, quantile_values, quantiles
 
@@ -78,7 +84,7 @@ def describe(
         return fused.select("*", *named).select(*order)
     fences = quantiles(df, columns, QUARTILES, in_one_task).select("column", *named)
     # Both sides have one row per column.
-    return per_column(df, columns, _summary).join(F.broadcast(fences), "column", "left").select(*order)
+    return per_numeric_column(df, columns, _summary).join(F.broadcast(fences), "column", "left").select(*order)
 
 
 def _summary(c: str) -> dict[str, Column]:
@@ -95,7 +101,7 @@ def _summary(c: str) -> dict[str, Column]:
 def moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Sample-adjusted skewness and excess kurtosis per numeric column."""
     columns = columns or numeric_columns(df)
-    return per_column(df, columns, lambda c: {"skewness": skew(c), "kurtosis": excess_kurtosis(c)})
+    return per_numeric_column(df, columns, lambda c: {"skewness": skew(c), "kurtosis": excess_kurtosis(c)})
 
 
 def target_distribution(df: DataFrame, target: str) -> DataFrame:
@@ -327,7 +333,7 @@ def variances(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(column, position, variance)`` with the sample variance."""
     columns = list(columns or numeric_columns(df))
     place = F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("column"))
-    return per_column(
+    return per_numeric_column(
         df, columns, lambda c: {"variance": F.var_samp(F.col(c).cast("double"))}
     ).withColumn("position", place - 1)
 

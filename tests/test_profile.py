@@ -192,3 +192,16 @@ def test_approximate_distinct(spark):
     df = spark.range(1000).withColumn("k", F.col("id") % 10)
     found = rows_by(profile.distinct_counts(df, approximate=True), "column")
     assert found["k"]["n_unique"] == 10 and math.isclose(found["id"]["n_unique"], 1000, rel_tol=0.15)
+
+
+def test_wide_tables_give_the_same_statistics(spark):
+    rng = np.random.default_rng(12)
+    pdf = pd.DataFrame(rng.lognormal(size=(50, 20)), columns=[f"c{i}" for i in range(20)])
+    pdf["c3"] = pdf["c3"].where(rng.random(50) > 0.2)
+    df = nan_to_null(spark.createDataFrame(pdf))
+    got = rows_by(profile.moments(df), "column")
+    assert got["c3"]["skewness"] == pytest.approx(pdf["c3"].skew())
+    assert got["c19"]["kurtosis"] == pytest.approx(pdf["c19"].kurt())
+    assert [r["column"] for r in profile.top_variance(df, k=4).collect()] == list(pdf.var().nlargest(4).index)
+    wide = rows_by(profile.describe(df, in_one_task=5), "column")
+    assert wide["c3"]["q75"] == pytest.approx(pdf["c3"].quantile(0.75)) and wide["c3"]["std"] == pytest.approx(pdf["c3"].std())
