@@ -241,7 +241,6 @@ def eda_target_corr(spark, sf_dir):
     return rounded(profile.target_correlations(_amounts(spark, sf_dir), "l_extendedprice", k=2))
 
 
-_CATEGORIES = [("orders", "o_orderstatus"), ("orders", "o_orderpriority")]
 _PART_TEXTS = ["p_name", "p_brand", "p_type"]
 
 

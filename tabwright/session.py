@@ -30,13 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local-mode session may fall back to a temporary folder: there the
     driver's disk is the executors' disk.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    setting = "spark.checkpoint.dir"
+    named = spark.conf.get(setting, None) or spark.sparkContext.getConf().get(setting)
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder shared by the cluster")
     made = tempfile.mkdtemp(prefix="tabwright-")
-    spark.conf.set("spark.checkpoint.dir", made)
+    spark.conf.set(setting, made)
     return made
 
 
