@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, secret_scan, sharding, simhash, token_files
+from . import decontaminate, line_dedup, packing, secret_scan, sharding, simhash, substring_dedup, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,3 +87,51 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(c["items"], ",").cast("binary"), 256).alias("items_sha256"),
         (c["n_hit"] > 0).alias("contaminated"),
     )
+
+
+LINES_SQL = r"""WITH raw AS (
+    SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) AS k,
+      unnest(string_split(text, chr(10))) AS ln
+    FROM documents WHERE text IS NOT NULL),
+  lines AS (
+    SELECT *, trim(ln, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS core FROM raw),
+  numbered AS (
+    SELECT doc_id, k, ln, core, SUM(CASE WHEN core <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS unit,
+      MAX(k) OVER (PARTITION BY doc_id) AS last_k
+    FROM lines),
+  units AS (
+    SELECT doc_id, unit, MAX(core) AS core,
+      string_agg(ln || CASE WHEN k < last_k THEN chr(10) ELSE '' END, '' ORDER BY k) AS body
+    FROM numbered GROUP BY doc_id, unit),
+  windows AS (
+    SELECT doc_id, unit, core, LEAD(core, 1) OVER w AS c1, LEAD(core, 2) OVER w AS c2,
+      LEAD(unit, 1) OVER w AS u1, LEAD(unit, 2) OVER w AS u2
+    FROM units WINDOW w AS (PARTITION BY doc_id ORDER BY unit)),
+  ranked AS (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY core, c1, c2 ORDER BY doc_id, unit) AS nth
+    FROM windows WHERE u2 IS NOT NULL),
+  gone AS (
+    SELECT DISTINCT doc_id, unnest([unit, u1, u2]) AS unit FROM ranked WHERE nth > 1),
+  kept AS (
+    SELECT u.doc_id, COUNT(*) AS n_lines, COUNT(g.unit) AS n_removed,
+      string_agg(CASE WHEN g.unit IS NULL THEN u.body ELSE '' END, '' ORDER BY u.unit) AS body
+    FROM units u LEFT JOIN gone g ON u.doc_id = g.doc_id AND u.unit = g.unit GROUP BY u.doc_id)
+  SELECT d.doc_id, COALESCE(n_lines, 0) AS n_lines, COALESCE(n_removed, 0) AS n_removed,
+    CASE WHEN d.text IS NOT NULL THEN sha256(body) END AS text_sha256
+  FROM documents d LEFT JOIN kept USING (doc_id)"""
+
+
+@register("op3_line_winnowing", LINES_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.drop_repeated_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
+    )
+
+
+@register("op10_suffix_trees")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    )
