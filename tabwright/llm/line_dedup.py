@@ -74,17 +74,21 @@ def later_runs(found: DataFrame) -> DataFrame:
 
 
 def drop_repeated_lines(
-    docs: DataFrame, run: int = RUN_LINES, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    run: int = RUN_LINES,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    counted: tuple[str, str] = ("n_lines", "n_removed"),
 ) -> DataFrame:
-    """The columns of ``docs`` with repeated lines deleted, and ``n_lines``, ``n_removed``.
+    """The columns of ``docs`` with repeated lines deleted, and two counts: lines before, lines deleted.
 
     A line is deleted if it lies in ``run`` consecutive lines of its document that occurred
     before: in a document with a smaller id, or further up in the same one (the first
     occurrence stays). Lines are compared without white space at their ends. Null texts
     stay null and have no lines; empty ones have one. Documents of fewer than ``run`` lines
     stay as they are. Rows with equal id and text are one document and get the same text;
-    rows with equal ids only are ordered by a hash of the text. Columns of ``docs`` with
-    the names of the two counts are replaced.
+    rows with equal ids only are ordered by a hash of the text. Columns of ``docs`` named
+    like the two counts (``counted``) are replaced.
     """
     found = cut_lineage(runs(docs, run, doc_id, text))
     starts = later_runs(found).groupBy("id", "th").agg(F.collect_set("at").alias("__starts"))
@@ -103,8 +107,8 @@ def drop_repeated_lines(
         F.array_join(F.transform(kept, lambda k: F.get("__lines", k)), "")
     )
     counts = {
-        "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size("__lines")).cast("long"),
-        "n_removed": F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long"),
+        counted[0]: F.when(F.col(text).isNull(), 0).otherwise(F.size("__lines")).cast("long"),
+        counted[1]: F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long"),
     }
     others = [c for c in docs.columns if c not in counts]
     return marked.select(

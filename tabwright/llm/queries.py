@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, line_dedup, packing, secret_scan, sharding, simhash, substring_dedup, token_files
+from . import (
+    ann,
+    decontaminate,
+    line_dedup,
+    packing,
+    secret_scan,
+    sharding,
+    simhash,
+    substring_dedup,
+    token_files,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -140,3 +151,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_cross_polytope")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@register("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    found = toxicity.score_documents(docs.select("doc_id", "text"), labels)
+    return found.select("doc_id", "held_out", F.col("toxicity").alias("score"), "predicted")

@@ -210,6 +210,13 @@ def links(fps: DataFrame, k: int = MAX_DIFFERENT, bucket: int = BUCKET) -> DataF
     return out
 
 
+def groups(rows: DataFrame, k: int = MAX_DIFFERENT, bucket: int = BUCKET) -> DataFrame:
+    """``fp`` and ``root`` of every distinct fingerprint in ``rows``: equal roots are connected."""
+    nodes = cut_lineage(rows.select("fp").distinct())
+    found = components(links(nodes, k, bucket))
+    return nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", F.coalesce("component", "fp").alias("root"))
+
+
 def near_duplicates(
     docs: DataFrame,
     k: int = MAX_DIFFERENT,
@@ -225,12 +232,41 @@ def near_duplicates(
     has no other). Null and blank texts have the fingerprint zero, linked like any other.
     Every input row gives one row, repeated ids included; an empty table gives none.
     """
-    rows = cut_lineage(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), words, "text", ("doc_id",)))
-    nodes = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = components(links(nodes.select("fp"), k, bucket))
-    joined = nodes.join(found, nodes["fp"] == found["node"], "left").select(
-        "fp", "first", F.coalesce("component", "fp").alias("root")
-    )
+    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = cut_lineage(fingerprints(named, words, "text", ("doc_id",)))
+    first = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    joined = cut_lineage(groups(rows, k, bucket).join(first, "fp"))
     names = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     owners = joined.join(names, "root").select("fp", "component_id")
     return rows.join(owners, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(
+    docs: DataFrame,
+    k: int = MAX_DIFFERENT,
+    words: int = SHINGLE_WORDS,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    bucket: int = BUCKET,
+) -> DataFrame:
+    """The rows of ``docs`` that stay when of every group of near-duplicates one does.
+
+    The one with the smallest id stays (null ids last; equal ids by a hash of the text; of
+    rows equal in both, any one). Groups are those of ``near_duplicates``.
+    """
+    named = docs.select(
+        F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("text")
+    )
+    rows = cut_lineage(fingerprints(named, words, "text", ("id", "th")))
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    least = rows.groupBy("fp").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("n"))
+    kept = cut_lineage(
+        groups(rows, k, bucket).join(least, "fp").groupBy("root").agg(F.min("least").alias("least"))
+    ).select(F.col("least.id").alias("__id"), F.col("least.th").alias("__th"))
+    hashed = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__th"))
+    stay = hashed.join(kept, same, "left_semi")
+    repeated = rows.groupBy("id", "th").count().where("count > 1")
+    if not repeated.isEmpty():
+        stay = stay.dropDuplicates([doc_id, "__hash"])
+    return stay.select(*docs.columns)
