@@ -4,11 +4,12 @@
    of labelled rows: of those with high odds, the ones that cover most of the toxic rows that
    are not yet covered ``DEPTH`` times. They are dealt into lexicon voters (whole words) and
    pattern voters (beginnings); a fixed lexicon and two form patterns vote as well. A voter
-   votes "toxic" or abstains; that none of them votes is a vote for "clean".
+   votes "toxic" or abstains.
 2. *Label model.* Votes of all documents outside the held-out fold are counted by vote
-   pattern. Expectation maximisation over these counts estimates each voter's accuracy,
-   starting from its precision on the sample. Voters that fire together
-   more than the class explains are correlated; each one's weight is shared accordingly.
+   pattern. Iterated over these counts, a voter's accuracy is what the other voters make of
+   the texts it votes on, starting from its precision on the sample; its own vote is left out,
+   so it cannot confirm itself. Voters that vote together more than the class explains are
+   correlated and share their weight.
 3. *Classifier.* A logistic regression over the mined features is fitted to the label model's
    posteriors on a bounded sample of rows, and scores every text.
 
@@ -46,7 +47,6 @@ LEXICON = "idiot moron stupid loser scum trash pathetic worthless disgusting clo
 _CAPITALS = bytes(range(0x41, 0x5B))
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 VOTERS = LEXICONS + PATTERNS + 3
-NONE_VOTED = 1 << VOTERS
 
 
 def held_out(doc_id: Column) -> Column:
@@ -94,7 +94,7 @@ class Extractor:
         raw = text.encode("utf-8", "surrogatepass")
         capitals = len(raw) - len(raw.translate(None, delete=_CAPITALS))
         mask |= (capitals > 20 and 2 * capitals > len(raw)) << at + 2
-        return mask or NONE_VOTED
+        return mask
 
 
 def _sample(labels: DataFrame, doc_id: str, label: str, rows: int) -> list[tuple[int, int]]:
@@ -168,7 +168,7 @@ def _voters(names: list[str]) -> list[int]:
 
 
 def _bits(masks: np.ndarray) -> np.ndarray:
-    return ((masks[:, None] >> np.arange(VOTERS + 1)) & 1).astype(float)
+    return ((masks[:, None] >> np.arange(VOTERS)) & 1).astype(float)
 
 
 def _logit(p: np.ndarray | float) -> np.ndarray | float:
@@ -177,51 +177,64 @@ def _logit(p: np.ndarray | float) -> np.ndarray | float:
 
 @dataclass
 class LabelModel:
-    """Voters' accuracies (chance of toxic where they vote), their weights and the prior."""
+    """Voters' accuracies (the chance of toxic where they vote) and weights.
+
+    ``prior`` is the share of toxic texts, ``none`` that among texts without a vote.
+    """
 
     accuracy: np.ndarray
     weight: np.ndarray
     prior: float
+    none: float
 
-    def posterior(self, masks: np.ndarray) -> np.ndarray:
-        prior = _logit(self.prior)
-        return 1 / (1 + np.exp(-(prior + _bits(masks) @ (self.weight * (_logit(self.accuracy) - prior)))))
+    def posteriors(self, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The chance of toxic from all votes, and, per voter, from the others' votes."""
+        votes = _bits(masks)
+        prior, none = _logit(self.prior), _logit(self.none)
+        each = self.weight * (_logit(self.accuracy) - prior)
+        count = votes.sum(1, keepdims=True)
+        total = np.where(count > 0, prior + (votes @ each)[:, None], none)
+        others = np.where(count - votes > 0, prior + (votes @ each)[:, None] - votes * each, none)
+        return tuple(1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in (total[:, 0], others))
 
 
-def fit_label_model(patterns: DataFrame, accuracy: np.ndarray, prior: float, rounds: int = ROUNDS) -> LabelModel:
-    """Expectation maximisation over ``votes, n``: the sums are made where the rows are.
+def fit_label_model(
+    patterns: DataFrame, accuracy: np.ndarray, prior: float, none: float, rounds: int = ROUNDS
+) -> LabelModel:
+    """Estimate accuracies over ``votes, n``; the sums are made where the rows are.
 
     Halfway the voters' correlations are estimated from the same sums.
     """
-    size = VOTERS + 1
-    model = LabelModel(np.clip(accuracy, 0.01, 0.99), np.ones(size), min(max(prior, 0.001), 0.5))
-    start = model.accuracy.copy()
+    start = np.clip(accuracy, 0.01, 0.99)
+    model = LabelModel(start.copy(), np.ones(VOTERS), float(np.clip(prior, 0.001, 0.5)), float(np.clip(none, 1e-4, 0.5)))
 
     def sums(now: LabelModel) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((3, size, size))
+            total = np.zeros((2, VOTERS + 1, VOTERS))
             for b in batches:
                 masks, n = b.column("votes").to_numpy(), b.column("n").to_numpy().astype(float)
-                v, p = _bits(masks), now.posterior(masks)
-                total[0] += (v * (n * p)[:, None]).T @ v
-                total[1] += (v * (n * (1 - p))[:, None]).T @ v
-                total[2, 0, 0] += n.sum()
-                total[2, 0, 1] += (n * p).sum()
+                votes, (p, others) = _bits(masks), now.posteriors(masks)
+                total[0, :VOTERS] += (votes * (n * p)[:, None]).T @ votes
+                total[0, VOTERS, :2] += (n * p).sum(), n.sum()
+                total[1, 0] += n @ votes
+                total[1, 1] += n @ (votes * others)
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
         # A partition of pattern counts gives one row of fixed size.
         found = patterns.mapInArrow(run, "sums binary").collect()
-        return sum((np.frombuffer(r["sums"]).reshape(3, size, size) for r in found), np.zeros((3, size, size)))
+        shape = (2, VOTERS + 1, VOTERS)
+        return sum((np.frombuffer(r["sums"]).reshape(shape) for r in found), np.zeros(shape))
 
     for k in range(rounds):
         s = sums(model)
-        votes_toxic, votes = np.diag(s[0]), np.diag(s[0]) + np.diag(s[1])
-        # Ten votes' worth of the precision that was measured at the start.
-        model.accuracy = np.clip((votes_toxic + 10 * start) / (votes + 10), 0.01, 0.99)
-        if k == rounds // 2 - 1 and s[2, 0, 1] > 1:
-            rate = votes_toxic / s[2, 0, 1]
+        toxic, rows = s[0, VOTERS, :2]
+        # The precision at the start counts as ten votes.
+        model.accuracy = np.clip((s[1, 1] + 10 * start) / (s[1, 0] + 10), 0.01, 0.99)
+        model.prior = float(np.clip((toxic + 1) / (rows + 2), 0.001, 0.5))
+        if k == rounds // 2 - 1 and toxic > 1:
+            rate = np.diag(s[0, :VOTERS]) / toxic
             spread = np.sqrt(np.maximum(rate * (1 - rate), 1e-9))
-            together = (s[0] / s[2, 0, 1] - np.outer(rate, rate)) / np.outer(spread, spread)
+            together = (s[0, :VOTERS] / toxic - np.outer(rate, rate)) / np.outer(spread, spread)
             np.fill_diagonal(together, 0)
             # Weak links between voters (of one language, say) are not dependence.
             model.weight = 1 / (1 + np.where(together > CORRELATED, together, 0).sum(1))
@@ -345,29 +358,28 @@ def fit(
     second = cast(labelled, "y int, ", ["y"]).groupBy("votes").agg(
         F.sum("y").alias("toxic"), F.count(F.lit(1)).alias("n")
     )
-    measured = _precision(second)
+    precision, none = _precision(second)
     prior = (toxic - 1) / max(len(sample), 1)
     votes = cut_lineage(
         cast(rows.where(~held_out(F.col("id"))).select("text", F.xxhash64("id").alias("key")), "key long, ", ["key"])
     )
     patterns = cut_lineage(votes.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).coalesce(64))
-    model = fit_label_model(patterns, measured, prior)
+    model = fit_label_model(patterns, precision, prior, none)
     fitted = votes.orderBy("key", "votes").limit(sample_rows).select("votes", "features").collect()
-    target = model.posterior(np.array([r["votes"] for r in fitted], np.int64)) if fitted else np.zeros(0)
+    target = model.posteriors(np.array([r["votes"] for r in fitted], np.int64))[0] if fitted else np.zeros(0)
     if not names:
         target = np.minimum(target, 0.01)
     weight, bias = fit_logistic([r["features"] for r in fitted], target, len(names))
     return ToxicityModel(names, voter, weight, bias if fitted else -5.0, model)
 
 
-def _precision(counts: DataFrame) -> np.ndarray:
-    bit = F.explode(F.array(*(F.lit(k) for k in range(VOTERS + 1)))).alias("k")
-    fired = counts.select("votes", "toxic", "n", bit).where("shiftright(votes, k) % 2 = 1")
-    found = {r["k"]: r for r in fired.groupBy("k").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).collect()}
-    out = np.full(VOTERS + 1, 0.5)
-    for k, r in found.items():
-        out[k] = (r["toxic"] + 0.5) / (r["n"] + 1)
-    return out
+def _precision(counts: DataFrame) -> tuple[np.ndarray, float]:
+    """The share of toxic rows where each voter votes and where none does, of ``votes, toxic, n``."""
+    cases = [F.expr(f"shiftright(votes, {k}) % 2") for k in range(VOTERS)] + [(F.col("votes") == 0).cast("int")]
+    found = counts.agg(*(F.coalesce(F.sum(F.col(c) * x), F.lit(0)) for c in ("toxic", "n") for x in cases)).first()
+    values = np.array([float(x) for x in found]).reshape(2, VOTERS + 1)
+    share = (values[0] + 0.5) / (values[1] + 1)
+    return share[:VOTERS], float(share[VOTERS])
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
