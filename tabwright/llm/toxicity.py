@@ -6,9 +6,10 @@
    pattern voters (beginnings); a fixed lexicon and two form patterns vote as well. A voter
    votes "toxic" or abstains.
 2. *Label model.* Votes of all documents outside the held-out fold are counted by vote
-   pattern. Iterated over these counts, a voter's accuracy is what the other voters make of
-   the texts it votes on, starting from its precision on the sample; its own vote is left out,
-   so it cannot confirm itself. Voters that vote together more than the class explains are
+   pattern. Iterated over these counts, a voter's rates on toxic and on clean texts, and so its
+   accuracy, are solved from its agreement with what the other voters make of the texts; its
+   own vote is left out, so it cannot confirm itself. The start is its precision on the sample.
+   Voters that vote together more than the class explains are
    correlated and share their weight.
 3. *Classifier.* A logistic regression over the mined features is fitted to the label model's
    posteriors on a bounded sample of rows, and scores every text.
@@ -206,11 +207,12 @@ def fit_label_model(
     Halfway the voters' correlations are estimated from the same sums.
     """
     start = np.clip(accuracy, 0.01, 0.99)
+    shape = (2, VOTERS + 1, VOTERS)
     model = LabelModel(start.copy(), np.ones(VOTERS), float(np.clip(prior, 0.001, 0.5)), float(np.clip(none, 1e-4, 0.5)))
 
     def sums(now: LabelModel) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((2, VOTERS + 1, VOTERS))
+            total = np.zeros(shape)
             for b in batches:
                 masks, n = b.column("votes").to_numpy(), b.column("n").to_numpy().astype(float)
                 votes, (p, others) = _bits(masks), now.posteriors(masks)
@@ -218,18 +220,27 @@ def fit_label_model(
                 total[0, VOTERS, :2] += (n * p).sum(), n.sum()
                 total[1, 0] += n @ votes
                 total[1, 1] += n @ (votes * others)
+                total[1, 2] += n @ others
+                total[1, 3] += n @ (others * others)
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
         # A partition of pattern counts gives one row of fixed size.
         found = patterns.mapInArrow(run, "sums binary").collect()
-        shape = (2, VOTERS + 1, VOTERS)
         return sum((np.frombuffer(r["sums"]).reshape(shape) for r in found), np.zeros(shape))
 
     for k in range(rounds):
         s = sums(model)
         toxic, rows = s[0, VOTERS, :2]
+        # Given the others' chance q of toxic, a voter votes with a * q + b * (1 - q): solve for a, b.
+        votes, with_q, q, qq = s[1, :4]
+        pq, pp = q - qq, rows - 2 * q + qq
+        low = np.maximum(qq * pp - pq * pq, 1e-9)
+        a = np.clip((with_q * pp - (votes - with_q) * pq) / low, 0, 1)
+        b = np.clip(((votes - with_q) * qq - with_q * pq) / low, 0, 1)
+        right, wrong = a * model.prior, b * (1 - model.prior)
+        share = np.where(right + wrong > 0, right / np.maximum(right + wrong, 1e-12), start)
         # The precision at the start counts as ten votes.
-        model.accuracy = np.clip((s[1, 1] + 10 * start) / (s[1, 0] + 10), 0.01, 0.99)
+        model.accuracy = np.clip((votes * share + 10 * start) / (votes + 10), 0.01, 0.99)
         model.prior = float(np.clip((toxic + 1) / (rows + 2), 0.001, 0.5))
         if k == rounds // 2 - 1 and toxic > 1:
             rate = np.diag(s[0, :VOTERS]) / toxic
