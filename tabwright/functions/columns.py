@@ -94,12 +94,15 @@ def per_numeric_column(
     """``per_column`` for statistics that treat every column as doubles.
 
     Many columns in one aggregation fall out of code generation; they are unpivoted
-    and grouped by their name instead, still in one scan.
+    and grouped by their name instead, still in one scan. A row without a value per
+    column makes sure that an empty table has its row for every column, too, so
+    statistics must skip NULLs.
     """
     if len(columns) <= WIDE:
         return per_column(df, columns, make)
     stats = [e.alias(n) for n, e in make("value").items()]
-    return numeric_long(df, columns).groupBy("column").agg(*stats)
+    named = df.sparkSession.createDataFrame([(c, None) for c in columns], "column string, value double")
+    return numeric_long(df, columns).unionByName(named).groupBy("column").agg(*stats)
 
 
 def typed_long(df: DataFrame, columns: Sequence[str]) -> list[DataFrame]:

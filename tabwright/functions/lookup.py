@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
 from .sizing import MAX_ROWS, settle
 
 PIECES_PER_PARTITION = 4
@@ -25,8 +24,7 @@ class Lookup:
 
 def prepare(table: DataFrame, max_rows: int = MAX_ROWS) -> Lookup:
     """Compute a fitted table once: small ones are kept as literals, others written."""
-    kept = settle(table, max_rows)
-    return Lookup(cut_lineage(table), False) if kept is None else Lookup(kept, True)
+    return Lookup(*settle(table, max_rows))
 
 
 def attach(
@@ -104,7 +102,23 @@ def _all_present(on: Sequence[str]) -> Column:
 
 
 def join_on_key(left: DataFrame, *others: DataFrame, key: str) -> DataFrame:
-    """Put columns of several tables side by side by their unique row key."""
-    for other in others:
-        left = left.join(other, key, "inner")
-    return left
+    """Put columns of several tables side by side by their unique row key.
+
+    A key that only some tables have keeps its row, with NULLs for the others. A key
+    that a table holds twice raises an error when the rows are read.
+    """
+    single = [_unique(t, key) for t in (left, *others)]
+    out = single[0]
+    for other in single[1:]:
+        out = out.join(other, key, "full")
+    return out
+
+
+def _unique(table: DataFrame, key: str) -> DataFrame:
+    """``table``, checked while it is grouped by its key."""
+    rest = [c for c in table.columns if c != key]
+    once = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit(f"{key} is not unique"))).otherwise(
+        F.first(F.struct(*rest) if rest else F.lit(True))
+    )
+    grouped = table.groupBy(key).agg(once.alias("__row"))
+    return grouped.select(key, *[F.col(f"__row.`{c}`").alias(c) for c in rest])

@@ -28,14 +28,22 @@ from .ordering import running_total
 
 IN_ONE_TASK = 2_000_000
 BINS = 4096
+_INFINITE = math.inf
 IN_ONE_GROUP = 100_000
 
 
 def quantiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], in_one_task: int = IN_ONE_TASK
 ) -> DataFrame:
-    """``(column, q array<double>)`` with linear interpolation, NULLs skipped."""
-    if df.count() <= in_one_task:
+    """``(column, q array<double>)`` with linear interpolation, NULLs skipped.
+
+    Infinite values and NaN take their places at the ends (NaN last); a quantile that
+    falls on one of them is that value, one between a finite and an infinite one is the
+    infinite one, and one between a number and NaN is NaN. The values of all columns
+    together are gathered in a task only up to ``in_one_task`` of them; beyond that the
+    brackets around the ranks are narrowed, with the same result.
+    """
+    if df.count() * len(columns) <= in_one_task:
         return per_column(df, columns, lambda c: {"q": percentile(df, c, probs)})
     return narrowed(df, columns, probs)
 
@@ -45,7 +53,7 @@ def percentile(df: DataFrame, c: str, probs: Sequence[float]) -> Column:
 
     Measures seldom repeat a value, so sorting them beats counting them.
     """
-    x = F.col(c).cast("double")
+    x = F.col(f"`{c}`").cast("double")
     if not isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
         return F.percentile(x, [float(p) for p in probs])
     ordered = F.sort_array(F.collect_list(x))
@@ -55,7 +63,9 @@ def percentile(df: DataFrame, c: str, probs: Sequence[float]) -> Column:
         place = last * F.lit(float(p))
         low = F.get(ordered, F.floor(place).cast("int"))
         high = F.get(ordered, F.ceil(place).cast("int"))
-        return low + (place - F.floor(place)) * (high - low)
+        part = place - F.floor(place)
+        # Equal ends need no arithmetic, which infinite values would turn to NaN.
+        return F.when((low == high) | (part == 0), low).otherwise(low + part * (high - low))
 
     return F.when(last >= 0, F.array(*[at(p) for p in probs]))
 
@@ -145,7 +155,15 @@ def narrowed(
 
     def end(c: str) -> dict[str, Column]:
         x = F.col(c).cast("double")
-        return {"n": F.count(x), "lo": F.min(x), "hi": F.max(x)}
+        finite = F.when(~F.isnan(x) & (F.abs(x) < _INFINITE), x)
+        return {
+            "n": F.count(x),
+            "least": F.count_if(x == -_INFINITE),
+            "finite": F.count(finite),
+            "most": F.count_if(x == _INFINITE),
+            "lo": F.min(finite),
+            "hi": F.max(finite),
+        }
 
     ends = per_numeric_column(df, columns, end).where(F.col("n") > 0).collect()
     exact: dict[tuple[str, int], float] = {}
@@ -154,7 +172,13 @@ def narrowed(
         for p in probs:
             at = p * (r["n"] - 1)
             for rank in {math.floor(at), math.ceil(at)}:
-                pending[(r["column"], rank)] = (r["lo"], r["hi"], 0)
+                inside = rank - r["least"]
+                if inside < 0:
+                    exact[(r["column"], rank)] = -math.inf
+                elif inside < r["finite"]:
+                    pending[(r["column"], rank)] = (r["lo"], r["hi"], r["least"])
+                else:
+                    exact[(r["column"], rank)] = math.inf if inside < r["finite"] + r["most"] else math.nan
 
     bracket = ["column", "lo", "hi", "below", "ranks"]
     while True:
@@ -171,11 +195,16 @@ def narrowed(
             "column string, lo double, hi double, below bigint, ranks array<bigint>",
         )
         # Halves keep hi - lo finite for the whole double range.
-        share = (F.col("value") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        width = F.col("hi") / 2 - F.col("lo") / 2
+        # Brackets too narrow to halve are told apart at their upper end; each round parts
+        # at least the two ends, so the loop comes to an end.
+        share = F.when(width > 0, F.try_divide(F.col("value") / 2 - F.col("lo") / 2, width)).otherwise(
+            (F.col("value") > F.col("lo")).cast("double")
+        )
         counted = (
             long.join(F.broadcast(brackets), "column")
             .where(F.col("value").between(F.col("lo"), F.col("hi")))
-            .withColumn("bin", F.least(F.floor(share * bins), F.lit(bins - 1)))
+            .withColumn("bin", F.when(F.col("value") == F.col("hi"), bins).otherwise(F.least(F.floor(share * bins), F.lit(bins - 1))))
             .groupBy(*bracket, "bin")
             .agg(
                 F.count(F.lit(1)).alias("n"),
@@ -183,7 +212,7 @@ def narrowed(
                 F.max("value").alias("bin_hi"),
             )
         )
-        # At most ``bins`` rows per bracket reach this window.
+        # At most ``bins + 1`` rows per bracket reach this window.
         order = Window.partitionBy(*bracket).orderBy("bin")
         upto = F.col("below") + F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
         found = (
@@ -203,6 +232,7 @@ def narrowed(
             at = p * (r["n"] - 1)
             left = exact[(r["column"], math.floor(at))]
             right = exact[(r["column"], math.ceil(at))]
-            q.append(left + (at - math.floor(at)) * (right - left))
+            part = at - math.floor(at)
+            q.append(left if left == right or part == 0 else left + part * (right - left))
         out.append((r["column"], q))
     return spark.createDataFrame(out, "column string, q array<double>")

@@ -36,10 +36,19 @@ def weighted(df: DataFrame, weights: Mapping[str, float], name: str = "ensemble"
 
 
 def score_weights(scores: Mapping[str, float], errors: bool = False) -> dict[str, float]:
-    """Weights proportional to the score, or to 1/error where ``errors`` are given."""
-    raw = {m: (1.0 / s if errors else s) for m, s in scores.items()}
+    """Weights proportional to the score, or to 1/error where ``errors`` are given.
+
+    Models without error share all the weight; so do all models if every score is 0.
+    """
+    if errors and (perfect := [m for m, s in scores.items() if s == 0]):
+        return {m: 1.0 / len(perfect) if m in perfect else 0.0 for m in scores}
+    return _shares({m: (1.0 / s if errors else s) for m, s in scores.items()})
+
+
+def _shares(raw: Mapping[str, float]) -> dict[str, float]:
+    """Parts of 1 in proportion, or equal parts where all are 0."""
     total = sum(raw.values())
-    return {m: w / total for m, w in raw.items()}
+    return {m: w / total if total else 1.0 / len(raw) for m, w in raw.items()}
 
 
 def blend(df: DataFrame, scores: Mapping[str, float], errors: bool = False) -> DataFrame:
@@ -63,9 +72,7 @@ def importance_weights(importances: DataFrame, models: Sequence[str]) -> dict[st
         r["model"]: r["w"]
         for r in importances.groupBy("model").agg(F.var_pop("importance").alias("w")).collect()
     }
-    raw = {m: 1.0 if found.get(m) is None else found[m] for m in models}
-    total = sum(raw.values())
-    return {m: w / total for m, w in raw.items()}
+    return _shares({m: 1.0 if found.get(m) is None else found[m] for m in models})
 
 
 def posterior_weights(

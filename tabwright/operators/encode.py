@@ -126,7 +126,12 @@ class OneHotEncoding:
     categories: dict[str, list[str]]
 
     def names(self, c: str) -> list[str]:
-        return [f"{c}_{v}" for v in self.categories[c]] + [f"{c}_nan"]
+        """A name per category, then one for NULL that no category has."""
+        values = set(self.categories[c])
+        null = "nan"
+        while null in values:
+            null = f"null_{null}"
+        return [f"{c}_{v}" for v in self.categories[c]] + [f"{c}_{null}"]
 
     def transform(self, df: DataFrame) -> DataFrame:
         kept = [F.col(c) for c in df.columns if c not in self.categories]

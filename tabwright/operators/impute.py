@@ -50,7 +50,7 @@ def missing_shares(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     if not columns:
         return {}
     rows = F.count(F.lit(1))
-    found = per_column(df, columns, lambda c: {"pct": (rows - F.count(c)) * 100.0 / rows})
+    found = per_column(df, columns, lambda c: {"pct": F.try_divide((rows - F.count(c)) * 100.0, rows)})
     return {r["column"]: r["pct"] for r in found.collect() if r["pct"]}
 
 

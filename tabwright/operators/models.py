@@ -185,11 +185,14 @@ def oof_predictions(
 ) -> DataFrame:
     """``table`` with one out-of-fold prediction column per learner.
 
-    Needs a ``fold`` column with values ``0 .. folds - 1``. Every row is predicted
-    by models that never saw its fold.
+    Needs a ``fold`` column with values ``0 .. folds - 1``; any other value, or none,
+    raises an error. Every row is predicted by models that never saw its fold.
     """
     table = table.persist()
     try:
+        inside = F.coalesce(F.col("fold").between(0, folds - 1), F.lit(False))
+        if outside := table.agg(F.count_if(~inside).alias("n")).first()["n"]:
+            raise ValueError(f"{outside} rows have a fold outside 0 to {folds - 1}")
         _check_binary(table, task)
         work = [(k, n) for k in range(folds) for n in learners]
         fits = _together(

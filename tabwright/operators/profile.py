@@ -58,7 +58,7 @@ def missing_values(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     counted = per_column(
         df,
         columns or df.columns,
-        lambda c: {"missing": rows - F.count(c), "pct": (rows - F.count(c)) * 100.0 / rows},
+        lambda c: {"missing": rows - F.count(c), "pct": F.try_divide((rows - F.count(c)) * 100.0, rows)},
     )
     return counted.where(F.col("missing") > 0).select(
         "column",
@@ -236,7 +236,7 @@ def distributions(
             "q25": F.lit(q25).cast("double"),
             "q50": F.lit(q50).cast("double"),
             "q75": F.lit(q75).cast("double"),
-            "outliers_pct": out * 100.0 / F.count(F.lit(1)),
+            "outliers_pct": F.try_divide(out * 100.0, F.count(F.lit(1))),
         }
 
     return per_column(df, columns, make)

@@ -26,8 +26,10 @@ def quality_report(df: DataFrame) -> DataFrame:
         present = F.count(c)
         return {
             "missing": rows - present,
-            "missing_pct": (rows - present) * 100.0 / rows,
-            "warn_missing": (rows - present) * 100.0 / rows > WARN_MISSING_PCT,
+            "missing_pct": F.try_divide((rows - present) * 100.0, rows),
+            "warn_missing": F.coalesce(
+                F.try_divide((rows - present) * 100.0, rows) > WARN_MISSING_PCT, F.lit(False)
+            ),
             "all_null": present == 0,
             # One value only: no distinct count needed.
             "constant": F.coalesce(F.min(c) == F.max(c), F.lit(False)),
@@ -59,8 +61,8 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     columns = df.columns
     hashed = df.withColumn("__hash", F.xxhash64(*columns))
     sizes = hashed.groupBy("__hash").agg(F.count(F.lit(1)).alias("__n"))
-    repeated = settle(sizes.where(F.col("__n") > 1).select("__hash"))
-    suspects = df if repeated is None else hashed.join(F.broadcast(repeated), "__hash", "left_semi")
+    repeated, small = settle(sizes.where(F.col("__n") > 1).select("__hash"))
+    suspects = hashed.join(F.broadcast(repeated), "__hash", "left_semi") if small else df
     groups = suspects.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n"))
     again = groups.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicate_rows"))
     return _side_by_side(df.agg(F.count(F.lit(1)).alias("rows")), again)

@@ -53,26 +53,30 @@ class DateFeatures:
 
 
 @dataclass
-class KeepColumns:
-    """The selected features in order; missing ones become 0, others go."""
+class InputColumns:
+    """The raw columns the flow was fitted on, in order; a missing one is an error."""
 
     columns: list[str]
     beside: list[str]
 
     def transform(self, df: DataFrame) -> DataFrame:
+        missing = [c for c in self.columns if c not in df.columns]
+        if missing:
+            raise ValueError(f"columns missing: {', '.join(missing)}")
         there = [c for c in self.beside if c in df.columns]
         return align_to(df, [*there, *self.columns])
 
 
 @dataclass
-class TargetMeans:
-    encoding: object
+class KeepColumns:
+    """The selected features in order; missing ones become 0, others go."""
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        return self.encoding.transform(df)
+    columns: list[str]
+    beside: list[str]
 
-    def transform_train(self, df: DataFrame) -> DataFrame:
-        return self.encoding.transform_train(df)
+    def transform(self, df: DataFrame) -> DataFrame:
+        there = [c for c in self.beside if c in df.columns]
+        return align_to(df, [*there, *self.columns])
 
 
 @dataclass
@@ -136,7 +140,7 @@ class FeatureFlow:
             fitted_on_train = getattr(step, "transform_train", step.transform)
             table = fitted_on_train(table)
 
-        add(KeepColumns(used, beside))
+        add(InputColumns(used, beside))
         add(fit_imputation(table, used))
         if dates:
             add(DateFeatures(dates, roles["datetime_text"]))
@@ -148,7 +152,7 @@ class FeatureFlow:
         means = [c for c in self.target_means if c in categories]
         if means and self.target:
             table = fold_by_hash(table, [self.key], self.folds)
-            add(TargetMeans(fit_target_encoding(table, means, self.target)))
+            add(fit_target_encoding(table, means, self.target))
             table = table.drop("fold")
         encoding = fit_categorical_encoding(table, categories)
         add(encoding)
