@@ -22,17 +22,17 @@ from .base import GAPS_SQL, labelled_documents, orders_with_gaps, query, read, r
 _TREES = {"numTrees": 10, "maxDepth": 4}
 _ROUNDS = {"maxIter": 5, "maxDepth": 3}
 _CLASSIFIERS = {
-    "logistic": Learner("logistic", {"maxIter": 50}),
+    "logistic": Learner("logistic"),
     "forest": Learner("forest", _TREES),
     "boosted": Learner("boosted", _ROUNDS),
 }
 _REGRESSORS = {
     "ridge": Learner("ridge"),
-    "lasso": Learner("lasso", {"maxIter": 50}),
+    "lasso": Learner("lasso"),
     "forest": Learner("forest", _TREES),
     "boosted": Learner("boosted", _ROUNDS),
 }
-_FOLDS = 3
+_FOLDS = models.FOLDS
 
 _DOC_FEATURES = ["n_chars", "log_chars", "is_en", "is_de", "is_fr"]
 
@@ -53,6 +53,12 @@ def _documents(spark, sf_dir):
     return models.with_folds(models.feature_table(docs, "doc_id", _DOC_FEATURES, "quality"), _FOLDS)
 
 
+def _unlabelled(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    rest = docs.join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+    return models.feature_table(_doc_columns(rest), "doc_id", _DOC_FEATURES)
+
+
 _LINE_FEATURES = ["p_size", "p_retailprice", "p_partkey"]
 
 
@@ -176,10 +182,7 @@ def ml_predict(spark, sf_dir):
     """Fitted on labelled documents, applied to all others."""
     train = _documents(spark, sf_dir).drop("fold")
     fitted = models.fit_all(train, _CLASSIFIERS, CLASSIFICATION)
-    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
-    rest = docs.join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
-    table = models.feature_table(_doc_columns(rest), "doc_id", _DOC_FEATURES)
-    return models.predict_all(table, fitted).drop("features")
+    return models.predict_all(_unlabelled(spark, sf_dir), fitted).drop("features")
 
 
 @query("ml_importance")
@@ -213,37 +216,42 @@ def ml_early_stop(spark, sf_dir):
 # ---- stacking --------------------------------------------------------------
 
 
-def _stacked(table, learner, task=CLASSIFICATION):
-    train, held = stacking.holdout(table.drop("fold"))
-    return learner.fit(train, task).predict(held, "prediction").drop("features")
+def _stacked(train, table, learner, task=CLASSIFICATION):
+    """Fitted on all rows with a target, applied to all rows of ``table``."""
+    return learner.fit(train.drop("fold"), task).predict(table, "prediction").drop("features")
 
 
 @query("ml_stack")
 def ml_stack(spark, sf_dir):
-    return _stacked(_documents(spark, sf_dir), stacking.stack(_CLASSIFIERS, CLASSIFICATION, folds=_FOLDS))
+    learner = stacking.stack(_CLASSIFIERS, CLASSIFICATION, folds=_FOLDS)
+    return _stacked(_documents(spark, sf_dir), _unlabelled(spark, sf_dir), learner)
 
 
 @query("ml_stack_regression")
 def ml_stack_regression(spark, sf_dir):
     learners = {n: _REGRESSORS[n] for n in ("ridge", "forest")}
-    return _stacked(_parts(spark, sf_dir), stacking.stack(learners, REGRESSION, folds=_FOLDS), REGRESSION)
+    parts = _parts(spark, sf_dir)
+    return _stacked(parts, parts.drop("fold", "y"), stacking.stack(learners, REGRESSION, folds=_FOLDS), REGRESSION)
 
 
 @query("ml_two_level")
 def ml_two_level(spark, sf_dir):
     learners = {n: _CLASSIFIERS[n] for n in ("logistic", "forest")}
-    return _stacked(_documents(spark, sf_dir), stacking.two_level_stack(learners, _ROUNDS, folds=2))
+    learner = stacking.two_level_stack(learners, _ROUNDS, folds=_FOLDS)
+    return _stacked(_documents(spark, sf_dir), _unlabelled(spark, sf_dir), learner)
 
 
 @query("ml_feature_stack")
 def ml_feature_stack(spark, sf_dir):
     learners = {n: _CLASSIFIERS[n] for n in ("logistic", "forest")}
-    return _stacked(_documents(spark, sf_dir), stacking.feature_stack(learners, CLASSIFICATION, _ROUNDS, folds=2))
+    train, held = stacking.holdout(_documents(spark, sf_dir).drop("fold"))
+    learner = stacking.feature_stack(learners, CLASSIFICATION, _ROUNDS, folds=_FOLDS)
+    return _stacked(train, held, learner)
 
 
 @query("ml_vote")
 def ml_vote(spark, sf_dir):
-    return _stacked(_documents(spark, sf_dir), stacking.forest_boosted_vote(trees=10))
+    return _stacked(_documents(spark, sf_dir), _unlabelled(spark, sf_dir), stacking.forest_boosted_vote(trees=10))
 
 
 # ---- flows -----------------------------------------------------------------

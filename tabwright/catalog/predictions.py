@@ -309,6 +309,38 @@ def ens_weight_search_auc(spark, sf_dir):
     return rounded(found.select("candidate", "auc"), 5)
 
 
+_RANDOM = blend.random_weights(3)
+_RANDOM_SQL = (
+    "(SELECT * FROM (VALUES "
+    + ", ".join(f"({k}, {', '.join(f'{v!r}::DOUBLE' for v in w)})" for k, w in enumerate(_RANDOM))
+    + ") t(candidate, w_a, w_b, w_c))"
+)
+
+
+@query(
+    "ens_best_weights_mse",
+    f"""SELECT candidate, ROUND(AVG((w_a * pred_a + w_b * pred_b + w_c * pred_c - y) ** 2), 0) AS mse
+  FROM {VALUES_SQL}, {_RANDOM_SQL} GROUP BY candidate
+  ORDER BY AVG((w_a * pred_a + w_b * pred_b + w_c * pred_c - y) ** 2) LIMIT 1""",
+)
+def ens_best_weights_mse(spark, sf_dir):
+    """The best of 200 random weight vectors."""
+    found = blend.best_weights_mse(value_predictions(spark, sf_dir), "y", MODELS)
+    return rounded(found.select("candidate", "mse"), 0)
+
+
+@query(
+    "ens_best_weights_auc",
+    f"""WITH s AS (SELECT candidate, ROUND(w_a * pred_a + w_b * pred_b + w_c * pred_c, 12) AS s, SUM(y)::DOUBLE AS pos, SUM(1 - y)::DOUBLE AS neg
+    FROM {PREDICTIONS_SQL}, {_RANDOM_SQL} GROUP BY 1, 2),
+  b AS (SELECT *, COALESCE(SUM(neg) OVER (PARTITION BY candidate ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM s)
+SELECT ROUND(MAX(auc), 5) AS auc FROM (SELECT SUM(pos * (below + neg / 2)) / (SUM(pos) * SUM(neg)) AS auc FROM b GROUP BY candidate)""",
+)
+def ens_best_weights_auc(spark, sf_dir):
+    """The best of 200 random weight vectors; only those that can be best are ranked."""
+    return rounded(blend.best_weights_auc(predictions(spark, sf_dir), "y", MODELS).select("auc"), 5)
+
+
 @query(
     "ens_best",
     f"""WITH s AS ({_ALL_AUC_SQL}),

@@ -437,12 +437,11 @@ def eda_quality_gaps(spark, sf_dir):
 
 @query(
     "eda_duplicates",
-    "SELECT (SELECT COUNT(*) FROM lineitem) AS rows, CAST(COALESCE(SUM(n - 1), 0) AS BIGINT) AS duplicate_rows"
-    " FROM (SELECT COUNT(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)",
+    "SELECT (SELECT COUNT(*) FROM lineitem) AS rows,"
+    " (SELECT COUNT(*) FROM lineitem) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM lineitem)) AS duplicate_rows",
 )
 def eda_duplicates(spark, sf_dir):
-    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
-    return quality.duplicate_rows(lines)
+    return quality.duplicate_rows(read(spark, sf_dir, "lineitem"))
 
 
 @query(

@@ -14,6 +14,11 @@ DIGEST_LENGTH = 64
 WIDE = 12
 
 
+def quoted(c: str) -> Column:
+    """A column by its exact name, which may hold dots and other signs."""
+    return F.col("`" + c.replace("`", "``") + "`")
+
+
 def numeric_columns(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]:
     skip = set(exclude)
     return [
@@ -50,16 +55,16 @@ def split_target(df: DataFrame, target: str, key: str) -> tuple[DataFrame, DataF
 def align_to(df: DataFrame, columns: Sequence[str], fill: float = 0) -> DataFrame:
     """Exactly ``columns`` in order: missing ones become ``fill``, others go."""
     have = set(df.columns)
-    return df.select(*[F.col(c) if c in have else F.lit(fill).alias(c) for c in columns])
+    return df.select(*[quoted(c) if c in have else F.lit(fill).alias(c) for c in columns])
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN marks a missing value in float columns at ingest; NULL from here on."""
     return df.select(
         *[
-            F.when(~F.isnan(f.name), F.col(f.name)).alias(f.name)
+            F.when(~F.isnan(quoted(f.name)), quoted(f.name)).alias(f.name)
             if isinstance(f.dataType, _FLOATING)
-            else F.col(f.name)
+            else quoted(f.name)
             for f in df.schema.fields
         ]
     )
@@ -84,8 +89,8 @@ def numeric_long(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
     """Unpivot numeric columns to ``(by..., column, value double)``."""
     if set(columns) & set(by):
         raise ValueError("a column cannot be both a group and a value")
-    picked = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
-    return picked.unpivot(list(by), list(columns), "column", "value")
+    picked = df.select(*by, *[quoted(c).cast("double").alias(c) for c in columns])
+    return picked.unpivot([quoted(b) for b in by], [quoted(c) for c in columns], "column", "value")
 
 
 def per_numeric_column(
@@ -118,18 +123,18 @@ def typed_long(df: DataFrame, columns: Sequence[str]) -> list[DataFrame]:
     others = [c for c in columns if c not in longs and c not in doubles]
 
     def text(c: str) -> Column:
-        plain = F.col(c).cast("string")
+        plain = quoted(c).cast("string")
         # A digest is longer than any text left as it is.
         return F.when(F.length(plain) < DIGEST_LENGTH, plain).otherwise(F.sha2(plain, 256))
 
     def unpivoted(names: list[str], value: Callable[[str], Column]) -> DataFrame:
-        return df.select(*[value(c).alias(c) for c in names]).unpivot([], names, "column", "value")
+        return df.select(*[value(c).alias(c) for c in names]).unpivot([], [quoted(c) for c in names], "column", "value")
 
     made = []
     if longs:
-        made.append(unpivoted(longs, lambda c: F.col(c).cast("bigint")))
+        made.append(unpivoted(longs, lambda c: quoted(c).cast("bigint")))
     if doubles:
-        made.append(unpivoted(doubles, lambda c: F.col(c).cast("double")))
+        made.append(unpivoted(doubles, lambda c: quoted(c).cast("double")))
     if others:
         made.append(unpivoted(others, text))
     return made

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import quoted
+
 from .sizing import MAX_ROWS, settle
 
 PIECES_PER_PARTITION = 4
@@ -52,7 +54,7 @@ def attach(
     fill = dict(defaults or {})
     return joined.select(
         *df.columns,
-        *[F.coalesce(F.col(c), F.lit(fill[c])).alias(c) if c in fill else F.col(c) for c in added],
+        *[F.coalesce(quoted(c), F.lit(fill[c])).alias(c) if c in fill else quoted(c) for c in added],
     )
 
 
@@ -97,7 +99,7 @@ def _salted_left(df: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
 def _all_present(on: Sequence[str]) -> Column:
     present = F.lit(True)
     for c in on:
-        present = present & F.col(c).isNotNull()
+        present = present & quoted(c).isNotNull()
     return present
 
 
@@ -118,7 +120,7 @@ def _unique(table: DataFrame, key: str) -> DataFrame:
     """``table``, checked while it is grouped by its key."""
     rest = [c for c in table.columns if c != key]
     once = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit(f"{key} is not unique"))).otherwise(
-        F.first(F.struct(*rest) if rest else F.lit(True))
+        F.first(F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(rest)]) if rest else F.lit(True))
     )
     grouped = table.groupBy(key).agg(once.alias("__row"))
-    return grouped.select(key, *[F.col(f"__row.`{c}`").alias(c) for c in rest])
+    return grouped.select(key, *[F.col(f"__row.c{i}").alias(c) for i, c in enumerate(rest)])

@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import quoted
+
 
 def _n(c: str) -> Column:
-    return F.count(c).cast("double")
+    return F.count(quoted(c)).cast("double")
 
 
 def skew(c: str) -> Column:
     """Adjusted Fisher-Pearson skewness; NULL below three values or without spread."""
-    n, x = _n(c), F.col(c).cast("double")
+    n, x = _n(c), quoted(c).cast("double")
     adjusted = F.skewness(x) * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0))
     return F.when((n >= 3) & (F.var_pop(x) > 0), adjusted)
 
 
 def excess_kurtosis(c: str) -> Column:
     """Adjusted excess kurtosis; NULL below four values or without spread."""
-    n, x = _n(c), F.col(c).cast("double")
+    n, x = _n(c), quoted(c).cast("double")
     below = F.nullif((n - 2) * (n - 3), F.lit(0.0))
     adjusted = ((n + 1) * F.kurtosis(x) + 6) * (n - 1) / below
     return F.when((n >= 4) & (F.var_pop(x) > 0), adjusted)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import ordering
-from .columns import numeric_long, per_column, per_numeric_column
+from .columns import numeric_long, per_column, per_numeric_column, quoted
 from .lookup import attach, prepare
 from .ordering import running_total
 
@@ -107,7 +107,7 @@ def quantile_values(
 def _grouped(df: DataFrame, by: str, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
     wide = df.groupBy(by).agg(
         *[
-            F.struct(F.lit(c).alias("column"), F.percentile(F.col(c).cast("double"), [float(p) for p in probs]).alias("q")).alias(f"s{i}")
+            F.struct(F.lit(c).alias("column"), F.percentile(quoted(c).cast("double"), [float(p) for p in probs]).alias("q")).alias(f"s{i}")
             for i, c in enumerate(columns)
         ]
     )
@@ -154,7 +154,7 @@ def narrowed(
     long = numeric_long(df, columns).where(F.col("value").isNotNull())
 
     def end(c: str) -> dict[str, Column]:
-        x = F.col(c).cast("double")
+        x = quoted(c).cast("double")
         finite = F.when(~F.isnan(x) & (F.abs(x) < _INFINITE), x)
         return {
             "n": F.count(x),

@@ -9,13 +9,15 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import quoted
+
 EPSILON = 1e-15
 RATIO_GUARD = 1e-8
 
 
 def date_parts(c: str) -> dict[str, Column]:
     """Calendar parts; the week is the ISO week and Monday is day 0."""
-    t = F.col(c)
+    t = quoted(c)
     parts = {
         "year": F.year(t),
         "month": F.month(t),
@@ -42,7 +44,7 @@ def date_cycles(c: str) -> dict[str, Column]:
 
 def row_statistics(columns: Sequence[str], prefix: str = "numeric") -> dict[str, Column]:
     """Mean, std, max, min and range over the non-null values of one row."""
-    xs = [F.col(c).cast("double") for c in columns]
+    xs = [quoted(c).cast("double") for c in columns]
     zero = F.lit(0.0)
     n = reduce(Column.__add__, [x.isNotNull().cast("int") for x in xs])
     mean = reduce(Column.__add__, [F.coalesce(x, zero) for x in xs]) / F.nullif(n, F.lit(0))
@@ -59,17 +61,17 @@ def row_statistics(columns: Sequence[str], prefix: str = "numeric") -> dict[str,
 
 
 def weighted_sum(columns: Sequence[str], weights: Sequence[float]) -> Column:
-    terms = [F.col(c) * F.lit(float(w)) for c, w in zip(columns, weights, strict=True)]
+    terms = [quoted(c) * F.lit(float(w)) for c, w in zip(columns, weights, strict=True)]
     return reduce(Column.__add__, terms)
 
 
 def row_mean(columns: Sequence[str]) -> Column:
-    return reduce(Column.__add__, [F.col(c) for c in columns]) / len(columns)
+    return reduce(Column.__add__, [quoted(c) for c in columns]) / len(columns)
 
 
 def clip(c: Column | str, low: float, high: float) -> Column:
     """``c`` held within the bounds; NULL stays NULL."""
-    x = F.col(c) if isinstance(c, str) else c
+    x = quoted(c) if isinstance(c, str) else c
     return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from itertools import product
+from random import Random
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from .metrics import ranked_auc
 MIN_BLEND = 2
 MIN_TOP = 3
 TOP = 5
+RANDOM_TRIALS = 200
+SCORE_BINS = 1024
 
 
 def good_models(scores: DataFrame) -> DataFrame:
@@ -111,6 +114,13 @@ def simplex_grid(models: int, steps: int) -> list[list[float]]:
     return [[i / steps for i in (*h, steps - sum(h))] for h in heads if sum(h) <= steps]
 
 
+def random_weights(models: int, trials: int = RANDOM_TRIALS, seed: int = 42) -> list[list[float]]:
+    """Random weight vectors that sum to 1."""
+    draw = Random(seed)
+    raw = [[draw.random() for _ in range(models)] for _ in range(trials)]
+    return [[v / sum(r) for v in r] for r in raw]
+
+
 def search_weights_mse(
     df: DataFrame, y: str, predictions: Sequence[str], candidates: Sequence[Sequence[float]]
 ) -> DataFrame:
@@ -170,6 +180,63 @@ def search_weights_auc(
     return out.join(F.broadcast(table), "candidate").select("candidate", "weights", "auc")
 
 
+def best_weights_mse(
+    df: DataFrame, y: str, predictions: Sequence[str], candidates: Sequence[Sequence[float]] | None = None
+) -> DataFrame:
+    """One row ``(candidate, weights, mse)``: the least error (ties to the first), 200 random draws by default."""
+    tried = random_weights(len(predictions)) if candidates is None else candidates
+    return search_weights_mse(df, y, predictions, tried).orderBy("mse", "candidate").limit(1)
+
+
+def best_weights_auc(
+    df: DataFrame,
+    y: str,
+    predictions: Sequence[str],
+    candidates: Sequence[Sequence[float]] | None = None,
+    bins: int = SCORE_BINS,
+) -> DataFrame:
+    """One row ``(candidate, weights, auc)``: the largest AUC (ties to the first), 200 random draws by default.
+
+    One pass counts the classes per score bin of every candidate, which combines before
+    the shuffle. Rows of one bin may be ranked either way, so the counts bound each AUC
+    from both sides; only candidates whose bounds reach the best one are ranked exactly.
+    """
+    tried = random_weights(len(predictions)) if candidates is None else list(candidates)
+    ends = df.agg(
+        *[F.min(F.least(*predictions)).alias("lo"), F.max(F.greatest(*predictions)).alias("hi")]
+        if len(predictions) > 1
+        else [F.min(predictions[0]).alias("lo"), F.max(predictions[0]).alias("hi")]
+    ).first()
+    if ends["lo"] is None:
+        return search_weights_auc(df, y, predictions, tried[:1])
+    width = (ends["hi"] - ends["lo"]) or 1.0
+    table = F.array(*[F.struct(F.lit(k).alias("candidate"), F.array(*map(F.lit, w)).alias("w")) for k, w in enumerate(tried)])
+    rows = df.select(y, *predictions, F.inline(table))
+    score = sum((F.col("w")[i] * F.col(p) for i, p in enumerate(predictions)), F.lit(0.0))
+    place = F.floor((score - ends["lo"]) / width * bins).cast("int")
+    counted = rows.groupBy("candidate", F.greatest(F.lit(0), F.least(F.lit(bins - 1), place)).alias("bin")).agg(
+        F.sum(y).cast("double").alias("pos"), F.sum(1 - F.col(y)).cast("double").alias("neg")
+    )
+    # At most ``bins`` rows per candidate reach this window. Neighbouring bins count as one
+    # for the bounds, so that rounding at a border does no harm.
+    order = Window.partitionBy("candidate").orderBy("bin")
+    upto = F.sum("neg").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    near = [F.coalesce(x, F.lit(0.0)) for x in (F.lag("neg").over(order), F.lead("neg").over(order))]
+    sums = counted.select(
+        "candidate", "pos", "neg", (upto - F.col("neg") - near[0]).alias("least"), (upto + near[1]).alias("most")
+    )
+    both = F.try_divide(F.lit(1.0), F.sum("pos") * F.sum("neg"))
+    bounds = sums.groupBy("candidate").agg(
+        (F.sum(F.col("pos") * F.col("least")) * both).alias("low"),
+        (F.sum(F.col("pos") * F.col("most")) * both).alias("high"),
+    ).collect()  # one row per candidate
+    best = max((r["low"] for r in bounds if r["low"] is not None), default=None)
+    left = sorted(r["candidate"] for r in bounds if best is None or r["high"] >= best - 1e-12)
+    found = search_weights_auc(df, y, predictions, [tried[k] for k in left])
+    number = F.get(F.array(*map(F.lit, left)), F.col("candidate"))
+    return found.withColumn("candidate", number).orderBy(F.desc_nulls_last("auc"), "candidate").limit(1)
+
+
 def best_ensemble(scores: DataFrame, best_single: float) -> DataFrame:
     """One row: the best ensemble and whether it beats the best single model."""
     best = F.min(F.struct((-F.col("score")).alias("s"), "model"))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import per_column
+from ..functions.columns import per_column, quoted
 from ..functions.lookup import Lookup, attach, prepare
 from ..functions.sizing import MAX_ROWS
 from .profile import distinct_counts, value_counts
@@ -68,7 +68,7 @@ def fit_frequency_encoding(
 ) -> CountEncoding:
     present = {
         r["column"]: r["n"]
-        for r in per_column(train, columns, lambda c: {"n": F.count(c)}).collect()
+        for r in per_column(train, columns, lambda c: {"n": F.count(quoted(c))}).collect()
     }
     tables = {
         c: Lookup(
@@ -103,10 +103,10 @@ class LabelEncoding:
     def transform(self, df: DataFrame) -> DataFrame:
         def code(c: str) -> Column:
             known = F.array(*[F.lit(v) for v in self.classes[c]])
-            place = F.array_position(known, F.col(c).cast("string"))
+            place = F.array_position(known, quoted(c).cast("string"))
             return (F.coalesce(place, F.lit(0)) - 1).cast("int").alias(c)
 
-        return df.select(*[code(c) if c in self.classes else F.col(c) for c in df.columns])
+        return df.select(*[code(c) if c in self.classes else quoted(c) for c in df.columns])
 
 
 def fit_label_encoding(
@@ -134,11 +134,11 @@ class OneHotEncoding:
         return [f"{c}_{v}" for v in self.categories[c]] + [f"{c}_{null}"]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        kept = [F.col(c) for c in df.columns if c not in self.categories]
+        kept = [quoted(c) for c in df.columns if c not in self.categories]
         flags = []
         for c, values in self.categories.items():
-            text = F.col(c).cast("string")
-            hits = [F.coalesce(text == v, F.lit(False)) for v in values] + [F.col(c).isNull()]
+            text = quoted(c).cast("string")
+            hits = [F.coalesce(text == v, F.lit(False)) for v in values] + [quoted(c).isNull()]
             flags += [h.cast("int").alias(n) for h, n in zip(hits, self.names(c), strict=True)]
         return df.select(*kept, *flags)
 
@@ -191,7 +191,7 @@ def fit_target_encoding(
     for c in columns:
         name = f"{c}_target_enc"
         sums = prepare(
-            train.where(F.col(c).isNotNull())
+            train.where(quoted(c).isNotNull())
             .groupBy(c, fold)
             .agg(F.sum(y).alias("s"), F.count(y).alias("n")),
             max_rows,

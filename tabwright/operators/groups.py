@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import quoted
+
 from ..functions.lookup import Lookup, attach, prepare
 from ..functions.ordering import IN_ONE_TASK, range_edges, ranges_for, with_range
 from ..functions.quantiles import IN_ONE_GROUP, group_quantiles
@@ -18,7 +20,7 @@ ALL_STATS = (*SIMPLE_STATS, "median")
 
 
 def _stat(kind: str, c: str) -> Column:
-    x = F.col(c).cast("double")
+    x = quoted(c).cast("double")
     return {
         "mean": F.avg(x),
         "std": F.stddev_samp(x),
@@ -44,7 +46,7 @@ def group_table(
     sizes = known.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.agg(F.max("n").alias("n")).first()["n"] or 0
     if largest <= in_one_group:
-        middle = [F.median(F.col(c).cast("double")).alias(f"{c}_median_by_{group}") for c in columns]
+        middle = [F.median(quoted(c).cast("double")).alias(f"{c}_median_by_{group}") for c in columns]
         return known.groupBy(group).agg(*named, *middle)
     medians = (
         group_quantiles(known, group, columns, [0.5], in_one_group)

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import numeric_columns, per_column, string_columns
+from ..functions.columns import numeric_columns, per_column, string_columns, quoted
 from ..functions.quantiles import quantile_values
 from .profile import value_counts
 
@@ -34,11 +34,11 @@ class Imputation:
                 continue
             if f.name in self.fill:
                 value = F.lit(self.fill[f.name])
-                out.append(F.coalesce(F.col(f.name), value).alias(f.name))
+                out.append(F.coalesce(quoted(f.name), value).alias(f.name))
             else:
-                out.append(F.col(f.name))
+                out.append(quoted(f.name))
         flags = [
-            F.col(c).isNull().cast("int").alias(f"{c}_was_missing")
+            quoted(c).isNull().cast("int").alias(f"{c}_was_missing")
             for c in self.flag
             if c in df.columns
         ]
@@ -50,7 +50,7 @@ def missing_shares(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     if not columns:
         return {}
     rows = F.count(F.lit(1))
-    found = per_column(df, columns, lambda c: {"pct": F.try_divide((rows - F.count(c)) * 100.0, rows)})
+    found = per_column(df, columns, lambda c: {"pct": F.try_divide((rows - F.count(quoted(c))) * 100.0, rows)})
     return {r["column"]: r["pct"] for r in found.collect() if r["pct"]}
 
 

@@ -16,6 +16,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import quoted
+
 from .folds import FOLDS, SEED, fold_by_hash
 from .metrics import fold_scores
 
@@ -44,7 +46,7 @@ def feature_table(
     df: DataFrame, key: str, features: Sequence[str], target: str | None = None, keep: Sequence[str] = ()
 ) -> DataFrame:
     """``(key, features, y, kept...)``; missing feature values count as 0."""
-    numbers = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"__f{i}") for i, c in enumerate(features)]
+    numbers = [F.coalesce(quoted(c).cast("double"), F.lit(0.0)).alias(f"__f{i}") for i, c in enumerate(features)]
     label = [F.col(target).cast("double").alias("y")] if target else []
     wide = df.select(F.col(key).alias("key"), *label, *keep, *numbers)
     names = [f"__f{i}" for i in range(len(features))]

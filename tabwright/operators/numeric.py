@@ -10,7 +10,7 @@ from itertools import combinations, combinations_with_replacement
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import numeric_columns, per_column, per_numeric_column
+from ..functions.columns import numeric_columns, per_column, per_numeric_column, quoted
 from ..functions.moments import skew
 from ..functions.quantiles import quantile_values
 from ..functions.scalar import RATIO_GUARD, clip, row_statistics
@@ -37,7 +37,7 @@ class Derived:
 
 
 def _x(c: str) -> Column:
-    return F.col(c).cast("double")
+    return quoted(c).cast("double")
 
 
 def top_columns(train: DataFrame, columns: Sequence[str], k: int) -> list[str]:
@@ -120,7 +120,7 @@ class Clipping:
     def transform(self, df: DataFrame) -> DataFrame:
         return df.select(
             *[
-                clip(_x(c), *self.bounds[c]).alias(c) if c in self.bounds else F.col(c)
+                clip(_x(c), *self.bounds[c]).alias(c) if c in self.bounds else quoted(c)
                 for c in df.columns
             ]
         )
@@ -162,7 +162,7 @@ class Scaling:
             centre, width = self.params[c]
             return ((_x(c) - F.lit(centre)) / F.lit(width or 1.0)).alias(c)
 
-        return df.select(*[scaled(c) if c in self.params else F.col(c) for c in df.columns])
+        return df.select(*[scaled(c) if c in self.params else quoted(c) for c in df.columns])
 
 
 def fit_standard_scaling(train: DataFrame, columns: Sequence[str]) -> Scaling:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import (
+    quoted,
     numeric_columns,
     per_column,
     per_numeric_column,
@@ -58,7 +59,7 @@ def missing_values(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     counted = per_column(
         df,
         columns or df.columns,
-        lambda c: {"missing": rows - F.count(c), "pct": F.try_divide((rows - F.count(c)) * 100.0, rows)},
+        lambda c: {"missing": rows - F.count(quoted(c)), "pct": F.try_divide((rows - F.count(quoted(c))) * 100.0, rows)},
     )
     return counted.where(F.col("missing") > 0).select(
         "column",
@@ -88,9 +89,9 @@ def describe(
 
 
 def _summary(c: str) -> dict[str, Column]:
-    x = F.col(c).cast("double")
+    x = quoted(c).cast("double")
     return {
-        "count": F.count(c),
+        "count": F.count(quoted(c)),
         "mean": F.avg(x),
         "std": F.stddev_samp(x),
         "min": F.min(x),
@@ -126,14 +127,14 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     sums of centred products; pairs with gaps keep their own counts and means.
     """
     columns = list(columns or numeric_columns(df))
-    x = {c: F.col(c).cast("double") for c in columns}
+    x = {c: quoted(c).cast("double") for c in columns}
     facts = {
         r["column"]: r
         for r in per_column(
             df,
             columns,
             lambda c: {
-                "gaps": F.count(F.lit(1)) - F.count(c),
+                "gaps": F.count(F.lit(1)) - F.count(quoted(c)),
                 "mean": F.avg(x[c]),
                 "flat": F.coalesce(F.min(x[c]) == F.max(x[c]), F.lit(True)),
             },
@@ -172,7 +173,7 @@ def _pair_rows(df: DataFrame, cells: Sequence[tuple[str, str, Column]]) -> DataF
 def _centred_correlations(
     df: DataFrame, pairs: Sequence[tuple[str, str]], means: dict[str, float]
 ) -> DataFrame:
-    centred = {c: F.col(c).cast("double") - F.lit(m) for c, m in means.items()}
+    centred = {c: quoted(c).cast("double") - F.lit(m) for c, m in means.items()}
     spread = {c: F.sqrt(F.sum(d * d)) for c, d in centred.items()}
     cells = [
         (a, b, F.try_divide(F.sum(centred[a] * centred[b]), spread[a] * spread[b])) for a, b in pairs
@@ -182,7 +183,7 @@ def _centred_correlations(
 
 def _matrix_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Many columns: one distributed matrix product; the driver gets its result only."""
-    table = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    table = df.select(*[quoted(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
     vectors = VectorAssembler(inputCols=table.columns, outputCol="features").transform(table)
     matrix = Correlation.corr(vectors.select("features"), "features").first()[0].toArray()
     rows = [
@@ -224,7 +225,7 @@ def distributions(
     fences = quantile_values(df, columns, QUARTILES, in_one_task)
 
     def make(c: str) -> dict[str, Column]:
-        x = F.col(c).cast("double")
+        x = quoted(c).cast("double")
         q25, q50, q75 = fences[c] or (None, None, None)
         out = F.lit(0)
         if q25 is not None:
@@ -244,8 +245,8 @@ def distributions(
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(column, value, n)`` over the non-null values of all given columns."""
-    long = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
-    long = long.unpivot([], list(columns), "column", "value")
+    long = df.select(*[quoted(c).cast("string").alias(c) for c in columns])
+    long = long.unpivot([], [quoted(c) for c in columns], "column", "value")
     return (
         long.where(F.col("value").isNotNull())
         .groupBy("column", "value")
@@ -274,7 +275,7 @@ def distinct_counts(
     """
     columns = list(columns or df.columns)
     if approximate:
-        return per_column(df, columns, lambda c: {"n_unique": F.approx_count_distinct(c)})
+        return per_column(df, columns, lambda c: {"n_unique": F.approx_count_distinct(quoted(c))})
     return reduce(DataFrame.unionByName, [_distinct_of(part) for part in typed_long(df, columns)])
 
 
@@ -287,7 +288,7 @@ def categorical_profile(df: DataFrame, columns: Sequence[str] | None = None) ->
     """Distinct values, missing count and the high-cardinality flag per string column."""
     columns = list(columns or string_columns(df))
     missing = per_column(
-        df, columns, lambda c: {"missing_count": F.count(F.lit(1)) - F.count(c)}
+        df, columns, lambda c: {"missing_count": F.count(F.lit(1)) - F.count(quoted(c))}
     )
     unique = distinct_counts(df, columns)
     # One row per column on both sides.
@@ -307,7 +308,7 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 3
         for r in per_column(
             df,
             columns,
-            lambda c: {"lo": F.min(F.col(c).cast("double")), "hi": F.max(F.col(c).cast("double"))},
+            lambda c: {"lo": F.min(quoted(c).cast("double")), "hi": F.max(quoted(c).cast("double"))},
         ).collect()
     }
 
@@ -317,9 +318,9 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 3
             return F.lit(None).cast("bigint")
         if lo == hi:  # a single value sits in the middle of a unit-wide range
             lo, hi = lo - 0.5, hi + 0.5
-        at = F.floor((F.col(c).cast("double") - lo) / (hi - lo) * bins)
+        at = F.floor((quoted(c).cast("double") - lo) / (hi - lo) * bins)
         # ``least`` skips NULL, which belongs to no bin.
-        return F.when(F.col(c).isNotNull(), F.least(at, F.lit(bins - 1))).cast("bigint")
+        return F.when(quoted(c).isNotNull(), F.least(at, F.lit(bins - 1))).cast("bigint")
 
     binned = df.select(*[bin_of(c).alias(c) for c in columns]).unpivot([], columns, "column", "bin")
     return (
@@ -334,7 +335,7 @@ def variances(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     columns = list(columns or numeric_columns(df))
     place = F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("column"))
     return per_numeric_column(
-        df, columns, lambda c: {"variance": F.var_samp(F.col(c).cast("double"))}
+        df, columns, lambda c: {"variance": F.var_samp(quoted(c).cast("double"))}
     ).withColumn("position", place - 1)
 
 

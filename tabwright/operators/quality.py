@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import per_column, string_columns
+from ..functions.columns import per_column, string_columns, quoted
 from ..functions.sizing import settle
 from .profile import distinct_counts
 from .schema import schema_difference
@@ -23,7 +23,7 @@ def quality_report(df: DataFrame) -> DataFrame:
     rows = F.count(F.lit(1))
 
     def make(c: str) -> dict[str, Column]:
-        present = F.count(c)
+        present = F.count(quoted(c))
         return {
             "missing": rows - present,
             "missing_pct": F.try_divide((rows - present) * 100.0, rows),
@@ -32,7 +32,7 @@ def quality_report(df: DataFrame) -> DataFrame:
             ),
             "all_null": present == 0,
             # One value only: no distinct count needed.
-            "constant": F.coalesce(F.min(c) == F.max(c), F.lit(False)),
+            "constant": F.coalesce(F.min(quoted(c)) == F.max(quoted(c)), F.lit(False)),
             "rows": rows,
         }
 

@@ -11,7 +11,7 @@ from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import per_column
+from ..functions.columns import per_column, quoted
 
 CLUSTERS = 5
 COMPONENTS = 5
@@ -19,7 +19,7 @@ SEED = 42
 
 
 def _filled(c: str) -> Column:
-    return F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    return F.coalesce(quoted(c).cast("double"), F.lit(0.0))
 
 
 def _vectors(df: DataFrame, exprs: Sequence[Column]) -> DataFrame:

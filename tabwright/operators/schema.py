@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import datetime_columns, numeric_columns, per_column, string_columns
+from ..functions.columns import datetime_columns, numeric_columns, per_column, string_columns, quoted
 from ..functions.moments import skew
 from .profile import distinct_counts, value_counts
 
@@ -103,8 +103,8 @@ def simple_types(df: DataFrame) -> DataFrame:
         if c in is_number:
             return {"simple_type": F.max(F.lit("numeric"))}
         if c in dated:
-            bad = F.count_if(F.col(c).isNotNull() & F.try_to_timestamp(F.col(c)).isNull())
-            kind = F.when((bad == 0) & (F.count(c) > 0), F.lit("datetime"))
+            bad = F.count_if(quoted(c).isNotNull() & F.try_to_timestamp(quoted(c)).isNull())
+            kind = F.when((bad == 0) & (F.count(quoted(c)) > 0), F.lit("datetime"))
             return {"simple_type": kind.otherwise(F.lit("categorical"))}
         return {"simple_type": F.max(F.lit("categorical"))}
 

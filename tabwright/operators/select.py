@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import numeric_columns, string_columns
+from ..functions.columns import numeric_columns, string_columns, quoted
 from ..functions.quantiles import quantile_values
 from .schema import FEW_VALUES, target_facts
 
@@ -16,7 +16,7 @@ BINS = 10
 
 def bin_index(c: str, edges: Sequence[float]) -> Column:
     """How many of the sorted edges lie below the value: 0 .. len(edges)."""
-    x = F.col(c).cast("double")
+    x = quoted(c).cast("double")
     index = F.lit(0)
     for e in sorted(set(edges)):
         index = index + (x > e).cast("int")

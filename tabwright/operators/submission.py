@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import per_column
+from ..functions.columns import per_column, quoted
 from ..functions.quantiles import quantile_values
 from ..functions.scalar import above
 from .impute import modes
@@ -57,7 +57,7 @@ def _only_true_false(sample: DataFrame, target: str) -> bool:
 def fill_output(df: DataFrame) -> DataFrame:
     """Missing numbers become the median, other missing values the mode."""
     rows = F.count(F.lit(1))
-    gaps = per_column(df, df.columns, lambda c: {"n": rows - F.count(c)}).where(F.col("n") > 0)
+    gaps = per_column(df, df.columns, lambda c: {"n": rows - F.count(quoted(c))}).where(F.col("n") > 0)
     holed = {r["column"] for r in gaps.collect()}
     if not holed:
         return df
@@ -72,9 +72,9 @@ def fill_output(df: DataFrame) -> DataFrame:
         fill |= {r["column"]: r["mode"] for r in modes(df, others).collect()}
     return df.select(
         *[
-            F.coalesce(F.col(f.name), F.lit(fill[f.name]).cast(_filled_type(f.dataType))).alias(f.name)
+            F.coalesce(quoted(f.name), F.lit(fill[f.name]).cast(_filled_type(f.dataType))).alias(f.name)
             if f.name in fill
-            else F.col(f.name)
+            else quoted(f.name)
             for f in df.schema.fields
         ]
     )
@@ -89,7 +89,7 @@ def validate_output(output: DataFrame, sample: DataFrame) -> DataFrame:
     """``(check, expected, got)`` rows, one per failed check."""
     spark = output.sparkSession
     key = sample.columns[0]
-    nulls = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in output.columns])
+    nulls = reduce(lambda a, b: a | b, [quoted(c).isNull() for c in output.columns])
     facts = output.agg(F.count(F.lit(1)).alias("rows"), F.count_if(nulls).alias("nulls")).first()
     wanted = sample.count()
     issues = []

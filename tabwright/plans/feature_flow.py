@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import align_to, numeric_columns
+from ..functions.columns import align_to, numeric_columns, quoted
 from ..functions.scalar import date_cycles, date_parts
 from ..operators.encode import fit_categorical_encoding, fit_frequency_encoding, fit_target_encoding
 from ..operators.folds import FOLDS, fold_by_hash
@@ -46,8 +46,8 @@ class DateFeatures:
     text: list[str] = field(default_factory=list)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        parsed = {c: F.try_to_timestamp(F.col(c)).alias(c) for c in self.text}
-        df = df.select(*[parsed.get(c, F.col(c)) for c in df.columns])
+        parsed = {c: F.try_to_timestamp(quoted(c)).alias(c) for c in self.text}
+        df = df.select(*[parsed.get(c, quoted(c)) for c in df.columns])
         made = [e.alias(n) for c in self.columns for n, e in {**date_parts(c), **date_cycles(c)}.items()]
         return df.select(*[c for c in df.columns if c not in self.columns], *made)
 
@@ -132,7 +132,7 @@ class FeatureFlow:
         steps: list[Step] = []
         beside = [c for c in (self.key, self.target) if c]
         used = [c for c in (*roles["numeric"], *roles["categorical"], *dates) if c not in beside]
-        table = train.select(*beside, *used)
+        table = train.select(*[quoted(c) for c in (*beside, *used)])
 
         def add(step: Step) -> None:
             nonlocal table
