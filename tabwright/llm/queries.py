@@ -85,7 +85,30 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-@register("op7_decontamination")
+_LOWER = "translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BENCH_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+MARKED_SQL = f"""WITH dw AS (SELECT doc_id, {_BENCH_WORDS} AS w FROM documents),
+  bw AS (SELECT CAST(item_id AS VARCHAR) AS item, {_BENCH_WORDS} AS w FROM benchmark),
+  phrases AS (
+    SELECT DISTINCT item, LEAST(10, len(w)) AS n, array_to_string(w[k : k + LEAST(10, len(w)) - 1], ' ') AS g
+    FROM bw, LATERAL (SELECT unnest(range(1, len(w) - LEAST(10, len(w)) + 2)) AS k) WHERE len(w) > 0),
+  sizes AS (SELECT DISTINCT n FROM phrases),
+  windows AS (
+    SELECT doc_id, n, k, array_to_string(w[k : k + n - 1], ' ') AS g
+    FROM (SELECT * FROM dw, sizes), LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS k)),
+  hits AS (SELECT doc_id, k, windows.n, item FROM windows JOIN phrases ON windows.n = phrases.n AND windows.g = phrases.g),
+  marked AS (
+    SELECT doc_id, COUNT(DISTINCT place) AS n_hit
+    FROM (SELECT doc_id, unnest(range(k, k + n)) AS place FROM hits) GROUP BY doc_id),
+  items AS (
+    SELECT doc_id, COUNT(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(n_hit, 0) AS n_hit, COALESCE(n_items, 0) AS n_items,
+    sha256(COALESCE(items, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AS contaminated
+  FROM dw LEFT JOIN marked USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
+@register("op7_decontamination", MARKED_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
     found = decontaminate.decontaminate(docs.select("doc_id", "text"), items, keep_text=False)
@@ -140,7 +163,25 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register("op10_suffix_trees")
+REPEATS_SQL = r"""WITH dw AS (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  windows AS (
+    SELECT doc_id, k, array_to_string(w[k : k + 49], ' ') AS g
+    FROM dw, LATERAL (SELECT unnest(range(1, len(w) - 48)) AS k)),
+  firsts AS (SELECT g, MIN(doc_id) AS first_id FROM windows GROUP BY g),
+  gone AS (
+    SELECT DISTINCT doc_id, unnest(range(k, k + 50)) AS place
+    FROM windows JOIN firsts USING (g) WHERE first_id < doc_id),
+  words AS (SELECT doc_id, generate_subscripts(w, 1) AS place, unnest(w) AS word FROM dw),
+  kept AS (
+    SELECT doc_id, COUNT(gone.place) AS n_removed,
+      string_agg(CASE WHEN gone.place IS NULL THEN word END, ' ' ORDER BY words.place) AS kept
+    FROM words LEFT JOIN gone USING (doc_id, place) GROUP BY doc_id)
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(n_removed, 0) AS n_removed,
+    sha256(COALESCE(kept, '')) AS kept_sha256
+  FROM dw LEFT JOIN kept USING (doc_id)"""
+
+
+@register("op10_suffix_trees", REPEATS_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
     return found.select(

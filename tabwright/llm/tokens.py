@@ -13,8 +13,6 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
 MEMO = 600_000
 LONG_PART = 48
@@ -147,31 +145,5 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
-def with_ids(df: DataFrame, text: str, path: str, end_id: int | None = 0) -> DataFrame:
-    """``df`` with ``text`` replaced by ``ids`` (little-endian bytes) and ``n_tokens``.
-
-    Null texts are empty; ``end_id`` ends each document. Ids are two bytes wide if the
-    vocabulary has at most 65,536 of them, else four.
-    """
-    kept = [f for f in df.schema.fields if f.name != text]
-    schema = T.StructType(
-        [*kept, T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]
-    )
-    names = [f.name for f in kept]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        end = b"" if end_id is None else np.array([end_id], enc.dtype).tobytes()
-        for b in slices(batches):
-            ids = [x + end for x in enc.encode([t or "" for t in b.column(text).to_pylist()])]
-            counts = [len(x) // enc.dtype.itemsize for x in ids]
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(n) for n in names), pa.array(ids, pa.binary()), pa.array(counts, pa.int64())],
-                names=[*names, "ids", "n_tokens"],
-            )
-
-    return df.mapInArrow(run, schema)
-
-
 def id_type(path: str) -> np.dtype:
     return encoder(path).dtype
