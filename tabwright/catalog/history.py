@@ -65,6 +65,15 @@ def exp_compare(spark, sf_dir):
     return ex.compare_experiments(experiments(spark, sf_dir))
 
 
+@query(
+    "exp_metric_values",
+    f"""SELECT id, metric, TRY_CAST(json_extract_string(metrics, '$.' || metric) AS DOUBLE) AS value
+  FROM (SELECT id, metrics, unnest(json_keys(metrics)) AS metric FROM {EXPERIMENTS_SQL})""",
+)
+def exp_metric_values(spark, sf_dir):
+    return ex.metric_values(experiments(spark, sf_dir))
+
+
 @query(
     "exp_latest_metrics",
     """SELECT user_id AS experiment_id, event_type AS "key", value FROM events
@@ -192,6 +201,26 @@ def exp_store(spark, sf_dir):
     return kept.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("duration_seconds"), 4).alias("seconds"))
 
 
+@query(
+    "exp_metric_log",
+    """SELECT CAST(user_id AS VARCHAR) AS experiment_id, event_type AS "key", value FROM events
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1""",
+)
+def exp_metric_log(spark, sf_dir):
+    """Metrics are logged in two appends and read back as their last values."""
+    store = ExperimentStore(spark, new_shared_path(spark, "experiments"))
+    log = read(spark, sf_dir, "events").select(
+        F.col("user_id").alias("experiment_id"),
+        F.col("event_type").alias("key"),
+        "value",
+        F.col("event_id").alias("seq"),
+        F.col("ts").alias("logged_at"),
+    )
+    for half in (0, 1):
+        store.log_metrics(log.where(F.col("seq") % 2 == half))
+    return ex.latest_metrics(store.metric_log())
+
+
 # ---- sources and sinks -----------------------------------------------------
 
 
@@ -232,6 +261,18 @@ def src_sample(spark, sf_dir):
     return tables.first_rows(tables.read_table(spark, path), "p_partkey")
 
 
+@query(
+    "src_csv_shapes",
+    """SELECT (SELECT COUNT(*) FROM information_schema.columns WHERE table_name = 'customer') AS columns, COUNT(*) AS rows FROM customer""",
+)
+def src_csv_shapes(spark, sf_dir):
+    """Shapes of the CSV files written from a table: together its columns and rows."""
+    path = new_shared_path(spark, "shapes")
+    read(spark, sf_dir, "customer").repartition(3).write.option("header", True).csv(path)
+    found = tables.csv_shapes(spark, path)
+    return found.agg(F.max("columns").cast("bigint").alias("columns"), F.sum("rows").alias("rows"))
+
+
 @query("src_inventory")
 def src_inventory(spark, sf_dir):
     return tables.file_inventory(spark, sf_dir)

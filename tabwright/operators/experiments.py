@@ -58,10 +58,17 @@ def metric_names(experiments: DataFrame) -> list[str]:
     keys = F.explode(F.map_keys(F.from_json("metrics", "map<string,string>")))
     found = experiments.select(keys.alias("k")).distinct().limit(MAX_METRICS + 1).collect()
     if len(found) > MAX_METRICS:
-        raise ValueError(f"more than {MAX_METRICS} metric names: pass the ones to compare")
+        raise ValueError(f"more than {MAX_METRICS} metric names: name some, or use metric_values")
     return sorted(r["k"] for r in found)
 
 
+def metric_values(experiments: DataFrame) -> DataFrame:
+    """``(id, metric, value)``: every metric of every experiment, whatever their number; no number is NULL."""
+    parsed = F.from_json("metrics", "map<string,string>")
+    long = experiments.select("id", F.explode(parsed).alias("metric", "value"))
+    return long.withColumn("value", F.col("value").try_cast("double"))
+
+
 def compare_experiments(experiments: DataFrame, metrics: Sequence[str] | None = None) -> DataFrame:
     """One row per experiment with a ``metric_*`` column per metric and its duration."""
     names = list(metrics) if metrics is not None else metric_names(experiments)

@@ -44,6 +44,7 @@ SCHEMAS: dict[str, T.StructType] = {
     .add("created_at", _TS)
     .add("metadata", _S),
 }
+METRIC_LOG = T.StructType().add("experiment_id", _S).add("key", _S).add("value", _D).add("seq", _L)
 
 
 @dataclass
@@ -65,6 +66,24 @@ class ExperimentStore:
         )
         full.write.mode("append").parquet(f"{self.root}/{table}")
 
+    def log_metrics(self, rows: DataFrame) -> None:
+        """Append ``experiment_id, key, value``; ``seq`` orders what is logged together."""
+        have = set(rows.columns)
+        stamp = F.col("logged_at") if "logged_at" in have else F.current_timestamp()
+        full = rows.select(
+            *[
+                (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+                for f in METRIC_LOG.fields
+            ],
+            stamp.cast(_TS).alias("logged_at"),
+        )
+        full.write.mode("append").parquet(f"{self.root}/metric_log")
+
+    def metric_log(self) -> DataFrame:
+        """Everything logged: the input of ``latest_metrics``."""
+        stored = T.StructType([*METRIC_LOG.fields, T.StructField("logged_at", _TS)])
+        return self.spark.read.schema(stored).parquet(f"{self.root}/metric_log")
+
     def read(self, table: str) -> DataFrame:
         """The latest row of every id; copies of an id collapse before the shuffle."""
         schema = SCHEMAS[table]
