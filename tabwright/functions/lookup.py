@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .columns import quoted
-
 from .sizing import MAX_ROWS, settle
 
 PIECES_PER_PARTITION = 4

@@ -27,11 +27,13 @@ def range_edges(df: DataFrame, column: str, ranges: int) -> list[float]:
     Sketches are merged per shard first, so that no task merges one sketch per
     input split. The cuts only balance the work; results do not depend on them.
     """
-    probes = [i / _PROBES for i in range(1, _PROBES)]
+    # More ranges than probes would leave the cuts between two probes together.
+    n_probes = max(_PROBES, 2 * ranges)
+    probes = [i / n_probes for i in range(1, n_probes)]
     sketches = (
         df.select(F.col(column).cast("double").alias("v"))
         .groupBy((F.spark_partition_id() % _SHARDS).alias("shard"))
-        .agg(F.percentile_approx("v", probes, _PROBES).alias("q"), F.count("v").alias("n"))
+        .agg(F.percentile_approx("v", probes, n_probes).alias("q"), F.count("v").alias("n"))
         .select(F.explode("q").alias("v"), "n")
     )
     wanted = [i / ranges for i in range(1, ranges)]

@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import quoted
-
 from ..functions.lookup import Lookup, attach, prepare
 from ..functions.ordering import IN_ONE_TASK, range_edges, ranges_for, with_range
 from ..functions.quantiles import IN_ONE_GROUP, group_quantiles
 from ..functions.sizing import MAX_ROWS
+from ..session import cut_lineage
 
 SIMPLE_STATS = ("mean", "std", "max", "min")
 ALL_STATS = (*SIMPLE_STATS, "median")
@@ -146,6 +146,8 @@ def lag_features(
     within = hot_rows.select(
         "*", first.alias("__first"), last.alias("__last"), *lags(cut.orderBy(*order))
     )
+    # Read three times from here on.
+    within = cut_lineage(within)
     body = within.where(F.col("__first") > reach)
     # At most 2 * reach rows per range reach this window.
     seam = within.where((F.col("__first") <= reach) | (F.col("__last") <= reach)).drop(*made)

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import numeric_columns, per_column, string_columns, quoted
+from ..functions.columns import numeric_columns, per_column, quoted, string_columns
 from ..functions.quantiles import quantile_values
 from .profile import value_counts
 

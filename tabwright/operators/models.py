@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import quoted
-
 from .folds import FOLDS, SEED, fold_by_hash
 from .metrics import fold_scores
 

@@ -6,8 +6,9 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,7 +125,8 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     """``(feature1, feature2, corr)`` for every pair i < j, pairwise complete.
 
     A first pass finds means, gaps and constants. Pairs without gaps then need only
-    sums of centred products; pairs with gaps keep their own counts and means.
+    sums of centred products; pairs with gaps keep their own counts and means. Many pairs
+    of either kind come from one distributed matrix product.
     """
     columns = list(columns or numeric_columns(df))
     x = {c: quoted(c).cast("double") for c in columns}
@@ -136,6 +138,7 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
             lambda c: {
                 "gaps": F.count(F.lit(1)) - F.count(quoted(c)),
                 "mean": F.avg(x[c]),
+                "spread": F.stddev_pop(x[c]),
                 "flat": F.coalesce(F.min(x[c]) == F.max(x[c]), F.lit(True)),
             },
         ).collect()
@@ -151,9 +154,11 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
         parts.append(_matrix_correlations(df, whole))
     elif full:
         parts.append(_centred_correlations(df, full, {c: facts[c]["mean"] for c in whole}))
-    for i in range(0, len(holed), HOLED_PER_PASS):
-        cells = [(a, b, correlation(a, b)) for a, b in holed[i : i + HOLED_PER_PASS]]
-        parts.append(_pair_rows(df, cells))
+    if len(holed) > HOLED_PER_PASS:
+        used = sorted({c for p in holed for c in p}, key=columns.index)
+        parts.append(_gapped_correlations(df, holed, used, {c: (facts[c]["mean"], facts[c]["spread"]) for c in used}))
+    elif holed:
+        parts.append(_pair_rows(df, [(a, b, correlation(a, b)) for a, b in holed]))
     if flat:
         rows = [(a, b, None) for a, b in flat]
         parts.append(df.sparkSession.createDataFrame(rows, "feature1 string, feature2 string, corr double"))
@@ -192,6 +197,44 @@ def _matrix_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "feature1 string, feature2 string, corr double")
 
 
+def _gapped_correlations(
+    df: DataFrame,
+    pairs: Sequence[tuple[str, str]],
+    columns: Sequence[str],
+    scale: dict[str, tuple[float, float]],
+) -> DataFrame:
+    """Many pairs with gaps, in two scans whatever their number.
+
+    Each column becomes its scaled value (gaps as 0), a flag of its presence and its
+    square. The products of these, summed over all rows, hold the count, sums and
+    products of the rows that any two columns share.
+    """
+    k = len(columns)
+    values = [(quoted(c).cast("double") - F.lit(scale[c][0])) / F.lit(scale[c][1] or 1.0) for c in columns]
+    zero, one = F.lit(0.0), F.lit(1.0)
+    parts = (
+        [F.coalesce(v, zero) for v in values]
+        + [F.when(v.isNull(), zero).otherwise(one) for v in values]
+        + [F.coalesce(v * v, zero) for v in values]
+    )
+    table = df.select(*[p.alias(f"x{i}") for i, p in enumerate(parts)])
+    vectors = VectorAssembler(inputCols=table.columns, outputCol="features").transform(table).select("features")
+    moments_of = Summarizer.metrics("mean", "std", "count").summary(F.col("features"))
+    summary = vectors.select(moments_of.alias("s")).first()["s"]
+    rows, mean, std = summary["count"], summary["mean"].toArray(), summary["std"].toArray()
+    related = np.nan_to_num(Correlation.corr(vectors, "features").first()[0].toArray(), nan=0.0)
+    total = (rows - 1) * related * np.outer(std, std) + rows * np.outer(mean, mean)
+    x, m, q = slice(0, k), slice(k, 2 * k), slice(2 * k, 3 * k)
+    n, sums, squares, products = total[m, m], total[x, m], total[q, m], total[x, x]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = n * squares - sums * sums
+        flat = (n < 1.5) | (spread <= 1e-9 * np.maximum(n * squares, 1e-300))
+        found = (n * products - sums * sums.T) / np.sqrt(np.where(flat | flat.T, np.nan, spread * spread.T))
+    place = {c: i for i, c in enumerate(columns)}
+    out = [(a, b, None if np.isnan(r := found[place[a], place[b]]) else float(r)) for a, b in pairs]
+    return df.sparkSession.createDataFrame(out, "feature1 string, feature2 string, corr double")
+
+
 def high_correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     found = correlations(df, columns).where(F.abs("corr") > HIGH_CORRELATION)
     return found.withColumn("corr", F.round("corr", 3))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import per_column, string_columns, quoted
+from ..functions.columns import per_column, quoted, string_columns
 from ..functions.sizing import settle
 from .profile import distinct_counts
 from .schema import schema_difference

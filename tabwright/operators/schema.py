@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import datetime_columns, numeric_columns, per_column, string_columns, quoted
+from ..functions.columns import datetime_columns, numeric_columns, per_column, quoted, string_columns
 from ..functions.moments import skew
 from .profile import distinct_counts, value_counts
 

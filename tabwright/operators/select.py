@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import numeric_columns, string_columns, quoted
+from ..functions.columns import numeric_columns, quoted, string_columns
 from ..functions.quantiles import quantile_values
 from .schema import FEW_VALUES, target_facts
 

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tabwright.functions import lookup, quantiles, sizing
+from tabwright.functions import lookup, ordering, quantiles, sizing
 from tabwright.functions.columns import per_numeric_column
 from tabwright.functions.moments import skew
 from tabwright.operators import blend, impute, metrics, models, profile, quality
@@ -59,6 +59,25 @@ def test_reports_on_an_empty_table(spark):
     assert impute.missing_shares(empty, ["a", "b"]) == {}
 
 
+def test_many_pairs_with_gaps_correlate_as_pairs(spark):
+    rng = random.Random(11)
+    rows = [tuple(None if rng.random() < 0.2 else rng.gauss(10**k, 2) for k in range(8)) + (7.0 if r % 3 else None,) for r in range(200)]
+    names = [f"c{k}" for k in range(9)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names))
+    got = {(r["feature1"], r["feature2"]): r["corr"] for r in profile.correlations(df).collect()}
+    want = df.toPandas().corr()
+    assert len(got) == 36
+    for (a, b), r in got.items():
+        assert r == pytest.approx(want.loc[a, b]) if r is not None else math.isnan(want.loc[a, b])
+
+
+def test_many_ranges_are_even(spark):
+    df = spark.range(40_000).select((F.col("id") * 37 % 40_000).alias("v"))
+    cut = ordering.with_range(df, "v", ordering.range_edges(df, "v", 4000), "r")
+    sizes = [r["count"] for r in cut.groupBy("r").count().collect()]
+    assert len(sizes) > 2000 and max(sizes) <= 60
+
+
 def test_measured_tables(spark):
     table = spark.range(100).select(F.col("id"), F.lit("x" * 100).alias("text"))
     for rows, size, small in ((100, 1 << 20, True), (99, 1 << 20, False), (100, 5000, False), (0, 1 << 20, False)):
