@@ -371,7 +371,7 @@ def eda_target_column(spark, sf_dir):
 
 @query(
     "eda_insights",
-    """SELECT 'skewed' AS rule, COUNT(*) AS value, COUNT(*) || ' features are highly skewed' AS message
+    """SELECT 'skewed' AS rule, COUNT(*) AS value, COUNT(*) || ' numeric columns lean to one side' AS message
   FROM (SELECT SKEWNESS(n_chars) AS s FROM documents UNION ALL SELECT SKEWNESS(doc_id) FROM documents)
   WHERE ABS(s) > 1 HAVING COUNT(*) > 0""",
 )
@@ -381,7 +381,7 @@ def eda_insights(spark, sf_dir):
 
 @query(
     "eda_insights_orders",
-    "SELECT 'missing' AS rule, COUNT(*) AS value, COUNT(*) || ' columns have missing values' AS message FROM ("
+    "SELECT 'missing' AS rule, COUNT(*) AS value, COUNT(*) || ' of the columns hold gaps' AS message FROM ("
     + union_sql(_GAP_COLUMNS, lambda c: f"SELECT COUNT(*) - COUNT({c}) AS m FROM {GAPS_SQL}")
     + ") WHERE m > 0 HAVING COUNT(*) > 0",
 )

@@ -233,9 +233,3 @@ def fit_categorical_encoding(train: DataFrame, columns: Sequence[str]) -> Catego
     wide = [c for c in columns if c not in label and c not in hot]
     counts = fit_count_encoding(train, wide) if wide else CountEncoding({}, "count", True)
     return CategoricalEncoding(LabelEncoding(label), OneHotEncoding(hot), counts)
-
-
-def unique_values(train: DataFrame, columns: Sequence[str]) -> dict[str, int]:
-    if not columns:
-        return {}
-    return {r["column"]: r["n_unique"] for r in distinct_counts(train, columns).collect()}

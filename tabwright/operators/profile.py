@@ -394,17 +394,17 @@ def insights(df: DataFrame) -> DataFrame:
         F.col("value") > MANY_COLUMNS
     )
     found = {
-        "many_columns": (spark_rows, "features"),
-        "missing": (_row_count(missing_values(df)), "columns have missing values"),
+        "many_columns": (spark_rows, "columns in the table"),
+        "missing": (_row_count(missing_values(df)), "of the columns hold gaps"),
     }
     if len(numeric_columns(df)) > 1:
         found["high_correlation"] = (
             _row_count(high_correlations(df)),
-            "feature pairs have high correlation (>0.8)",
+            "pairs of columns correlate strongly",
         )
     if numeric_columns(df):
         skewed = moments(df).where(F.abs("skewness") > SKEWED)
-        found["skewed"] = (_row_count(skewed), "features are highly skewed")
+        found["skewed"] = (_row_count(skewed), "numeric columns lean to one side")
     parts = [
         rows.where(F.col("value") > 0).select(
             F.lit(rule).alias("rule"),
