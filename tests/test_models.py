@@ -125,7 +125,7 @@ def test_drawn_trials_repeat_and_stay_inside():
 def test_training_result(classes):
     test = classes.drop("y", "fold")
     result = train_models(classes, CLASSIFICATION, SMALL, test, 3)
-    assert set(result.ensembles) == {"vote", "blend"}
+    assert set(result.ensembles) == {"vote", "blend", "weights"}
     assert result.best in {*SMALL, *result.ensembles}
     assert result.predictions.count() == 200
     assert result.board.columns == ["model", "mean_score", "std_score", "folds"]
