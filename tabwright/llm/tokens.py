@@ -14,7 +14,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 
-MEMO = 600_000
+MEMO = 1_200_000
 LONG_PART = 48
 _encoders: dict[str, Encoder] = {}
 
@@ -48,6 +48,9 @@ class Encoder:
         self.bare: dict[str, bytes | None] = {}
         self.stops = {c: self._whole([c])[0] for c in ".,"}
         self.line_break = self._whole(["\n"])[0]
+        # Tokens that begin with a blank (written so in byte-level vocabularies).
+        self.after_blank = np.zeros(top + 1, bool)
+        self.after_blank[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
 
     def _whole(self, texts: Sequence[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)
@@ -76,19 +79,30 @@ class Encoder:
                 fresh[p] = p
         words = list(set(fresh.values()).difference(memo))
         if words:
-            got = self.tokenizer.encode([lead + w for w in words], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(got.ids, self.dtype).tobytes()
-            owner = np.array(got.word_ids)
-            size = self.dtype.itemsize
-            ends = np.searchsorted(owner, np.arange(len(words)), side="right") * size
-            start = 0
-            for w, end in zip(words, ends.tolist(), strict=True):
-                memo[w] = ids[start:end]
-                start = end
+            ids, starts = self._parts(words, lead)
+            raw, size = ids.tobytes(), self.dtype.itemsize
+            places = [*(starts * size).tolist(), len(raw)]
+            gap = 0 if lead else len(self.line_break)
+            places[-1] += gap
+            for w, start, end in zip(words, places, places[1:], strict=False):
+                memo[w] = raw[start : end - gap]
         for p, w in fresh.items():
             if p != w:
                 memo[p] = memo[w] + self.stops[p[-1]]
 
+    def _parts(self, words: list[str], lead: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that follow a blank each, or stand on lines of their own, and where each starts."""
+        joined = lead + " ".join(words) if lead else "\n".join(words)
+        ids = np.frombuffer(self._whole([joined])[0], self.dtype)
+        if lead:
+            starts = np.flatnonzero(self.after_blank[ids])
+        else:
+            stops = np.flatnonzero(ids == np.frombuffer(self.line_break, self.dtype)[0])
+            starts = np.concatenate([[0], stops + 1])
+        if len(starts) != len(words):
+            raise ValueError("the vocabulary has tokens across white space")
+        return ids, starts
+
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes of ``dtype``."""
         if not self.in_parts:
@@ -122,9 +136,9 @@ class Encoder:
                 out.append(self.line_break.join([b"".join([self.bare[x[0]], *map(after, x[1:])]) for x in lines]))
             except TypeError:  # a part holds other white space
                 out.append(None)
-        for memo in (self.spaced, self.bare):
-            for p in [p for p in spaced | bare if len(p) > LONG_PART]:
-                memo.pop(p, None)
+        for memo, found in ((self.spaced, spaced), (self.bare, bare)):
+            for p in [p for p in found if len(p) > LONG_PART]:
+                del memo[p]
         rest = [i for i, x in enumerate(out) if x is None]
         if rest:
             for i, x in zip(rest, self._whole([texts[i] for i in rest]), strict=True):
