@@ -98,11 +98,24 @@ class Extractor:
         return mask
 
 
+def _smallest(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    """The ``limit`` rows with the smallest values of a hash column (ties by the other columns).
+
+    A bound on the hash lets only about as many rows through as are wanted, so that what
+    reaches the last task does not grow with the number of partitions.
+    """
+    n = rows.count()
+    share = 1.1 * (limit + 1000) / max(n, 1)
+    if share < 1:
+        rows = rows.where(F.col(key) <= F.lit(int(-(2**63) + share * 2**64)))
+    return rows.orderBy(key, *[c for c in rows.columns if c != key]).limit(limit)
+
+
 def _sample(labels: DataFrame, doc_id: str, label: str, rows: int) -> list[tuple[int, int]]:
     """Ids and labels of at most ``rows`` labelled rows outside the held-out fold, by hash."""
     fine = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(doc_id)))
     one = fine.groupBy(doc_id).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
-    picked = one.orderBy(F.xxhash64(doc_id), doc_id).limit(rows).collect()
+    picked = _smallest(one.withColumn("__key", F.xxhash64(doc_id)), "__key", rows).collect()
     return [(r[doc_id], r["y"]) for r in picked]
 
 
@@ -334,6 +347,7 @@ def fit(
     strong = (
         counts.where((F.col("toxic") >= LEAST_SUPPORT) & (F.col("toxic") >= 3 * F.col("clean")))
         .withColumn("signal", odds * F.col("toxic"))
+        .coalesce(64)
         .orderBy(F.desc("signal"), "f")
         .limit(features)
         .collect()
@@ -376,7 +390,7 @@ def fit(
     )
     patterns = cut_lineage(votes.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).coalesce(64))
     model = fit_label_model(patterns, precision, prior, none)
-    fitted = votes.orderBy("key", "votes").limit(sample_rows).select("votes", "features").collect()
+    fitted = _smallest(votes, "key", sample_rows).select("votes", "features").collect()
     target = model.posteriors(np.array([r["votes"] for r in fitted], np.int64))[0] if fitted else np.zeros(0)
     if not names:
         target = np.minimum(target, 0.01)
