@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .common import WHITE, mix, partitions, ship
+from .tokens import slices
 
 WINDOW_WORDS = 50
 GRAM = 8
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 SUBTREE = 20_000
 COUNTED_SHARE = 16
 
@@ -114,7 +115,7 @@ def _shape(words: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
     """Documents of a few megabytes at a time, in the order of their ids."""
-    for b in batches:
+    for b in slices(batches):
         ids, ths, texts = (b.column(c) for c in ("id", "th", "text"))
         ids, ths, texts = ids.to_numpy(), ths.to_numpy(), texts.to_pylist()
         begin = size = 0
