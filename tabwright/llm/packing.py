@@ -16,6 +16,7 @@ Only totals per source reach the driver (one row per source), for the schedule.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -32,6 +33,7 @@ from .tokens import default_tokenizer, encoder, id_type, slices
 SEQUENCE_TOKENS = 1024
 BLOCK_TOKENS = 1 << 20
 LEAST_PIECE = 128
+FEW_QUEUES = 64
 MAX_BROADCAST_ROWS = 200_000
 
 
@@ -77,22 +79,28 @@ def deal(sizes: np.ndarray, window: int, least: int) -> tuple[np.ndarray, np.nda
 
     No serving crosses a window's border; every window but the last is filled.
     """
-    left = sizes.astype(np.int64).copy()
-    total = int(left.sum())
+    total = int(sizes.sum())
     share = sizes / max(total, 1)
-    deficit = np.zeros(len(sizes))
+    left = sizes.tolist()
+    few = len(left) <= FEW_QUEUES
+    # A drained queue's deficit stays at minus infinity, so it is served no more.
+    deficit = [0.0] * len(left) if few else np.zeros(len(left))
+    credit = (share * window).tolist() if few else share * window
+    queues = range(len(left))
     who: list[int] = []
     much: list[int] = []
     done = 0
     while done < total:
         room = min(window, total - done)
-        deficit += share * room
+        if room < window:
+            credit = (share * room).tolist() if few else share * room
+        deficit = [d + c for d, c in zip(deficit, credit, strict=True)] if few else deficit + credit
         done += room
         while room:
-            s = int(np.argmax(np.where(left > 0, deficit, -np.inf)))
-            n = int(min(room, left[s], max(least, int(deficit[s]))))
-            deficit[s] -= n
+            s = max(queues, key=deficit.__getitem__) if few else int(np.argmax(deficit))
+            n = min(room, left[s], max(least, int(deficit[s])))
             left[s] -= n
+            deficit[s] = deficit[s] - n if left[s] else -math.inf
             room -= n
             who.append(s)
             much.append(n)

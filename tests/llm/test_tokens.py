@@ -161,6 +161,14 @@ def test_round_robin_fills_windows_and_bounds_deficits():
         assert (np.abs(served - sizes * served.sum() / 8000) <= 132).all()
 
 
+def test_many_queues_are_dealt_like_few(monkeypatch):
+    sizes = np.random.default_rng(4).integers(1, 500, 40)
+    few = packing.deal(sizes, 100, 16)
+    monkeypatch.setattr(packing, "FEW_QUEUES", 0)
+    many = packing.deal(sizes, 100, 16)
+    assert all((a == b).all() for a, b in zip(few, many, strict=True))
+
+
 def test_schedule_blocks_partition_every_queue():
     plan = packing.Schedule(np.array([1000, 17, 50_000]), np.array([0.5, 0.3, 0.2]), 13)
     for s, n in enumerate(plan.tokens):
