@@ -91,7 +91,14 @@ def _join(kind: str, parts: Sequence[Query]) -> Query:
 
 
 def _one_of(strings: frozenset[str]) -> Query:
-    return _join("or", [_join("and", [s[i : i + 3] for i in range(len(s) - 2)]) for s in sorted(strings)])
+    # Only ASCII trigrams are indexed; others are not mandatory.
+    parts = [[t for i in range(len(s) - 2) if (t := s[i : i + 3]).isascii()] for s in sorted(strings)]
+    return _join("or", [_join("and", p) for p in parts])
+
+
+def _low(value: int) -> str:
+    """A character in lower case as the texts are: ASCII only."""
+    return chr(value).lower() if value < 128 else chr(value)
 
 
 def _loose(f: Facts) -> Facts:
@@ -144,9 +151,9 @@ def _chars(items: list) -> Facts:
     found: set[str] = set()
     for op, value in items:
         if op is C.LITERAL:
-            found.add(chr(value).lower())
+            found.add(_low(value))
         elif op is C.RANGE and value[1] - value[0] < 2 * MAX_CHARS:
-            found.update(chr(c).lower() for c in range(value[0], value[1] + 1))
+            found.update(_low(c) for c in range(value[0], value[1] + 1))
         else:
             return _any()
     return Facts(frozenset(found), NOTHING, NOTHING) if len(found) <= 2 * MAX_CHARS else _any()
@@ -156,7 +163,7 @@ def _facts(tree: Sequence) -> Facts:
     out = Facts(NOTHING, NOTHING, NOTHING)
     for op, value in tree:
         if op is C.LITERAL:
-            part = Facts(frozenset({chr(value).lower()}), NOTHING, NOTHING)
+            part = Facts(frozenset({_low(value)}), NOTHING, NOTHING)
         elif op is C.IN:
             part = _chars(value)
         elif op is C.SUBPATTERN:
