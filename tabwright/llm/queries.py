@@ -11,6 +11,7 @@ from . import (
     ann,
     decontaminate,
     line_dedup,
+    mixing,
     packing,
     secret_scan,
     sharding,
@@ -199,3 +200,41 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     found = toxicity.score_documents(docs.select("doc_id", "text"), labels)
     return found.select("doc_id", "held_out", F.col("toxicity").alias("score"), "predicted")
+
+
+MIX_SQL = r"""WITH measured AS (
+    SELECT doc_id, source, CAST(len(regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+      md5(concat_ws(':', '0', COALESCE(CAST(doc_id AS VARCHAR), ''), md5(COALESCE(text, '')))) AS key
+    FROM documents),
+  sources AS (
+    SELECT source, CAST(SUM(size) AS HUGEINT) AS s, 1 + (ROW_NUMBER() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w
+    FROM measured GROUP BY source),
+  sums AS (SELECT SUM(s) AS t FROM sources),
+  ordered AS (
+    SELECT *, COALESCE(SUM(3 * s) OVER (ORDER BY 3 * s / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c,
+      SUM(w) OVER (ORDER BY 3 * s / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS o
+    FROM sources, sums),
+  capped AS (SELECT *, c * w + 3 * s * o <= t * w AS is_full FROM ordered),
+  rest AS (
+    SELECT MAX(t) - COALESCE(SUM(CASE WHEN is_full THEN 3 * s END), 0) AS r,
+      COALESCE(SUM(CASE WHEN NOT is_full THEN w END), 1) AS o
+    FROM capped),
+  plan AS (
+    SELECT source, CAST(s AS BIGINT) AS source_size,
+      CASE WHEN is_full THEN CAST(3 * s AS DOUBLE) ELSE CAST(w * rest.r AS DOUBLE) / CAST(rest.o AS DOUBLE) END AS target,
+      CAST(CASE WHEN is_full THEN 3 * s ELSE (2 * w * rest.r + rest.o) // (2 * rest.o) END AS BIGINT) AS budget
+    FROM capped, rest),
+  placed AS (
+    SELECT m.doc_id, m.size, p.*, COALESCE(SUM(m.size) OVER (
+        PARTITION BY m.source ORDER BY m.key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM measured m JOIN plan p ON m.source IS NOT DISTINCT FROM p.source)
+  SELECT doc_id, size, source_size, target,
+    CAST(CASE WHEN source_size = 0 THEN 0 ELSE budget // source_size * size
+      + LEAST(GREATEST(budget % source_size - before, 0), size) END AS BIGINT) AS taken
+  FROM placed"""
+
+
+@register("op11_source_mixing", MIX_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, keep_text=False).select("doc_id", "size", "source_size", "target", "taken")
