@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import (
     ann,
+    collocations,
     decontaminate,
     line_dedup,
     mixing,
@@ -238,3 +239,43 @@ MIX_SQL = r"""WITH measured AS (
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs, keep_text=False).select("doc_id", "size", "source_size", "target", "taken")
+
+
+PHRASE_SQL = r"""WITH folded AS (
+    SELECT doc_id, COALESCE(lang, 'und') AS lang,
+      translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+    FROM documents),
+  pieces AS (SELECT lang, unnest(regexp_extract_all(t, '[^.,;:!?\x0A-\x0D]+')) AS piece FROM folded),
+  split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+  totals AS (SELECT lang, CAST(SUM(len(w)) AS BIGINT) AS total FROM split GROUP BY lang),
+  grams AS (
+    SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS g
+    FROM (SELECT lang, w, k FROM split, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k),
+      LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i)),
+  f AS (SELECT lang, k, g, COUNT(*) AS a FROM grams GROUP BY lang, k, g HAVING COUNT(*) >= 30),
+  cuts AS (
+    SELECT lang, k, g, a, j, array_to_string(string_split(g, ' ')[1 : j], ' ') AS g1,
+      array_to_string(string_split(g, ' ')[j + 1 : k], ' ') AS g2
+    FROM f, LATERAL (SELECT unnest(range(1, k)) AS j) WHERE k > 1),
+  scored AS (
+    SELECT c.lang, c.k, c.g, c.a, c.j, x.a AS l, y.a AS r,
+      CAST((2000000 * CAST(c.a AS HUGEINT)) // (x.a + y.a) AS BIGINT) AS score
+    FROM cuts c JOIN f x ON x.lang = c.lang AND x.k = c.j AND x.g = c.g1
+      JOIN f y ON y.lang = c.lang AND y.k = c.k - c.j AND y.g = c.g2),
+  lowest AS (
+    SELECT * FROM scored QUALIFY ROW_NUMBER() OVER (PARTITION BY lang, k, g ORDER BY score, j) = 1),
+  extended AS (
+    SELECT lang, array_to_string(string_split(g, ' ')[1 : k - 1], ' ') AS g, a FROM f WHERE k > 2
+    UNION ALL SELECT lang, array_to_string(string_split(g, ' ')[2 : k], ' ') AS g, a FROM f WHERE k > 2),
+  held AS (SELECT lang, g, MAX(a) AS most FROM extended GROUP BY lang, g),
+  ranked AS (
+    SELECT s.lang, ROW_NUMBER() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.g) AS rank,
+      s.g AS phrase, s.a, s.l, s.r, s.score
+    FROM lowest s LEFT JOIN held h ON s.lang = h.lang AND s.g = h.g
+    WHERE h.most IS NULL OR 100 * h.most < 80 * s.a)
+  SELECT lang, rank, phrase, a, l, r, total AS n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
+
+@register("op13_collocations", PHRASE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents").select("lang", "text"))
