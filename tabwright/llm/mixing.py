@@ -214,5 +214,5 @@ def epochs(mixed: DataFrame, text: str = "text") -> DataFrame:
     words = F.least(size, taken - F.col("epoch") * size).cast("long")
     # Possessive repeats: the pattern is matched without recursion, however many words it takes.
     head = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), words.cast("string"), F.lit("}+"))
-    cut = F.when(words == size, quoted(text)).otherwise(F.regexp_extract(quoted(text), head, F.lit(0)))
+    cut = F.when(words == size, quoted(text)).otherwise(F.call_function("regexp_extract", quoted(text), head, F.lit(0)))
     return rows.withColumn("words", words).withColumn(text, cut)
