@@ -1,9 +1,10 @@
 """Words one edit apart, by walking a relational trie level by level, and the form each is a variant of.
 
-The trie is two tables. Its nodes are the beginnings after which words go on in more than one way
-(their end counts as one); an edge leads from a node, by its first letter and the letters up to
-the next node, to that node. Nodes are named by a 64-bit hash of the letters before them, so every
-word knows its own nodes without a join.
+The trie is a table of edges. Its nodes are the beginnings after which words go on in more than one
+way (their end counts as one); an edge leads from a node, by its first letter and the letters up to
+the next node, to that node. Nodes are named by a 64-bit hash of the letters before them, and which
+hashes are nodes is told to the tasks by a bitmap of fixed size, so every word knows its own nodes
+without a join. A false hit in the bitmap cuts an edge in two and changes no result.
 
 A state of the frontier is (word, position, node, edits). Words start at their own nodes with no
 edit made. Two words that are one edit apart part at a node of both: there another edge is taken in
@@ -14,7 +15,8 @@ insertions seen from the other word, and of two replacements one is enough.
 
 An edit lies in the second half of a word or in the second half of the word read backwards, so
 there is a second trie of reversed words, and in both only nodes from the middle on are kept.
-The crowded nodes near the root, where every state would meet every letter, do not exist.
+The crowded nodes near the root, where every state would meet every letter, do not exist. Edges
+carry two bit masks of what follows below them, which end most states at once.
 
 Hashes that two beginnings share add states and never lose one; pairs are compared at the end.
 """
@@ -29,11 +31,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import quoted
-from ..functions.lookup import attach, prepare
 from ..session import cut_lineage
 from .common import mix, ship
 
@@ -44,7 +45,7 @@ LOSS = 31
 RUN = r"[A-Za-zÀ-ÿ]"
 _SMALL = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _WORDS_HELD = 400_000
-_ROWS = 200_000
+NODE_BITS = 1 << 26
 
 
 def _word_counts(least: int, loss: int):
@@ -100,147 +101,190 @@ def words(
     return found.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= count)
 
 
-def _letters(batch: pa.RecordBatch, at: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """The code points of a slice of words in a row, and where each begins."""
-    texts = batch.column("word").slice(at, rows).to_pylist()
-    sizes = np.array([len(t) for t in texts])
-    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-    return codes, np.concatenate([[0], np.cumsum(sizes)])
-
-
-def _walk(codes: np.ndarray, starts: np.ndarray, backwards: int) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
-    """All words at once, letter by letter: which words, the position, their hashes and next letters (0: the end)."""
-    sizes = np.diff(starts)
-    h = np.full(len(sizes), 0x9E3779B97F4A7C15 + backwards, np.uint64)
-    alive = np.flatnonzero(sizes >= 0)
-    for p in range(int(sizes.max(initial=-1)) + 1):
-        alive = alive[sizes[alive] >= p]
-        more = sizes[alive] > p
-        at = starts[alive + 1] - 1 - p if backwards else starts[alive] + p
-        c = np.where(more, codes[np.where(more, at, 0)], 0).astype(np.int64)
-        yield alive, p, h[alive], c
-        with np.errstate(over="ignore"):
-            h[alive] = mix(h[alive] * np.uint64(0xD1342543DE82EF95) + c.astype(np.uint64) + np.uint64(1))
-
-
-def _hashes(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(starts) - 1, np.uint64)
-    for alive, p, h, _ in _walk(codes, starts, 0):
-        ends = np.diff(starts)[alive] == p
-        out[alive[ends]] = h[ends]
-    return out.view(np.int64)
-
-
-def _slices(batch: pa.RecordBatch, letters: int = 400_000) -> Iterator[tuple[int, int]]:
-    sizes = np.array([len(t or "") for t in batch.column("word").to_pylist()])
-    at = 0
-    while at < len(sizes):
-        rows = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), letters)))
-        yield at, rows
-        at += rows
-
-
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words with a hash as their number: that of the node at their end."""
-    for batch in batches:
-        for at, rows in _slices(batch):
-            ids = _hashes(*_letters(batch, at, rows))
-            own = batch.slice(at, rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), own.column("word"), own.column("n")], names=["id", "word", "n"]
-            )
+class _Paths:
+    """Hashes and letters of some words at every position, read in one direction.
 
+    A word of n letters has n + 1 places in a row: the positions 0 to n, the last its end.
+    """
 
-def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Where words may branch: from their middle on, forwards and backwards."""
-    names = ["id", "back", "p", "h", "c"]
+    def __init__(self, words: list[str], back: int) -> None:
+        self.keys = [w[::-1] for w in words] if back else words
+        sizes = np.array([len(w) for w in words], np.int64)
+        codes = np.frombuffer("".join(self.keys).encode("utf-32-le"), np.uint32).astype(np.int64)
+        first = np.concatenate([[0], np.cumsum(sizes + 1)])
+        self.word = np.repeat(np.arange(len(words)), sizes + 1)
+        self.p = np.arange(first[-1]) - first[self.word]
+        self.left = sizes[self.word] - self.p
+        # Two zeros follow a word's letters, so that letters past its end are zero.
+        self.c = np.zeros(first[-1] + 2, np.int64)
+        self.c[:-2][self.left > 0] = codes
+        self.h = np.zeros(first[-1], np.uint64)
+        h = np.full(len(words), 0x9E3779B97F4A7C15 + back, np.uint64)
+        alive = np.arange(len(words))
+        for p in range(int(sizes.max(initial=-1)) + 1):
+            alive = alive[sizes[alive] >= p]
+            at = first[alive] + p
+            self.h[at] = h[alive]
+            with np.errstate(over="ignore"):
+                h[alive] = mix(h[alive] * np.uint64(0xD1342543DE82EF95) + self.c[at].astype(np.uint64) + np.uint64(1))
+        self.kept = self.p >= (sizes[self.word] - 1) // 2
+
+    def marks(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A bit each for the next two letters with the length left, and for the word's last two letters."""
+        second = np.where(self.left[at] > 1, self.c[at + 1], 0)
+        ahead = (31 * self.c[at] + 7 * second + self.left[at]) % 64
+        end = at + self.left[at]
+        size = self.p[at] + self.left[at]
+        last, before = (np.where(size > k, self.c[end - 1 - k], 0) for k in (0, 1))
+        return (np.left_shift(np.int64(1), x) for x in (ahead, (31 * last + 7 * before) % 64))
+
+
+def _paths(batches: Iterator[pa.RecordBatch], letters: int = 200_000) -> Iterator[tuple[int, _Paths, np.ndarray]]:
+    """Both directions of some words at a time, with the words' counts."""
     for batch in batches:
-        for at, rows in _slices(batch):
-            codes, starts = _letters(batch, at, rows)
-            ids, least = _hashes(codes, starts), (np.diff(starts) - 1) // 2
+        words, counts = batch.column("word").to_pylist(), batch.column("n").to_numpy(zero_copy_only=False)
+        cuts = np.cumsum([len(w) + 1 for w in words]) // letters
+        for part in np.split(np.arange(len(words)), np.flatnonzero(np.diff(cuts)) + 1) if words else []:
             for back in (0, 1):
-                held: list[tuple[np.ndarray, ...]] = []
-                size = 0
-                for alive, p, h, c in _walk(codes, starts, back):
-                    kept = least[alive] <= p
-                    own = alive[kept]
-                    held.append((ids[own], np.full(len(own), p), h[kept].view(np.int64), c[kept]))
-                    size += len(own)
-                    if size > _ROWS:
-                        yield _point_rows(held, back, names)
-                        held, size = [], 0
-                if held:
-                    yield _point_rows(held, back, names)
-
-
-def _point_rows(held: list[tuple[np.ndarray, ...]], back: int, names: list[str]) -> pa.RecordBatch:
-    i, p, h, c = (np.concatenate(x) for x in zip(*held, strict=True))
-    columns = [i, np.full(len(i), back, np.int32), p.astype(np.int32), h, c.astype(np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
-
-
-def trie(vocabulary: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """States before any edit, edges, and the nodes at which words end.
-
-    States are ``key, back, p, h, c``: the word in its direction, read backwards or not, a position,
-    the node there and the next letter. Edges are ``h, c, label, child``, the label with its first
-    letter ``c``. Ends are ``h, other``.
-    """
-    named = cut_lineage(vocabulary.mapInArrow(_named, "id long, word string, n long"))
-    points = cut_lineage(named.mapInArrow(_points, "id long, back int, p int, h long, c int"))
-    ways = points.groupBy("h").agg(F.min("c").alias("least"), F.max("c").alias("most"))
-    nodes = ways.where("least <> most").select("h", F.lit(True).alias("branches"))
-    on_path = attach(points, prepare(nodes), ["h"]).where("branches or c = 0")
-    after = Window.partitionBy("id", "back").orderBy("p")
-    steps = on_path.withColumn("q", F.lead("p").over(after)).withColumn("child", F.lead("h").over(after))
-    key = F.when(F.col("back") == 1, F.reverse("word")).otherwise(F.col("word"))
-    spelled = steps.join(named.select("id", "word"), "id").withColumn("key", key)
-    spelled = cut_lineage(spelled.select("key", "back", "p", "h", "c", "branches", "q", "child"))
-    label = F.substring("key", F.col("p") + 1, F.col("q") - F.col("p"))
-    edges = spelled.where("q is not null").select("h", "c", label.alias("label"), "child").distinct()
-    starts = spelled.where("branches").where(F.col("p") >= F.floor(F.length("key") / 2))
-    ends = spelled.where("c = 0").select("h", F.col("key").alias("other"))
-    return starts.select("key", "back", "p", "h", "c"), cut_lineage(edges), ends
+                yield back, _Paths([words[i] for i in part], back), counts[part]
+
+
+def _ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every beginning from the middle of a word on, and the letter that follows (0: the end)."""
+    for _, paths, _ in _paths(batches):
+        at = np.flatnonzero(paths.kept)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(paths.h[at].view(np.int64)), pa.array(paths.c[at].astype(np.int32))], names=["h", "c"]
+        )
+
+
+def _node_bits(vocabulary: DataFrame):
+    """A broadcast bitmap of fixed size with a bit for each beginning that goes on in more than one way."""
+    ways = vocabulary.mapInArrow(_ways, "h long, c int").groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b"))
+    place = F.col("h").bitwiseAND(F.lit(NODE_BITS - 1))
+    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    # At most NODE_BITS / 64 numbers come to the driver.
+    got = ways.where("a <> b").groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bits = np.zeros(NODE_BITS // 64, np.int64)
+    bits[got["at"].to_numpy()] = got["bits"].to_numpy()
+    return vocabulary.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+
+def _is_node(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h & np.uint64(NODE_BITS - 1)
+    return bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) == 1
+
+
+def _edges(nodes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(nodes.value, np.uint64)
+        for _, paths, _ in _paths(batches):
+            at = np.flatnonzero(paths.kept & ((paths.left == 0) | _is_node(bits, paths.h)))
+            same = paths.word[at[1:]] == paths.word[at[:-1]]
+            start, end = at[:-1][same], at[1:][same]
+            spans = zip(paths.word[start].tolist(), paths.p[start].tolist(), paths.p[end].tolist(), strict=True)
+            columns = [
+                pa.array(paths.h[start].view(np.int64)),
+                pa.array(paths.c[start].astype(np.int32)),
+                pa.array([paths.keys[w][p:q] for w, p, q in spans], pa.string()),
+                pa.array(paths.h[end].view(np.int64)),
+                *map(pa.array, paths.marks(end)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["h", "c", "label", "child", "ahead", "last"])
+
+    return run
+
+
+def _starts(nodes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(nodes.value, np.uint64)
+        for back, paths, n in _paths(batches):
+            at = np.flatnonzero((paths.p >= (paths.p + paths.left) // 2) & _is_node(bits, paths.h))
+            word = paths.word[at]
+            columns = [
+                pa.array([paths.keys[w] for w in word.tolist()], pa.string()),
+                pa.array(n[word]),
+                pa.array(np.full(len(at), back, np.int8)),
+                pa.array(paths.p[at].astype(np.int32)),
+                pa.array(paths.h[at].view(np.int64)),
+                pa.array(paths.c[at].astype(np.int32)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "back", "p", "h", "c"])
+
+    return run
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, paths, n in _paths(batches):
+        at = np.flatnonzero(paths.left == 0)
+        columns = [pa.array(paths.h[at].view(np.int64)), pa.array(paths.keys, pa.string()), pa.array(n)]
+        yield pa.RecordBatch.from_arrays(columns, names=["h", "other", "other_n"])
 
 
 def neighbours(vocabulary: DataFrame) -> DataFrame:
-    """``word, other``: every ordered pair of words of ``vocabulary`` (``word`` unique, ``n``) one edit apart.
+    """``word, n, other, other_n``: every ordered pair of words of ``vocabulary`` one edit apart.
 
-    An edit is one inserted, deleted or replaced letter. Null words take no part.
+    An edit is one inserted, deleted or replaced letter. ``vocabulary`` has unique words and a
+    count ``n``. Null words take no part.
     """
     ship(vocabulary.sparkSession)
-    starts, edges, ends = trie(vocabulary.where("word is not null"))
-    # A node has at most one edge a letter, but for hashes that two beginnings share.
-    fans = edges.groupBy("h").agg(F.collect_list(F.struct("c", "label", "child")).alias("ways"))
-    met = attach(starts, prepare(fans), ["h"]).withColumn("way", F.explode("ways")).where("way.c <> c")
-    met = met.select("key", "back", "p", "c", F.col("way.c").alias("to"), "way.label", F.col("way.child").alias("h"))
-    rest, more = F.expr("substring(label, 2)"), F.length("label") - 1
+    rows = vocabulary.where("word is not null").select("word", F.col("n").cast("long").alias("n"))
+    nodes = _node_bits(rows)
+    edges = cut_lineage(
+        rows.mapInArrow(_edges(nodes), "h long, c int, label string, child long, ahead long, last long")
+        .groupBy("h", "c", "label", "child")
+        .agg(F.bit_or("ahead").alias("ahead"), F.bit_or("last").alias("last"))
+    )
+    # A node has one edge a letter, but for hashes that two beginnings share.
+    fans = edges.groupBy("h").agg(F.collect_list(F.struct("c", "label", "child", "ahead", "last")).alias("ways"))
+    starts = rows.mapInArrow(_starts(nodes), "key string, n long, back byte, p int, h long, c int")
+    met = starts.join(fans, "h").withColumn("way", F.explode("ways")).where("way.c <> c")
+    met = met.select("key", "n", "back", "p", "c", F.col("way.c").alias("to"), "way.label", F.col("way.child").alias("h"), "way.ahead", "way.last")
+    size, rest, more = F.length("key"), F.expr("substring(label, 2)"), F.length("label") - 1
 
-    def step(states: DataFrame, at: Column) -> DataFrame:
-        """States past an edge whose letters after the first stand in the word from ``at`` on."""
-        fit = F.substring("key", at + 1, more) == rest
-        return states.where(fit).select("key", "back", "h", (at + more).alias("p"))
+    def letter(at: Column) -> Column:
+        return F.ascii(F.substring("key", at + 1, F.lit(1)))
+
+    def has(mask: str, place: Column) -> Column:
+        return F.call_function("shiftright", F.col(mask), place.cast("int")).bitwiseAND(F.lit(1)) == 1
 
-    # In place of the next letter a greater one, or before it any other one.
-    replaced = step(met.where((F.col("c") != 0) & (F.col("to") > F.col("c"))), F.col("p") + 1)
-    frontier = cut_lineage(replaced.union(step(met, F.col("p"))))
+    def step(states: DataFrame, at: Column) -> DataFrame:
+        """States past an edge whose letters after the first stand in the word from ``at`` on.
+
+        What is left of the word must stand somewhere below the edge; marks of what does tell most
+        of the others.
+        """
+        to = at + more
+        next_two = F.pmod(31 * letter(to) + 7 * letter(to + 1) + size - to, F.lit(64))
+        last_two = F.pmod(31 * letter(size - 1) + 7 * letter(size - 2), F.lit(64))
+        fit = (F.substring("key", at + 1, more) == rest) & has("ahead", next_two) & ((to > size - 2) | has("last", last_two))
+        return states.where(fit).select("key", "n", "back", "h", to.cast("int").alias("p"))
+
+    # In place of the next letter a greater one, or before it any other one. What the forward
+    # trie finds is left out of the backward one: the same letters before an inserted one could
+    # as well follow it.
+    p = F.col("p")
+    run = F.when(letter(p - 1) == F.col("to"), p - F.length(F.expr("trim(TRAILING substring(label, 1, 1) FROM substring(key, 1, p))"))).otherwise(0)
+    behind = F.col("back") == 0
+    replaced = met.where((F.col("c") != 0) & (F.col("to") > F.col("c")) & (behind | (2 * p >= size)))
+    inserted = met.where(behind | (size - p + run < F.floor(size / 2)))
+    frontier = cut_lineage(step(replaced, p + 1).union(step(inserted, p)))
     found = []
     while True:
-        found.append(frontier.where(F.col("p") == F.length("key")))
-        letter = F.ascii(F.substring("key", F.col("p") + 1, F.lit(1)))
-        walking = frontier.where(F.col("p") < F.length("key")).withColumn("c", letter)
+        found.append(frontier.where(p == size))
+        walking = frontier.where(p < size).withColumn("c", letter(p)).withColumnRenamed("h", "at")
         if walking.isEmpty():
             break
-        passed = walking.join(edges.withColumnRenamed("h", "from"), (F.col("h") == F.col("from")) & (walking["c"] == edges["c"]))
-        passed = passed.select("key", "back", F.col("child").alias("h"), "p", "label")
-        frontier = cut_lineage(step(passed, F.col("p") + 1))
+        passed = walking.join(edges.withColumnRenamed("h", "at"), ["at", "c"])
+        frontier = cut_lineage(step(passed.withColumnRenamed("child", "h"), p + 1))
+    ends = rows.mapInArrow(_ends, "h long, other string, other_n long")
     met = reduce(DataFrame.union, found).join(ends, "h").where(F.levenshtein("key", "other", 1) == 1)
 
     def word(c: str) -> Column:
         return F.when(F.col("back") == 1, F.reverse(c)).otherwise(F.col(c))
 
-    pairs = met.select(word("key").alias("word"), word("other").alias("other"))
-    return pairs.union(pairs.select("other", "word")).distinct()
+    pairs = met.select(word("key").alias("word"), "n", word("other").alias("other"), "other_n")
+    return pairs.union(pairs.select("other", "other_n", "word", "n"))
 
 
 def _roots(forms: DataFrame) -> DataFrame:
@@ -263,11 +307,9 @@ def variants(vocabulary: DataFrame, ratio: int = FORM_RATIO) -> DataFrame:
     """
     if ratio < 2:
         raise ValueError("a form is more frequent than its variants")
-    counts = vocabulary.select(F.col("word").alias("other"), F.col("n").alias("other_n"))
     # A word has at most as many neighbours as it has letters, places and letters to put there.
     best = F.min_by(F.struct("other", "other_n"), F.struct(-F.col("other_n"), F.col("other")))
-    near = neighbours(vocabulary).join(counts, "other").groupBy("word")
-    near = near.agg(F.count(F.lit(1)).alias("n_near"), best.alias("best"))
+    near = neighbours(vocabulary).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best.alias("best"))
     known = vocabulary.select("word", "n").join(near, "word", "left")
     has = F.col("best.other_n") >= ratio * F.col("n")
     known = cut_lineage(

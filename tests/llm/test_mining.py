@@ -150,7 +150,7 @@ def test_neighbours_equal_brute_force(spark, letters, least):
     long = "".join(rng.choice(letters) for _ in range(3000))
     words |= {long, long[:1500] + long[1501:], long + letters[0], letters[-1] + long, long[:700] + "é" + long[701:]}
     found = {w: rng.choice([1, 2, 3, 30, 400, 5000]) for w in words}
-    got = spelling.neighbours(vocabulary(spark, found)).collect()
+    got = spelling.neighbours(vocabulary(spark, found)).select("word", "other").collect()
     want = {(a, b) for a in found for b in found if one_edit(a, b)}
     assert len(got) == len(set(map(tuple, got))) and set(map(tuple, got)) == want
     got = spelling.variants(vocabulary(spark, found)).collect()
