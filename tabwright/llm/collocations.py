@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +44,9 @@ INSIDE = 80
 UNIT = 2_000_000
 NO_LANG = "und"
 FILTER_BITS = 1 << 26
-_ROW_TOKENS = 1024
-_STEP = 1 << 20
-_WORDS_HELD = 400_000
+_ROW_TOKENS = 128
+_STEP = 1 << 18
+_WORDS_HELD = 150_000
 # No byte of UTF-8; it stands between pieces.
 _BREAK = b"\xff"
 # A-Z become small, the signs that end a piece and line ends become one sign, tabs blanks.
@@ -67,13 +67,13 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[bytes, bytes]]:
         yield from zip(lang.slice(at, 256).to_pylist(), text.slice(at, 256).to_pylist(), strict=True)
 
 
-def word_hash(lang: bytes, word: bytes, seed: int) -> int:
-    """A signed 64-bit hash of a word of a language, never zero."""
-    h = xxhash.xxh64_intdigest(lang + b"\0" + word, seed)
+def word_hash(lang: bytes, word: bytes, seed: int, bits: int = 64) -> int:
+    """A signed hash of a word of a language, never zero."""
+    h = xxhash.xxh64_intdigest(lang + b"\0" + word, seed) >> (64 - bits)
     return (h - (1 << 64) if h >> 63 else h) or 1
 
 
-def _counter(seed: int):
+def _counter(hashed):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, Counter] = {}
         size = 0
@@ -85,7 +85,7 @@ def _counter(seed: int):
                     [
                         pa.array([lang] * len(words), pa.binary()).cast(pa.string()),
                         pa.array(words, pa.binary()).cast(pa.string()),
-                        pa.array([word_hash(lang, w, seed) for w in words], pa.int64()),
+                        pa.array([hashed(lang, w) for w in words], pa.int64()),
                         pa.array(list(counts.values()), pa.int64()),
                     ],
                     names=["lang", "word", "w1", "n"],
@@ -107,38 +107,35 @@ def _counter(seed: int):
     return run
 
 
-class _Hashes(dict):
+class _Hashes:
     """Hashes of words that a filter lets pass; zero for the others and between pieces."""
 
-    def __init__(self, lang: bytes, seed: int, bits: np.ndarray) -> None:
-        self.lang, self.seed, self.bits = lang, seed, bits
-        self[_BREAK] = 0
+    def __init__(self, hashed, bits: np.ndarray) -> None:
+        self.hashed, self.bits, self.size = hashed, bits, 0
+        self.known: dict[bytes, dict[bytes, int]] = {}
 
-    def __missing__(self, word: bytes) -> int:
-        h = word_hash(self.lang, word, self.seed)
-        if len(self) > _WORDS_HELD:
-            self.clear()
-            self[_BREAK] = 0
-        h = h if _passes(self.bits, [np.array([h], np.int64)])[0] else 0
-        self[word] = h
-        return h
+    def of(self, lang: bytes, words: list[bytes]) -> np.ndarray:
+        memo = self.known.setdefault(lang, {_BREAK: 0})
+        new = list(set(words).difference(memo))
+        if new:
+            if self.size > _WORDS_HELD:
+                self.known, self.size = {}, 0
+                return self.of(lang, words)
+            h = np.array([self.hashed(lang, w) for w in new], np.int64)
+            memo.update(zip(new, np.where(_passes(self.bits, [h]), h, 0).tolist(), strict=True))
+            self.size += len(new)
+        return np.array([*map(memo.__getitem__, words), 0], np.int64)
 
 
-def _tokens(seed: int, frequent):
+def _tokens(hashed, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(frequent.value, np.uint8)
-        known: dict[bytes, _Hashes] = {}
+        hashes = _Hashes(hashed, np.frombuffer(frequent.value, np.uint8))
         rows: list[np.ndarray] = []
         size = 0
         for batch in batches:
             for lang, text in _texts(batch):
-                memo = known.get(lang)
-                if memo is None:
-                    if len(known) > 64:
-                        known.clear()
-                    memo = known[lang] = _Hashes(lang, seed, bits)
-                v = np.array([memo[w] for w in words_of(text)] + [0], np.int64)
-                # Of neighbouring zeros one stays; words without a neighbour make no phrase.
+                v = hashes.of(lang, words_of(text))
+                # Of neighbouring zeros one stays.
                 v = v[(v != 0) | np.concatenate([[False], v[:-1] != 0])]
                 rows.append(v)
                 size += len(v)
@@ -308,20 +305,21 @@ def _longest_extension(longer: DataFrame, k: int) -> DataFrame:
     return first.union(last).groupBy(*_names(k)).agg(F.max("n").alias("held"))
 
 
-def word_counts(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Words with ``lang, word, w1, n``, all words per language, and the seed of the hashes.
+def word_counts(rows: DataFrame, support: int, hash_bits: int = 64):
+    """Words with ``lang, word, w1, n``, all words per language, and the hash that ``w1`` holds.
 
     A seed under which two words share a hash that is frequent is not used.
     """
-    for seed in range(16):
+    for seed in range(64):
+        hashed = partial(word_hash, seed=seed, bits=hash_bits)
         found = cut_lineage(
-            rows.mapInArrow(_counter(seed), "lang string, word string, w1 long, n long")
+            rows.mapInArrow(_counter(hashed), "lang string, word string, w1 long, n long")
             .groupBy("lang", "word", "w1")
             .agg(F.sum("n").alias("n"))
         )
         shared = found.groupBy("w1").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words"))
-        if shared.where(f"words > 1 and n >= {SUPPORT}").isEmpty():
-            return found, found.groupBy("lang").agg(F.sum("n").alias("total")), seed
+        if shared.where(f"words > 1 and n >= {support}").isEmpty():
+            return found, found.groupBy("lang").agg(F.sum("n").alias("total")), hashed
     raise ValueError("no seed tells the words apart")
 
 
@@ -333,6 +331,7 @@ def collocations(
     top: int = TOP,
     inside: int = INSIDE,
     longest: int = LONGEST,
+    hash_bits: int = 64,
 ) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: each language's ``top`` best phrases.
 
@@ -342,7 +341,7 @@ def collocations(
     least ``support`` and ``inside`` per cent of its occurrences is dropped. Ties in score go to the
     larger ``a``, then to the phrase that is smaller in UTF-8 bytes. Null texts have no words, a
     null language is ``und``; repeated rows count again; other columns play no part. An empty table
-    gives no rows.
+    gives no rows. Fewer ``hash_bits`` only make it likelier that a second seed is needed.
     """
     if longest < 2 or support < 1 or top < 1:
         raise ValueError("phrases have two words or more, support and top are positive")
@@ -351,13 +350,13 @@ def collocations(
     rows = docs.select(
         F.coalesce(quoted(lang).cast("string"), F.lit(NO_LANG)).alias("lang"), quoted(text).alias("text")
     ).where(F.col("text").isNotNull())
-    words, totals, seed = word_counts(rows)
+    words, totals, hashed = word_counts(rows, support, hash_bits)
     level1 = cut_lineage(
         words.where(F.col("n") >= support).select(
             "lang", "word", "w1", "n", F.array("n").alias("pre"), F.array("n").alias("suf")
         )
     )
-    tokens = cut_lineage(rows.mapInArrow(_tokens(seed, _filter(level1, 1)), "v array<long>"))
+    tokens = cut_lineage(rows.mapInArrow(_tokens(hashed, _filter(level1, 1)), "v array<long>"))
 
     def count(k: int, rule) -> DataFrame:
         found = tokens.mapInArrow(_grow(k, rule), ", ".join(f"{c} long" for c in [*_names(k), "n"]))
