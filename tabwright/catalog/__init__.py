@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .base import QUERIES, SQL, Query
 
-_MODULES = ("profiling", "features", "predictions", "history", "modelling")
+_MODULES = ("profiling", "features", "predictions", "history", "modelling", "contest")
 
 
 def _load() -> None:

@@ -36,6 +36,14 @@ class Span:
         return rng.uniform(self.low, self.high)
 
 
+@dataclass(frozen=True)
+class Share(Span):
+    """A share of the columns that each tree may split on, as Spark's text parameter."""
+
+    def draw(self, rng: random.Random) -> str:
+        return f"{rng.uniform(self.low, self.high):.6f}"
+
+
 # Search ranges, under the names of Spark's parameters.
 SPACES: dict[str, dict[str, object]] = {
     "logistic": {"C": Span(1e-3, 1e3, log=True)},
@@ -54,6 +62,7 @@ SPACES: dict[str, dict[str, object]] = {
         "maxDepth": Span(3, 12, whole=True),
         "minInstancesPerNode": Span(5, 100, whole=True),
         "subsamplingRate": Span(0.5, 1.0),
+        "featureSubsetStrategy": Share(0.5, 1.0),
     },
     "boosted_fast": {
         "maxIter": Span(50, 500, whole=True),
@@ -61,6 +70,7 @@ SPACES: dict[str, dict[str, object]] = {
         "maxDepth": Span(3, 12, whole=True),
         "minInstancesPerNode": Span(1, 10, whole=True),
         "subsamplingRate": Span(0.5, 1.0),
+        "featureSubsetStrategy": Share(0.5, 1.0),
         "minInfoGain": Span(1e-8, 1.0, log=True),
     },
     "boosted_slow": {
