@@ -12,7 +12,8 @@ from ..operators import models, reduce, search, stacking
 from ..operators.encode import fit_count_encoding
 from ..operators.impute import fit_imputation
 from ..operators.models import CLASSIFICATION, REGRESSION, Learner
-from ..plans.feature_flow import FeatureFlow
+from ..plans.feature_flow import FeatureFlow, FittedFlow, KeepColumns
+from ..plans.flow_store import FlowStore
 from ..plans.hooks import StageHooks
 from ..plans.training import train_models
 from ..session import new_shared_path
@@ -296,20 +297,21 @@ def flow_apply(spark, sf_dir):
   LEFT JOIN (SELECT o_orderpriority AS v, COUNT(*) AS n FROM {GAPS_SQL} GROUP BY 1) m ON o_orderpriority = m.v""",
 )
 def flow_stream(spark, sf_dir):
-    """Steps fitted on a batch, applied to the same table read as a stream."""
+    """Steps fitted on a batch, saved, loaded and applied to the same table read as a stream."""
     batch = orders_with_gaps(spark, sf_dir)
-    impute = fit_imputation(batch, ["o_totalprice"])
-    counts = fit_count_encoding(batch, ["o_orderpriority"])
-
-    class Both:
-        def transform(self, df):
-            return counts.transform(impute.transform(df)).drop("o_totalprice_was_missing")
-
+    columns = ["o_totalprice", "o_orderpriority_count"]
+    steps = [
+        fit_imputation(batch, ["o_totalprice"]),
+        fit_count_encoding(batch, ["o_orderpriority"]),
+        KeepColumns(columns, ["o_orderkey"]),
+    ]
+    store = FlowStore(spark, new_shared_path(spark, "flows"))
+    flow = store.load(store.save(FittedFlow(steps, columns)))
     orders = read(spark, sf_dir, "orders")
     stream = spark.readStream.schema(orders.schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
     out, marks = new_shared_path(spark, "stream"), new_shared_path(spark, "stream-marks")
     wanted = stream.select("o_orderkey", "o_totalprice", "o_orderpriority")
-    transform_stream(Both(), wanted, out, marks).awaitTermination()
+    transform_stream(flow, wanted, out, marks).awaitTermination()
     return rounded(spark.read.parquet(out), 4)
 
 

@@ -52,7 +52,7 @@ def attach(
     added = [c for c in table.columns if c not in on]
     fill = dict(defaults or {})
     return joined.select(
-        *df.columns,
+        *[quoted(c) for c in df.columns],
         *[F.coalesce(quoted(c), F.lit(fill[c])).alias(c) if c in fill else quoted(c) for c in added],
     )
 
@@ -75,7 +75,7 @@ def hot_keys(df: DataFrame, on: Sequence[str], pieces: int) -> DataFrame:
 def row_hash(df: DataFrame) -> Column:
     """A hash of the row and its input split: spreads equal rows, stable on retry."""
     hashed = [
-        f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))
+        quoted(f.name) for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))
     ]
     return F.xxhash64(*hashed, F.spark_partition_id())
 

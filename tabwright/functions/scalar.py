@@ -32,8 +32,8 @@ def date_parts(c: str) -> dict[str, Column]:
 
 def date_cycles(c: str) -> dict[str, Column]:
     """Month and day of month as points on a circle."""
-    month = F.month(c) * (2 * math.pi / 12)
-    day = F.day(c) * (2 * math.pi / 31)
+    month = F.month(quoted(c)) * (2 * math.pi / 12)
+    day = F.day(quoted(c)) * (2 * math.pi / 31)
     return {
         f"{c}_month_sin": F.sin(month),
         f"{c}_month_cos": F.cos(month),

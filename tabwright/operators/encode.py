@@ -17,6 +17,7 @@ from .profile import distinct_counts, value_counts
 LABEL_VALUES = 2
 ONE_HOT_MAX_VALUES = 10
 UNSEEN_LABEL = -1
+_KEY = "__attached_value"
 
 
 def prepared_counts(
@@ -32,8 +33,8 @@ def prepared_counts(
 
 def _attach_value(df: DataFrame, column: str, lookup: Lookup, name: str, default: object) -> DataFrame:
     """Attach ``lookup(value, name)`` by the string value of ``column``."""
-    key = f"__{column}_value"
-    keyed = df.withColumn(key, F.col(column).cast("string"))
+    key = _KEY
+    keyed = df.withColumn(key, quoted(column).cast("string"))
     table = Lookup(lookup.table.withColumnRenamed("value", key), lookup.small)
     return attach(keyed, table, [key], {name: default}).drop(key)
 
@@ -164,12 +165,14 @@ class TargetEncoding:
 
     def transform_train(self, train: DataFrame) -> DataFrame:
         for c, lookup in self.by_fold.items():
-            train = attach(train, lookup, [c, self.fold], {f"{c}_target_enc": self.overall})
+            keyed = train.withColumn(_KEY, quoted(c))
+            train = attach(keyed, lookup, [_KEY, self.fold], {f"{c}_target_enc": self.overall}).drop(_KEY)
         return train
 
     def transform(self, df: DataFrame) -> DataFrame:
         for c, lookup in self.by_value.items():
-            df = attach(df, lookup, [c], {f"{c}_target_enc": self.overall})
+            keyed = df.withColumn(_KEY, quoted(c))
+            df = attach(keyed, lookup, [_KEY], {f"{c}_target_enc": self.overall}).drop(_KEY)
         return df
 
 
@@ -185,25 +188,25 @@ def fit_target_encoding(
     A fold's mean is the total without that fold; the window over a value sees
     at most one row per fold.
     """
-    y = F.col(target).cast("double")
+    y = quoted(target).cast("double")
     overall = train.agg(F.avg(y).alias("m")).first()["m"]
     by_fold, by_value = {}, {}
     for c in columns:
         name = f"{c}_target_enc"
         sums = prepare(
             train.where(quoted(c).isNotNull())
-            .groupBy(c, fold)
+            .groupBy(quoted(c).alias(_KEY), fold)
             .agg(F.sum(y).alias("s"), F.count(y).alias("n")),
             max_rows,
         )
-        whole = Window.partitionBy(c)
+        whole = Window.partitionBy(_KEY)
         rest_n = F.sum("n").over(whole) - F.col("n")
         rest_s = F.sum("s").over(whole) - F.coalesce(F.col("s"), F.lit(0.0))
         mean = F.when(rest_n > 0, rest_s / F.nullif(rest_n, F.lit(0)))
-        by_fold[c] = Lookup(sums.table.select(c, fold, mean.alias(name)), sums.small)
+        by_fold[c] = Lookup(sums.table.select(_KEY, fold, mean.alias(name)), sums.small)
         total_n = F.sum("n")
         mean = F.when(total_n > 0, F.sum("s") / F.nullif(total_n, F.lit(0)))
-        by_value[c] = Lookup(sums.table.groupBy(c).agg(mean.alias(name)), sums.small)
+        by_value[c] = Lookup(sums.table.groupBy(_KEY).agg(mean.alias(name)), sums.small)
     return TargetEncoding(by_fold, by_value, fold, overall)
 
 

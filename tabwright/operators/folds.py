@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import quoted
 from ..functions.ordering import IN_ONE_TASK, numbered
 
 SEED = 42
@@ -15,12 +16,12 @@ FOLDS = 5
 
 def fold_by_key(df: DataFrame, key: str, k: int = FOLDS) -> DataFrame:
     """``fold = key mod k``: no shuffle, for keys that are already well mixed."""
-    return df.withColumn("fold", F.pmod(F.col(key), F.lit(k)).cast("int"))
+    return df.withColumn("fold", F.pmod(quoted(key), F.lit(k)).cast("int"))
 
 
 def fold_by_hash(df: DataFrame, keys: Sequence[str], k: int = FOLDS, seed: int = SEED) -> DataFrame:
     """A shuffled fold: the same row gets the same fold in every run."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(k)).cast("int"))
+    return df.withColumn("fold", F.pmod(F.xxhash64(*map(quoted, keys), F.lit(seed)), F.lit(k)).cast("int"))
 
 
 def stratified_folds(

@@ -83,6 +83,21 @@ def fit_group_statistics(
     )
 
 
+@dataclass
+class LagFeatures:
+    """``lag_features`` as a step; lags need the rows before, so it works on batches only."""
+
+    group: str
+    columns: list[str]
+    order: list[str]
+    periods: list[int]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        if df.isStreaming:
+            raise ValueError("lags are not defined on a stream")
+        return lag_features(df, self.group, self.columns, self.order, self.periods)
+
+
 def group_transform(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
     """Add each group's mean, std, max and min to its rows.
 

@@ -26,11 +26,39 @@ ROW_STATS_MIN = 3
 SCALE_MIN_MAX = 10
 
 
+@dataclass(frozen=True)
+class Term:
+    """What a derived column is made of, in plain values that can be stored."""
+
+    op: str
+    of: tuple[str, ...]
+
+    def column(self, name: str) -> Column:
+        xs = [_x(c) for c in self.of]
+        if self.op == "row":
+            return row_statistics(self.of)[name]
+        if self.op == "log1p":
+            return F.log1p(xs[0])
+        if self.op == "sqrt":
+            return F.sqrt(xs[0])
+        if self.op == "product":
+            return reduce(Column.__mul__, xs)
+        if self.op == "filled_product":
+            return reduce(Column.__mul__, [F.coalesce(x, F.lit(0.0)) for x in xs])
+        if self.op == "ratio":
+            return F.try_divide(xs[0], xs[1] + F.lit(RATIO_GUARD))
+        raise ValueError(f"unknown term {self.op}")
+
+
 @dataclass
 class Derived:
     """Columns added by expression: the fitted part is which columns, not which rows."""
 
-    columns: dict[str, Column]
+    terms: dict[str, Term]
+
+    @property
+    def columns(self) -> dict[str, Column]:
+        return {n: t.column(n) for n, t in self.terms.items()}
 
     def transform(self, df: DataFrame) -> DataFrame:
         return df.select("*", *[e.alias(n) for n, e in self.columns.items()])
@@ -57,18 +85,18 @@ def fit_numeric_features(train: DataFrame, columns: Sequence[str]) -> Derived:
             lambda c: {"low": F.min(_x(c)), "skew": skew(c), "variance": F.var_samp(_x(c))},
         ).collect()
     }
-    made: dict[str, Column] = {}
+    made: dict[str, Term] = {}
     for c in columns:
         g = gates[c]
         if g["low"] is not None and g["low"] > 0 and (g["skew"] or 0) > LOG_SKEW:
-            made[f"{c}_log"] = F.log1p(_x(c))
+            made[f"{c}_log"] = Term("log1p", (c,))
     if len(columns) > SQUARE_TOP:
         spread = [c for c in columns if gates[c]["variance"] is not None]
         widest = sorted(spread, key=lambda c: -gates[c]["variance"])[:SQUARE_TOP]
         for c in widest:
-            made[f"{c}_squared"] = _x(c) * _x(c)
+            made[f"{c}_squared"] = Term("product", (c, c))
             if gates[c]["low"] >= 0:
-                made[f"{c}_sqrt"] = F.sqrt(_x(c))
+                made[f"{c}_sqrt"] = Term("sqrt", (c,))
     return Derived(made)
 
 
@@ -78,20 +106,21 @@ def fit_products(train: DataFrame, columns: Sequence[str]) -> Derived:
     if len(columns) > PRODUCT_TOP:
         columns = top_columns(train, columns, PRODUCT_TOP)
     pairs = list(combinations(columns, 2))[:MAX_PRODUCTS]
-    return Derived({f"{a}_X_{b}": _x(a) * _x(b) for a, b in pairs})
+    return Derived({f"{a}_X_{b}": Term("product", (a, b)) for a, b in pairs})
 
 
 def ratios(columns: Sequence[str]) -> Derived:
     """Product and guarded ratio of every pair."""
-    made: dict[str, Column] = {}
+    made: dict[str, Term] = {}
     for a, b in combinations(columns, 2):
-        made[f"{a}_x_{b}"] = _x(a) * _x(b)
-        made[f"{a}_div_{b}"] = F.try_divide(_x(a), _x(b) + F.lit(RATIO_GUARD))
+        made[f"{a}_x_{b}"] = Term("product", (a, b))
+        made[f"{a}_div_{b}"] = Term("ratio", (a, b))
     return Derived(made)
 
 
 def row_features(columns: Sequence[str]) -> Derived:
-    return Derived(row_statistics(columns) if len(columns) >= ROW_STATS_MIN else {})
+    names = row_statistics(columns) if len(columns) >= ROW_STATS_MIN else {}
+    return Derived({n: Term("row", tuple(columns)) for n in names})
 
 
 def fit_polynomial(train: DataFrame, columns: Sequence[str], degree: int = 2) -> Derived:
@@ -99,12 +128,11 @@ def fit_polynomial(train: DataFrame, columns: Sequence[str], degree: int = 2) ->
     columns = list(columns)
     if len(columns) > POLY_TOP:
         columns = top_columns(train, columns, POLY_TOP)
-    made: dict[str, Column] = {}
+    made: dict[str, Term] = {}
     for d in range(2, degree + 1):
         for term in combinations_with_replacement(columns, d):
             if len(set(term)) > 1:
-                factors = [F.coalesce(_x(c), F.lit(0.0)) for c in term]
-                made[f"poly_{_term_name(term)}"] = reduce(Column.__mul__, factors)
+                made[f"poly_{_term_name(term)}"] = Term("filled_product", tuple(term))
     return Derived(made)
 
 
@@ -167,6 +195,8 @@ class Scaling:
 
 def fit_standard_scaling(train: DataFrame, columns: Sequence[str]) -> Scaling:
     """Mean and population standard deviation."""
+    if not columns:
+        return Scaling({})
     rows = per_numeric_column(
         train, columns, lambda c: {"m": F.avg(_x(c)), "s": F.stddev_pop(_x(c))}
     ).collect()
@@ -181,7 +211,9 @@ def fit_robust_scaling(train: DataFrame, columns: Sequence[str]) -> Scaling:
 
 def scalable_columns(train: DataFrame, columns: Sequence[str] | None = None) -> list[str]:
     """Numeric columns with more than two values and a maximum above ten."""
-    columns = list(columns or numeric_columns(train))
+    columns = list(numeric_columns(train) if columns is None else columns)
+    if not columns:
+        return []
     tops = {
         r["column"]: r
         for r in per_numeric_column(

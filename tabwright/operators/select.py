@@ -37,7 +37,7 @@ def mutual_information(
     probs = [i / bins for i in range(1, bins)]
     binned = [*features, target] if numeric_target else features
     edges = quantile_values(train, binned, probs)
-    label = bin_index(target, edges[target]) if numeric_target else F.col(target)
+    label = bin_index(target, edges[target]) if numeric_target else quoted(target)
     cells = (
         train.select(
             label.cast("string").alias("cls"),

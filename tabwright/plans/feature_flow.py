@@ -14,12 +14,15 @@ from ..functions.columns import align_to, numeric_columns, quoted
 from ..functions.scalar import date_cycles, date_parts
 from ..operators.encode import fit_categorical_encoding, fit_frequency_encoding, fit_target_encoding
 from ..operators.folds import FOLDS, fold_by_hash
+from ..operators.groups import SIMPLE_STATS, LagFeatures, fit_group_statistics
 from ..operators.impute import fit_imputation
 from ..operators.numeric import (
+    Derived,
     fit_numeric_features,
     fit_polynomial,
     fit_products,
     fit_standard_scaling,
+    ratios,
     row_features,
     scalable_columns,
 )
@@ -49,7 +52,7 @@ class DateFeatures:
         parsed = {c: F.try_to_timestamp(quoted(c)).alias(c) for c in self.text}
         df = df.select(*[parsed.get(c, quoted(c)) for c in df.columns])
         made = [e.alias(n) for c in self.columns for n, e in {**date_parts(c), **date_cycles(c)}.items()]
-        return df.select(*[c for c in df.columns if c not in self.columns], *made)
+        return df.select(*[quoted(c) for c in df.columns if c not in self.columns], *made)
 
 
 @dataclass
@@ -93,7 +96,12 @@ class FittedFlow:
 
 @dataclass
 class FeatureFlow:
-    """Impute, dates, numeric, encode, products, row statistics, scale, advanced, select."""
+    """Impute, dates, groups, numeric, encode, products, row statistics, scale, advanced, select.
+
+    On request: statistics of the numbers by each of ``groups``, lags of the numbers by
+    ``lag_by = (group, order)`` (a batch step: ``order`` is an input column led by a number or a
+    time), and ``with_ratios`` of every pair of numbers.
+    """
 
     key: str
     target: str | None = None
@@ -103,6 +111,10 @@ class FeatureFlow:
     scale: bool = True
     target_means: Sequence[str] = ()
     folds: int = FOLDS
+    groups: Sequence[str] = ()
+    lag_by: tuple[str, str] | None = None
+    lag_periods: Sequence[int] = (1, 2, 3)
+    with_ratios: bool = False
 
     def column_roles(self, train: DataFrame) -> dict[str, list[str]]:
         """Numeric, categorical and datetime columns; keys, ids and the target are none of them."""
@@ -142,11 +154,21 @@ class FeatureFlow:
 
         add(InputColumns(used, beside))
         add(fit_imputation(table, used))
+        measures = [c for c in roles["numeric"] if c in table.columns]
+        if self.lag_by:
+            group, order = self.lag_by
+            lagged = [c for c in measures if c not in (group, order)]
+            add(LagFeatures(group, lagged, [order, self.key], list(self.lag_periods)))
+        if groups := [c for c in self.groups if c in table.columns]:
+            add(fit_group_statistics(table, groups, measures, SIMPLE_STATS))
         if dates:
             add(DateFeatures(dates, roles["datetime_text"]))
         numbers = [c for c in roles["numeric"] if c in table.columns]
         categories = [c for c in roles["categorical"] if c in table.columns]
         add(fit_numeric_features(table, numbers))
+        if self.with_ratios:
+            # Products come below.
+            add(Derived({n: t for n, t in ratios(numbers).terms.items() if t.op == "ratio"}))
         if self.advanced and categories:
             add(fit_frequency_encoding(table, categories))
         means = [c for c in self.target_means if c in categories]
