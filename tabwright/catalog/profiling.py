@@ -202,6 +202,44 @@ def eda_top_corr(spark, sf_dir):
     return profile.top_correlations(_amounts(spark, sf_dir), k=2)
 
 
+# Twelve measures of order lines, each with gaps of its own. The first has values far from
+# all others just where the second one is missing.
+_HOLED = {
+    "m0": ("l_linenumber % 4 = 0", "CASE WHEN l_linenumber % 3 = 0 THEN 1000000000000.0::DOUBLE ELSE l_quantity END"),
+    "m1": ("l_linenumber % 3 = 0", "l_quantity * 2 + l_linenumber"),
+    "m2": ("l_orderkey % 5 = 1", "l_extendedprice"),
+    "m3": ("l_orderkey % 7 = 2", "l_discount"),
+    "m4": ("l_orderkey % 11 < 4", "l_tax"),
+    "m5": ("l_partkey % 3 = 0", "l_partkey::DOUBLE"),
+    "m6": ("l_suppkey % 2 = 0", "l_suppkey::DOUBLE"),
+    "m7": ("l_partkey % 13 < 9", "l_extendedprice * (1 - l_discount)"),
+    "m8": ("l_orderkey % 3 = 2", "l_quantity - l_tax * 100"),
+    "m9": ("l_suppkey % 5 > 2", "l_linenumber::DOUBLE"),
+    "m10": ("l_linenumber % 3 <> 0", "l_orderkey::DOUBLE"),
+    "m11": ("l_orderkey % 2 = 0", "7.0::DOUBLE"),
+}
+_HOLED_SQL = "(SELECT " + ", ".join(f"CASE WHEN {gap} THEN NULL ELSE {v} END AS {c}" for c, (gap, v) in _HOLED.items()) + " FROM lineitem)"
+
+
+def _pair_sql(a: str, b: str) -> str:
+    varies = f"REGR_SXX({a}, {b}) > 0 AND REGR_SYY({a}, {b}) > 0"
+    return f"SELECT '{a}' AS feature1, '{b}' AS feature2, CASE WHEN {varies} THEN ROUND(CORR({a}, {b}), 6) + 0.0 END AS corr FROM holed"
+
+
+@query(
+    "eda_corr_holed",
+    f"WITH holed AS {_HOLED_SQL} " + "\nUNION ALL\n".join(_pair_sql(a, b) for a, b in combinations(_HOLED, 2)),
+)
+def eda_corr_holed(spark, sf_dir):
+    """Twelve columns with gaps: each pair by the rows that hold both."""
+    lines = read(spark, sf_dir, "lineitem")
+    holed = [
+        F.expr(f"CASE WHEN {gap} THEN NULL ELSE {v.replace('::DOUBLE', '')} END").cast("double").alias(c) for c, (gap, v) in _HOLED.items()
+    ]
+    found = rounded(profile.correlations(lines.select(*holed)))
+    return found.withColumn("corr", F.col("corr") + 0.0)
+
+
 @query(
     "eda_corr_gaps",
     f"""SELECT 'o_orderkey' AS feature1, 'o_custkey' AS feature2, ROUND(CORR(o_orderkey, o_custkey), 6) AS corr FROM {GAPS_SQL}

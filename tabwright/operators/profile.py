@@ -4,11 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from itertools import combinations
 
-import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,15 +16,12 @@ from ..functions.columns import (
     string_columns,
     typed_long,
 )
+from ..functions.comoments import pair_moments
 from ..functions.moments import correlation, excess_kurtosis, skew
 from ..functions.quantiles import IN_ONE_TASK, percentile, quantile_values, quantiles
 
 QUARTILES = (0.25, 0.5, 0.75)
 
-# Wider aggregations than this fall out of whole-stage code generation.
-SUMS_PER_PASS = 80
-HOLED_PER_PASS = 9
-
 # The profile's thresholds.
 HIGH_MISSING_PCT = 50
 HIGH_CORRELATION = 0.8
@@ -122,117 +115,23 @@ def class_imbalance(df: DataFrame, target: str) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``(feature1, feature2, corr)`` for every pair i < j, pairwise complete.
+    """``(feature1, feature2, corr)`` for every pair i < j, over the rows that hold both values.
 
-    A first pass finds means, gaps and constants. Pairs without gaps then need only
-    sums of centred products; pairs with gaps keep their own counts and means. Many pairs
-    of either kind come from one distributed matrix product.
+    NULL where one of them does not vary there. Any number of columns takes the same way
+    (``functions.comoments``): means and centred products of each pair, merged stably.
     """
     columns = list(columns or numeric_columns(df))
-    x = {c: quoted(c).cast("double") for c in columns}
-    facts = {
-        r["column"]: r
-        for r in per_column(
-            df,
-            columns,
-            lambda c: {
-                "gaps": F.count(F.lit(1)) - F.count(quoted(c)),
-                "mean": F.avg(x[c]),
-                "spread": F.stddev_pop(x[c]),
-                "flat": F.coalesce(F.min(x[c]) == F.max(x[c]), F.lit(True)),
-            },
-        ).collect()
-    }
-    pairs = list(combinations(columns, 2))
-    whole = [c for c in columns if not facts[c]["gaps"] and not facts[c]["flat"]]
-    full = [p for p in pairs if p[0] in whole and p[1] in whole]
-    flat = [p for p in pairs if facts[p[0]]["flat"] or facts[p[1]]["flat"]]
-    holed = [p for p in pairs if p not in set(full) and p not in set(flat)]
-
-    parts = []
-    if len(full) > SUMS_PER_PASS:
-        parts.append(_matrix_correlations(df, whole))
-    elif full:
-        parts.append(_centred_correlations(df, full, {c: facts[c]["mean"] for c in whole}))
-    if len(holed) > HOLED_PER_PASS:
-        used = sorted({c for p in holed for c in p}, key=columns.index)
-        parts.append(_gapped_correlations(df, holed, used, {c: (facts[c]["mean"], facts[c]["spread"]) for c in used}))
-    elif holed:
-        parts.append(_pair_rows(df, [(a, b, correlation(a, b)) for a, b in holed]))
-    if flat:
-        rows = [(a, b, None) for a, b in flat]
-        parts.append(df.sparkSession.createDataFrame(rows, "feature1 string, feature2 string, corr double"))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _pair_rows(df: DataFrame, cells: Sequence[tuple[str, str, Column]]) -> DataFrame:
-    row = df.agg(
-        *[
-            F.struct(F.lit(a).alias("feature1"), F.lit(b).alias("feature2"), r.alias("corr")).alias(f"p{i}")
-            for i, (a, b, r) in enumerate(cells)
-        ]
-    )
-    return row.select(F.inline(F.array(*[F.col(f"p{i}") for i in range(len(cells))])))
-
-
-def _centred_correlations(
-    df: DataFrame, pairs: Sequence[tuple[str, str]], means: dict[str, float]
-) -> DataFrame:
-    centred = {c: quoted(c).cast("double") - F.lit(m) for c, m in means.items()}
-    spread = {c: F.sqrt(F.sum(d * d)) for c, d in centred.items()}
-    cells = [
-        (a, b, F.try_divide(F.sum(centred[a] * centred[b]), spread[a] * spread[b])) for a, b in pairs
-    ]
-    return _pair_rows(df, cells)
-
-
-def _matrix_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Many columns: one distributed matrix product; the driver gets its result only."""
-    table = df.select(*[quoted(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
-    vectors = VectorAssembler(inputCols=table.columns, outputCol="features").transform(table)
-    matrix = Correlation.corr(vectors.select("features"), "features").first()[0].toArray()
-    rows = [
-        (columns[i], columns[j], float(matrix[i, j])) for i, j in combinations(range(len(columns)), 2)
-    ]
-    return df.sparkSession.createDataFrame(rows, "feature1 string, feature2 string, corr double")
-
-
-def _gapped_correlations(
-    df: DataFrame,
-    pairs: Sequence[tuple[str, str]],
-    columns: Sequence[str],
-    scale: dict[str, tuple[float, float]],
-) -> DataFrame:
-    """Many pairs with gaps, in two scans whatever their number.
-
-    Each column becomes its scaled value (gaps as 0), a flag of its presence and its
-    square. The products of these, summed over all rows, hold the count, sums and
-    products of the rows that any two columns share.
-    """
-    k = len(columns)
-    values = [(quoted(c).cast("double") - F.lit(scale[c][0])) / F.lit(scale[c][1] or 1.0) for c in columns]
-    zero, one = F.lit(0.0), F.lit(1.0)
-    parts = (
-        [F.coalesce(v, zero) for v in values]
-        + [F.when(v.isNull(), zero).otherwise(one) for v in values]
-        + [F.coalesce(v * v, zero) for v in values]
+    names = F.array(*[F.lit(c) for c in columns]) if columns else F.array().cast("array<string>")
+    spread = F.sqrt("sii") * F.sqrt("sjj")
+    flat = (F.col("sii") <= 0) | (F.col("sjj") <= 0)
+    # Rounding may leave the range; NaN would count as the largest.
+    r = F.try_divide("sij", spread)
+    held = F.when(F.isnan(r), r).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    return pair_moments(df, columns).select(
+        F.get(names, F.col("i")).alias("feature1"),
+        F.get(names, F.col("j")).alias("feature2"),
+        F.when(~flat, held).alias("corr"),
     )
-    table = df.select(*[p.alias(f"x{i}") for i, p in enumerate(parts)])
-    vectors = VectorAssembler(inputCols=table.columns, outputCol="features").transform(table).select("features")
-    moments_of = Summarizer.metrics("mean", "std", "count").summary(F.col("features"))
-    summary = vectors.select(moments_of.alias("s")).first()["s"]
-    rows, mean, std = summary["count"], summary["mean"].toArray(), summary["std"].toArray()
-    related = np.nan_to_num(Correlation.corr(vectors, "features").first()[0].toArray(), nan=0.0)
-    total = (rows - 1) * related * np.outer(std, std) + rows * np.outer(mean, mean)
-    x, m, q = slice(0, k), slice(k, 2 * k), slice(2 * k, 3 * k)
-    n, sums, squares, products = total[m, m], total[x, m], total[q, m], total[x, x]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        spread = n * squares - sums * sums
-        flat = (n < 1.5) | (spread <= 1e-9 * np.maximum(n * squares, 1e-300))
-        found = (n * products - sums * sums.T) / np.sqrt(np.where(flat | flat.T, np.nan, spread * spread.T))
-    place = {c: i for i, c in enumerate(columns)}
-    out = [(a, b, None if np.isnan(r := found[place[a], place[b]]) else float(r)) for a, b in pairs]
-    return df.sparkSession.createDataFrame(out, "feature1 string, feature2 string, corr double")
 
 
 def high_correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
