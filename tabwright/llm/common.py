@@ -6,11 +6,14 @@ rows equal in both are one document, so repeated rows get equal results.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +42,31 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(run: Task, end: Callable[[], None] | None = None) -> Task:
+    """``run``, after which the worker gives memory that is free back to the system.
+
+    Spark keeps its Python workers for the next stages, and what one of them held at its
+    peak would count against the executor from then on.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            if end is not None:
+                end()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # not glibc
+
+    return wrapped
+
+
 _shipped: set[str] = set()
 
 

@@ -31,7 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import ship
+from .common import ship, tidy
+from .tokens import slices
 
 SAMPLE_ROWS = 20_000
 FEATURES = 4096
@@ -125,9 +126,10 @@ def _mined(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             count: dict[str, list[int]] = {}
-            for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
-                for f in features_of(words_of(t or "")):
-                    count.setdefault(f, [0, 0])[y] += 1
+            for some in slices([b]):
+                for t, y in zip(some.column("text").to_pylist(), some.column("y").to_pylist(), strict=True):
+                    for f in features_of(words_of(t or "")):
+                        count.setdefault(f, [0, 0])[y] += 1
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(list(count), pa.string()),
@@ -137,7 +139,7 @@ def _mined(texts: DataFrame) -> DataFrame:
                 names=["f", "toxic", "clean"],
             )
 
-    return texts.mapInArrow(run, "f string, toxic long, clean long").groupBy("f").agg(
+    return texts.mapInArrow(tidy(run), "f string, toxic long, clean long").groupBy("f").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")
     )
 
@@ -307,13 +309,13 @@ class ToxicityModel:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             extract = Extractor(names, voter)
-            for b in batches:
+            for b in slices(batches):
                 sums = [bias + float(weight[extract.features(words_of(t or ""))].sum()) for t in b.column("__body").to_pylist()]
                 score = 1 / (1 + np.exp(-np.clip(np.array(sums, float), -30, 30)))
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(score)], names=[*kept, column])
 
         schema = docs.select(*kept).schema.add(column, "double")
-        return docs.select(*kept, F.col(text).alias("__body")).mapInArrow(run, schema)
+        return docs.select(*kept, F.col(text).alias("__body")).mapInArrow(tidy(run), schema)
 
 
 def fit(
@@ -361,7 +363,7 @@ def fit(
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             extract = Extractor(names, voter)
-            for b in batches:
+            for b in slices(batches):
                 votes, found = [], []
                 for t in b.column("text").to_pylist():
                     words = words_of(t or "")
@@ -373,7 +375,7 @@ def fit(
                     names=[*carried, "votes", "features"],
                 )
 
-        return df.mapInArrow(run, f"{columns}votes long, features array<int>")
+        return df.mapInArrow(tidy(run), f"{columns}votes long, features array<int>")
 
     # Bounded by ``sample_rows`` rows and ``features`` names.
     held = cast(labelled.where("y = 1"), "", []).select("features").collect()
