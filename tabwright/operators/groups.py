@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import quoted
 from ..functions.lookup import Lookup, attach, prepare
-from ..functions.ordering import IN_ONE_TASK, range_edges, ranges_for, with_range
+from ..functions.ordering import IN_ONE_TASK, split_ranges
 from ..functions.quantiles import IN_ONE_GROUP, group_quantiles
 from ..functions.sizing import MAX_ROWS
 from ..session import cut_lineage
@@ -115,9 +115,9 @@ def lag_features(
     periods: Sequence[int] = (1, 2, 3),
     in_one_task: int = IN_ONE_TASK,
 ) -> DataFrame:
-    """Add ``{c}_lag_{p}_by_{group}`` in the total order ``order`` (led by a number or time).
+    """Add ``{c}_lag_{p}_by_{group}`` in the total order ``order``.
 
-    Groups too large for one task are cut into ranges of the first order column.
+    Groups too large for one task are cut into ranges of the order, by its next column where one is tied.
     Only the first rows of a range look back across the cut, and the last rows of
     the ranges before it are all they need.
     """
@@ -146,11 +146,8 @@ def lag_features(
     # Fewer than total / in_one_task groups are large.
     hot = F.broadcast(df.sparkSession.createDataFrame(large))
     is_hot = F.col(group).eqNullSafe(F.col("__large"))
-    ordered = df.withColumn("__at", _as_number(df, order[0]))
-    edges = range_edges(ordered, "__at", ranges_for(total, in_one_task))
-    marked = with_range(ordered, "__at", edges, "__range").drop("__at")
     # NULL groups get no lags, so nothing needs them together.
-    hot_rows = marked.join(hot, is_hot, "left_semi")
+    hot_rows = split_ranges(df.join(hot, is_hot, "left_semi"), order, in_one_task)
     cold = df.join(hot, is_hot, "left_anti")
     cold = cold.select("*", *lags(Window.partitionBy(group).orderBy(*order)))
 
@@ -172,16 +169,3 @@ def lag_features(
     out = [*df.columns, *made]
     return cold.select(*out).unionByName(body.select(*out)).unionByName(heads.select(*out))
 
-
-def _as_number(df: DataFrame, column: str) -> Column:
-    """A number that never falls as the order column rises."""
-    kind, c = df.schema[column].dataType.typeName(), F.col(column)
-    if kind == "date":
-        return F.unix_date(c).cast("double")
-    if kind == "timestamp":
-        return F.unix_micros(c).cast("double")
-    if kind == "timestamp_ntz":
-        # By its parts: a conversion through the session's zone may step back.
-        clock = F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
-        return F.unix_date(c.cast("date")) * 86400.0 + clock
-    return c.cast("double")

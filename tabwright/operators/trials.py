@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import per_column
 from ..functions.moments import correlation
-from ..functions.ordering import IN_ONE_TASK, range_edges, ranges_for, with_range
+from ..functions.ordering import IN_ONE_TASK, split_ranges
 from ..functions.sizing import broadcast_if_small
 
 
@@ -24,9 +24,7 @@ def running_best(
     from the best of the ranges before it."""
     pick = F.max if maximize else F.min
     rows = trials.count()
-    ranges = ranges_for(rows, in_one_task)
-    edges = range_edges(trials, trial, ranges) if rows > in_one_task else []
-    cut = with_range(trials, trial, edges, "__range")
+    cut = split_ranges(trials, [trial], in_one_task) if rows > in_one_task else trials.withColumn("__range", F.lit(""))
     # One row per range.
     earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
