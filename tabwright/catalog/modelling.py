@@ -204,7 +204,7 @@ def ml_search(spark, sf_dir):
 
 @query("ml_search_ridge")
 def ml_search_ridge(spark, sf_dir):
-    return search.search(_parts(spark, sf_dir), "ridge", REGRESSION, trials=4, folds=_FOLDS).trials
+    return search.search(_parts(spark, sf_dir), "ridge", REGRESSION, folds=_FOLDS).trials
 
 
 @query("ml_early_stop")

@@ -91,6 +91,28 @@ def metric_class(spark, sf_dir):
     return rounded(metrics.class_scores(predictions(spark, sf_dir), "y", MODELS))
 
 
+_THRESHOLD_SQL = union_sql(
+    MODELS,
+    lambda p: f"""SELECT '{p}' AS model, t / 100::DOUBLE AS threshold, COUNT(*) FILTER (WHERE {p} > t / 100::DOUBLE AND y = 1) AS tp,
+    COUNT(*) FILTER (WHERE {p} > t / 100::DOUBLE AND y = 0) AS fp, COUNT(*) FILTER (WHERE {p} <= t / 100::DOUBLE AND y = 1) AS fn
+  FROM {PREDICTIONS_SQL}, (SELECT unnest(range(10, 90)) AS t) GROUP BY t""",
+)
+
+
+@query(
+    "metric_thresholds",
+    f"""WITH cells AS ({_THRESHOLD_SQL}),
+  scored AS (
+    SELECT *, tp::DOUBLE / NULLIF(tp + fp, 0) AS precision, tp::DOUBLE / NULLIF(tp + fn, 0) AS recall,
+      2.0::DOUBLE * tp / NULLIF(2 * tp + fp + fn, 0) AS f1 FROM cells)
+  SELECT model, threshold, tp, fp, fn, ROUND(precision, 6) AS precision, ROUND(recall, 6) AS recall, ROUND(f1, 6) AS f1,
+    ROW_NUMBER() OVER (PARTITION BY model ORDER BY f1 DESC NULLS LAST, threshold) = 1 AS best FROM scored""",
+)
+def metric_thresholds(spark, sf_dir):
+    """Eighty thresholds of three models from one histogram."""
+    return rounded(metrics.threshold_scores(predictions(spark, sf_dir), "y", MODELS))
+
+
 @query(
     "metric_regression",
     union_sql(

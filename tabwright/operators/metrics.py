@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import per_column
+from ..functions.columns import per_column, quoted
 from ..functions.ordering import IN_ONE_TASK, running_total
 from ..functions.scalar import log_likelihood
 
 
+# The thresholds tried.
+THRESHOLDS = tuple(i / 100 for i in range(10, 90))
+
+
 def _model_rows(df: DataFrame, predictions: Sequence[str], make) -> DataFrame:
     return per_column(df, predictions, make).withColumnRenamed("column", "model")
 
@@ -52,6 +56,47 @@ def class_scores(
     return _model_rows(df, predictions, make)
 
 
+def threshold_scores(
+    df: DataFrame, y: str, predictions: Sequence[str], thresholds: Sequence[float] = THRESHOLDS
+) -> DataFrame:
+    """``(model, threshold, tp, fp, fn, precision, recall, f1, best)`` for 0/1 labels, a row above counts as 1.
+
+    One pass counts the classes between neighbouring thresholds; all that follows is a few cells a
+    model. ``best`` marks the largest F1 of a model, ties to the lowest threshold. Missing scores
+    play no part; precision, recall and F1 are NULL where nothing counts.
+    """
+    cuts = sorted(set(map(float, thresholds)))
+    if not cuts:
+        raise ValueError("no thresholds")
+    truth = (quoted(y) == 1).cast("bigint")
+    long = df.select(truth.alias("y"), *[quoted(p).cast("double").alias(p) for p in predictions])
+    long = long.unpivot(["y"], [quoted(p) for p in predictions], "model", "score").where("score is not null and y is not null")
+    levels = F.array(*map(F.lit, cuts))
+    passed = F.size(F.filter(levels, lambda t: F.col("score") > t))
+    cells = long.groupBy("model", passed.alias("passed")).agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    # A cell counts for every threshold that its scores pass, and once for none of them in the totals.
+    every = F.explode(F.sequence(F.lit(0), F.lit(len(cuts) - 1)))
+    above = F.col("at") < F.col("passed")
+    sums = cells.withColumn("at", every).groupBy("model", "at").agg(
+        F.sum(F.when(above, F.col("pos")).otherwise(0)).alias("tp"),
+        F.sum(F.when(above, F.col("neg")).otherwise(0)).alias("fp"),
+        F.sum(F.when(above, F.lit(0)).otherwise(F.col("pos"))).alias("fn"),
+    )
+    scored = sums.select(
+        "model",
+        F.get(levels, F.col("at")).alias("threshold"),
+        "tp",
+        "fp",
+        "fn",
+        F.try_divide("tp", F.col("tp") + F.col("fp")).alias("precision"),
+        F.try_divide("tp", F.col("tp") + F.col("fn")).alias("recall"),
+        F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"),
+    )
+    # One row per threshold.
+    first = Window.partitionBy("model").orderBy(F.desc_nulls_last("f1"), "threshold")
+    return scored.withColumn("best", F.row_number().over(first) == 1)
+
+
 def auc_scores(
     df: DataFrame, y: str, predictions: Sequence[str], in_one_task: int = IN_ONE_TASK
 ) -> DataFrame:

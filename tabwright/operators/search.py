@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .folds import FOLDS, SEED
-from .models import CLASSIFICATION, Fitted, make_estimator
+from .gram import MAX_WIDTH, fold_moments
+from .models import CLASSIFICATION, REGRESSION, RIDGE_ALPHA, Fitted, make_estimator
 
 TRIALS = 50
 EARLY_STOP_TOLERANCE = 0.01
@@ -116,11 +117,18 @@ def search(
 ) -> SearchResult:
     """Try drawn parameter sets on the given folds, always maximising the score.
 
-    ``trials`` of the result is ``(trial, params, score)`` with AUC or negative MSE.
+    ``trials`` of the result is ``(trial, params, score)`` with AUC or negative MSE. Penalties
+    are scaled to the rows that a fold's fit sees. Ridge penalties are all tried on sums that
+    two scans keep per fold (``operators.gram``).
     """
     drawn = draw_trials(space or SPACES[algorithm], trials, seed)
+    if task != CLASSIFICATION and algorithm == "ridge" and all(set(p) <= {"alpha"} for p in drawn):
+        width = len(table.select("features").first()[0])
+        if width <= MAX_WIDTH:
+            return _ridge_search(table, drawn, folds)
     base = make_estimator(algorithm, task, table)
-    rows = table.count()
+    # As many as a fit on all folds but one sees.
+    rows = table.count() * (folds - 1) / folds
     spread = table.agg(F.stddev_pop("y").alias("s")).first()["s"] or 0.0
     grid = [
         {base.getParam(n): v for n, v in _spark_params(p, algorithm, rows, spread).items()} for p in drawn
@@ -146,7 +154,24 @@ def search(
     return SearchResult(Fitted(tuned.bestModel, task), drawn[best], frame)
 
 
-def _spark_params(params: Mapping[str, object], algorithm: str, rows: int, spread: float) -> dict:
+def _ridge_search(table: DataFrame, drawn: Sequence[Mapping[str, object]], folds: int) -> SearchResult:
+    moments = fold_moments(table)
+    scores = []
+    for p in drawn:
+        errors = []
+        for k in range(folds):
+            fit = moments.ridge([j for j in range(folds) if j != k], p.get("alpha", RIDGE_ALPHA))
+            errors.append(moments.squared_error(k, fit))
+        known = [e for e in errors if e is not None]
+        scores.append(-sum(known) / len(known))
+    best = max(range(len(scores)), key=scores.__getitem__)
+    fitted = Fitted(make_estimator("ridge", REGRESSION, table, drawn[best]).fit(table), REGRESSION)
+    history = [(i, {k: str(v) for k, v in p.items()}, float(s)) for i, (p, s) in enumerate(zip(drawn, scores, strict=True))]
+    frame = table.sparkSession.createDataFrame(history, "trial int, params map<string,string>, score double")
+    return SearchResult(fitted, drawn[best], frame)
+
+
+def _spark_params(params: Mapping[str, object], algorithm: str, rows: float, spread: float) -> dict:
     made = dict(params)
     if algorithm == "logistic" and "C" in made:
         made["regParam"] = 1.0 / (made.pop("C") * rows)
