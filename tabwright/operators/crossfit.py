@@ -372,6 +372,8 @@ class CrossFit:
 
     def chosen(self, learner: Search, held: Held) -> int:
         """The place of the best drawn parameter set, judged on the folds that are not held."""
+        if len(self._rest(held)) < 2:
+            raise ValueError("a search needs two folds beside the held ones: more folds, or fewer levels")
         scores = self.member_scores(learner, held)
         known = {i: scores[f"t{i}"] for i in range(len(learner.drawn)) if scores[f"t{i}"] is not None}
         if not known:

@@ -93,7 +93,10 @@ def test_a_contest_promotes_and_saves_its_winner(spark, numbers, tmp_path):
     table, *_ = numbers
     some, kinds = enter(REGRESSION, {"ridge": Learner("ridge"), "lasso": Learner("lasso", {"alpha": 0.5})}, tuned=["ridge"], trials=5)
     assert {"ridge_tuned", "lasso", "blend_vote", "blend_score", "blend_search", "stack"} == set(some)
-    contest = run_contest(table, REGRESSION, some, kinds, folds=3)
+    with pytest.raises(ValueError, match="two folds"):
+        run_contest(table, REGRESSION, some, kinds, folds=3)
+    table = table.withColumn("fold", (F.col("key") % 4).cast("int"))
+    contest = run_contest(table, REGRESSION, some, kinds, folds=4)
     rows = {r["contestant"]: r for r in contest.table.collect()}
     assert set(rows) == set(some) and [n for n, r in rows.items() if r["promoted"]] == [contest.best]
     assert rows[contest.best]["mean_score"] == max(r["mean_score"] for r in rows.values())
