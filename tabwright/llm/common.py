@@ -45,19 +45,22 @@ def mix(x: np.ndarray) -> np.ndarray:
 Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
-def tidy(run: Task, end: Callable[[], None] | None = None) -> Task:
+def tidy(run: Task, encodes: bool = False) -> Task:
     """``run``, after which the worker gives memory that is free back to the system.
 
     Spark keeps its Python workers for the next stages, and what one of them held at its
-    peak would count against the executor from then on.
+    peak would count against the executor from then on. Tasks that do not encode tokens
+    first let go of what earlier ones remember for it.
     """
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .tokens import forget
+
+        if not encodes:
+            forget()
         try:
             yield from run(batches)
         finally:
-            if end is not None:
-                end()
             pa.default_memory_pool().release_unused()
             try:
                 ctypes.CDLL(None).malloc_trim(0)

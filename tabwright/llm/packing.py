@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .common import ship, tidy
-from .tokens import default_tokenizer, encoder, forget, id_type, slices
+from .tokens import default_tokenizer, encoder, id_type, slices
 
 SEQUENCE_TOKENS = 1024
 BLOCK_TOKENS = 1 << 20
@@ -140,7 +140,7 @@ def _tokenized(docs: DataFrame, path: str, end_id: int, doc_id: str, text: str,
                 names=["part", "queue", "first", "id", "n_tokens", "ids"],
             )
 
-    return rows.mapInArrow(tidy(run, forget), schema)
+    return rows.mapInArrow(tidy(run, encodes=True), schema)
 
 
 def _weights(queues: list[str], tokens: np.ndarray, targets: Mapping[str | None, float] | None) -> np.ndarray:

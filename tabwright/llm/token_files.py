@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, new_shared_path
 from .common import partitions, ship, tidy
-from .tokens import default_tokenizer, encoder, forget, slices
+from .tokens import default_tokenizer, encoder, slices
 
 FRAME_BYTES = 1 << 18
 FILE_TOKENS = 1 << 25
@@ -221,7 +221,7 @@ def write_token_files(
             )
 
     found = rows.select("__id", "__text").mapInArrow(
-        tidy(run, forget), "part long, piece long, path string, n_docs long, n_tokens long"
+        tidy(run, encodes=True), "part long, piece long, path string, n_docs long, n_tokens long"
     )
     manifest = cut_lineage(found)
     # One row per file: a few numbers per hundred megabytes of text.

@@ -3,8 +3,8 @@
 A byte-level BPE never merges across the pieces its pre-tokenizer cuts, so a text may
 be cut before any blank or line break that stands alone and each part encoded once.
 ``Encoder`` keeps the ids of parts it has seen, ``MEMO`` at most and short ones only: when half is
-full, what is not asked for again until the other half is full is forgotten. A task forgets
-all at its end. Texts with other white space, or tokenizers of another kind, are encoded whole.
+full, what is not asked for again until the other half is full is forgotten. Tasks that
+encode keep the memo for the next ones; those of other operators empty it (``common.tidy``). Texts with other white space, or tokenizers of another kind, are encoded whole.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 # About 220 bytes each: a part's text, its ids and its place in the memo.
-MEMO = 300_000
+MEMO = 800_000
 LONG_PART = 48
 _encoders: dict[str, Encoder] = {}
 
