@@ -2,9 +2,9 @@
 
 A byte-level BPE never merges across the pieces its pre-tokenizer cuts, so a text may
 be cut before any blank or line break that stands alone and each part encoded once.
-``Encoder`` keeps the ids of parts it has seen, ``MEMO`` at most and short ones only: when half is
-full, what is not asked for again until the other half is full is forgotten. Tasks that
-encode keep the memo for the next ones; those of other operators empty it (``common.tidy``). Texts with other white space, or tokenizers of another kind, are encoded whole.
+``Encoder`` keeps the ids of parts it has seen (``MEMO`` entries at most, then it starts
+anew). Tasks that encode keep the memo for the next ones; those of other operators empty it
+(``common.tidy``). Texts with other white space, or tokenizers of another kind, are encoded whole.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 # About 220 bytes each: a part's text, its ids and its place in the memo.
-MEMO = 800_000
+MEMO = 1_200_000
 LONG_PART = 48
 _encoders: dict[str, Encoder] = {}
 
@@ -48,7 +48,6 @@ class Encoder:
         self.added = [t["content"] for t in spec.get("added_tokens") or ()]
         self.spaced: dict[str, bytes | None] = {}
         self.bare: dict[str, bytes | None] = {}
-        self.older: dict[int, dict[str, bytes | None]] = {0: {}, 1: {}}
         self.stops = {c: self._whole([c])[0] for c in ".,"}
         self.line_break = self._whole(["\n"])[0]
         # Tokens that begin with a blank (written so in byte-level vocabularies).
@@ -73,11 +72,8 @@ class Encoder:
 
     def _learn(self, parts: set[str], memo: dict[str, bytes | None], lead: str) -> None:
         fresh: dict[str, str] = {}
-        older = self.older[int(bool(lead))]
         for p in parts.difference(memo):
-            if p in older:
-                memo[p] = older[p]
-            elif p.split() != [p]:
+            if p.split() != [p]:
                 memo[p] = None  # other white space: such texts are encoded whole
             elif len(p) > 1 and p[-1] in ".," and (word := p[:-1]).isalpha():
                 fresh[p] = word
@@ -113,9 +109,9 @@ class Encoder:
         """The ids of each text as little-endian bytes of ``dtype``."""
         if not self.in_parts:
             return self._whole(texts)
-        if len(self.spaced) + len(self.bare) > MEMO // 2:
-            self.older = {0: self.bare, 1: self.spaced}
-            self.spaced, self.bare = {}, {}
+        if len(self.spaced) + len(self.bare) > MEMO:
+            self.spaced.clear()
+            self.bare.clear()
         split: list[list[list[str]] | None] = []
         spaced: set[str] = set()
         bare: set[str] = set()
@@ -155,7 +151,7 @@ class Encoder:
 def forget() -> None:
     """Empty the memos of the process's encoders."""
     for e in _encoders.values():
-        e.spaced, e.bare, e.older = {}, {}, {0: {}, 1: {}}
+        e.spaced, e.bare = {}, {}
 
 
 def encoder(path: str) -> Encoder:
