@@ -157,6 +157,9 @@ def fe_cyclical(spark, sf_dir):
 def fe_log(spark, sf_dir):
     table = read(spark, sf_dir, "events").select("event_id", "value", "user_id")
     made = numeric.fit_numeric_features(table, ["value", "user_id"]).transform(table)
+    if "value_log" not in made.columns:
+        # No logarithm is made of a column that is not positive or not skewed.
+        made = made.withColumn("value_log", F.lit(None).cast("double"))
     return rounded(made.select("event_id", "value", "user_id", "value_log"))
 
 

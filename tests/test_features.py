@@ -232,3 +232,15 @@ def test_prepared_table_is_literal_or_written(spark):
     table = spark.range(10).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     assert "LocalTableScan" in prepare(table).table._jdf.queryExecution().toString()
     assert "FileScan parquet" in prepare(table, max_rows=3).table._jdf.queryExecution().toString()
+
+
+def test_log_query_where_no_log_is_made(spark, tmp_path):
+    from __spark_entry__ import queries
+
+    # Skewed, but with a zero: the gate makes no column.
+    rows = [(k, float(k % 7 == 0) * k, k % 3) for k in range(50)] + [(50, None, 1)]
+    spark.createDataFrame(rows, "event_id long, value double, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    made = queries()["fe_log"](spark, str(tmp_path))
+    assert made.columns == ["event_id", "value", "user_id", "value_log"]
+    assert made.count() == 51 and made.where("value_log is not null").isEmpty()
+    assert made.schema["value_log"].dataType.typeName() == "double"
