@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import per_column
 from ..functions.scalar import log_likelihood, row_mean, weighted_sum
-from .metrics import ranked_auc
+from .weight_auc import class_counts, exact_auc
 
 MIN_BLEND = 2
 MIN_TOP = 3
 TOP = 5
 RANDOM_TRIALS = 200
 SCORE_BINS = 1024
+# So many candidates are ranked without another count by finer bins.
+FEW = 4
 
 
 def good_models(scores: DataFrame) -> DataFrame:
@@ -156,26 +158,15 @@ def search_weights_auc(
 ) -> DataFrame:
     """``(candidate, weights, auc)``: every candidate is scored on every row.
 
-    Each pass carries a few candidates, so a row is never widened by more.
+    Each pass deals the scores of a few candidates, which bounds what one shuffle holds.
     """
     rows = df.count()
+    numbered = [(k, [float(v) for v in w]) for k, w in enumerate(candidates)]
     out = None
-    for at in range(0, len(candidates), per_pass):
-        some = list(enumerate(candidates))[at : at + per_pass]
-        entries = [
-            F.struct(
-                F.lit(k).alias("candidate"),
-                weighted_sum(predictions, w).alias("score"),
-            )
-            for k, w in some
-        ]
-        long = df.select(y, F.inline(F.array(*entries)))
-        part = ranked_auc(long, y, ["candidate"], rows)
+    for at in range(0, len(numbered), per_pass):
+        part = exact_auc(df, y, predictions, numbered[at : at + per_pass], rows)
         out = part if out is None else out.unionByName(part)
-    table = df.sparkSession.createDataFrame(
-        [(k, [float(v) for v in w]) for k, w in enumerate(candidates)],
-        "candidate int, weights array<double>",
-    )
+    table = df.sparkSession.createDataFrame(numbered, "candidate int, weights array<double>")
     # One row per candidate on both sides.
     return out.join(F.broadcast(table), "candidate").select("candidate", "weights", "auc")
 
@@ -197,41 +188,32 @@ def best_weights_auc(
 ) -> DataFrame:
     """One row ``(candidate, weights, auc)``: the largest AUC (ties to the first), 200 random draws by default.
 
-    One pass counts the classes per score bin of every candidate, which combines before
-    the shuffle. Rows of one bin may be ranked either way, so the counts bound each AUC
-    from both sides; only candidates whose bounds reach the best one are ranked exactly.
+    One pass counts the classes per score bin of every candidate. Rows of one bin may be
+    ranked either way, so the counts bound each AUC from both sides; candidates whose bounds
+    reach the best one are counted again by finer bins while they are many, and ranked exactly.
     """
     tried = random_weights(len(predictions)) if candidates is None else list(candidates)
-    ends = df.agg(
-        *[F.min(F.least(*predictions)).alias("lo"), F.max(F.greatest(*predictions)).alias("hi")]
-        if len(predictions) > 1
-        else [F.min(predictions[0]).alias("lo"), F.max(predictions[0]).alias("hi")]
-    ).first()
-    if ends["lo"] is None:
-        return search_weights_auc(df, y, predictions, tried[:1])
-    width = (ends["hi"] - ends["lo"]) or 1.0
-    table = F.array(*[F.struct(F.lit(k).alias("candidate"), F.array(*map(F.lit, w)).alias("w")) for k, w in enumerate(tried)])
-    rows = df.select(y, *predictions, F.inline(table))
-    score = sum((F.col("w")[i] * F.col(p) for i, p in enumerate(predictions)), F.lit(0.0))
-    place = F.floor((score - ends["lo"]) / width * bins).cast("int")
-    counted = rows.groupBy("candidate", F.greatest(F.lit(0), F.least(F.lit(bins - 1), place)).alias("bin")).agg(
-        F.sum(y).cast("double").alias("pos"), F.sum(1 - F.col(y)).cast("double").alias("neg")
-    )
-    # At most ``bins`` rows per candidate reach this window. Neighbouring bins count as one
-    # for the bounds, so that rounding at a border does no harm.
-    order = Window.partitionBy("candidate").orderBy("bin")
-    upto = F.sum("neg").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    near = [F.coalesce(x, F.lit(0.0)) for x in (F.lag("neg").over(order), F.lead("neg").over(order))]
-    sums = counted.select(
-        "candidate", "pos", "neg", (upto - F.col("neg") - near[0]).alias("least"), (upto + near[1]).alias("most")
+    finite = [F.when(F.abs(x) < F.lit(float("inf")), x) for x in (F.col(p).cast("double") for p in predictions)]
+    ends = df.agg(*[f(x).alias(f"{n}{i}") for i, x in enumerate(finite) for n, f in (("lo", F.min), ("hi", F.max))]).first().asDict()
+    low, high = (
+        of([v for n, v in ends.items() if n.startswith(name) and v is not None], default=other)
+        for of, name, other in ((min, "lo", 0.0), (max, "hi", 1.0))
     )
-    both = F.try_divide(F.lit(1.0), F.sum("pos") * F.sum("neg"))
-    bounds = sums.groupBy("candidate").agg(
-        (F.sum(F.col("pos") * F.col("least")) * both).alias("low"),
-        (F.sum(F.col("pos") * F.col("most")) * both).alias("high"),
-    ).collect()  # one row per candidate
-    best = max((r["low"] for r in bounds if r["low"] is not None), default=None)
-    left = sorted(r["candidate"] for r in bounds if best is None or r["high"] >= best - 1e-12)
+    left, most = list(range(len(tried))), 4 * bins * len(tried)
+    while True:
+        numbered = [(k, [float(v) for v in tried[k]]) for k in left]
+        counted = class_counts(df, y, predictions, numbered, low, high, bins).collect()  # one row per candidate
+        pairs = {r["candidate"]: float(r["pos"]) * r["neg"] for r in counted}
+        if not any(pairs.values()):
+            # No AUC at all, or no rows: the first stands for all.
+            return search_weights_auc(df, y, predictions, tried[:1])
+        best = max(r["least"] / pairs[r["candidate"]] for r in counted if pairs[r["candidate"]])
+        left = sorted(r["candidate"] for r in counted if pairs[r["candidate"]] and r["most"] / pairs[r["candidate"]] >= best - 1e-12)
+        # What a task holds stays within four times the first pass.
+        finer = most // len(left)
+        if len(left) <= FEW or finer < 2 * bins:
+            break
+        bins = finer
     found = search_weights_auc(df, y, predictions, [tried[k] for k in left])
     number = F.get(F.array(*map(F.lit, left)), F.col("candidate"))
     return found.withColumn("candidate", number).orderBy(F.desc_nulls_last("auc"), "candidate").limit(1)

@@ -149,3 +149,36 @@ def test_best_weights_equal_a_full_search(spark):
     one = blend.best_weights_mse(df, "y", ["a", "b", "c"]).first()
     all_mse = blend.search_weights_mse(df, "y", ["a", "b", "c"], tried).agg(F.min("mse")).first()[0]
     assert one["mse"] == all_mse
+
+
+def test_exact_auc_over_many_ranges(spark):
+    from tabwright.operators.weight_auc import exact_auc
+
+    rng = random.Random(3)
+    rows = [(rng.choice([0, 1, 1, None]), rng.choice([0.25, 0.5, rng.random(), None]), rng.choice([rng.gauss(0, 1), float("nan"), 0.0])) for _ in range(900)]
+    df = spark.createDataFrame(rows, "y int, a double, b double").repartition(7)
+    tried = [(3, [1.0, 0.0]), (5, [0.0, 1.0]), (8, [0.5, 0.5])]
+
+    def won(p: float, n: float) -> float:
+        if math.isnan(p) or math.isnan(n):
+            return 0.5 if math.isnan(p) and math.isnan(n) else float(math.isnan(p))
+        return 0.5 if p == n else float(p > n)
+
+    for range_rows in (10, 200, 5000):
+        found = {r["candidate"]: r["auc"] for r in exact_auc(df, "y", ["a", "b"], tried, len(rows), range_rows).collect()}
+        for k, (u, v) in tried:
+            by = {t: [u * a + v * b for y, a, b in rows if y == t and a is not None] for t in (0, 1)}
+            want = sum(won(p, n) for p in by[1] for n in by[0]) / (len(by[0]) * len(by[1]))
+            assert found[k] == pytest.approx(want, abs=1e-12)
+
+
+def test_best_weights_with_missing_and_infinite_scores(spark):
+    """Once an error: a score that is no number has no bin."""
+    inf, nan = float("inf"), float("nan")
+    rows = [(1, nan, 0.0), (0, -inf, 0.5), (1, 0.7, 0.2), (0, 0.1, 0.3), (0, None, 0.1), (None, 0.5, 0.5), (1, inf, 0.4)]
+    df = spark.createDataFrame(rows, "y int, a double, b double")
+    best = blend.best_weights_auc(df, "y", ["a", "b"], [[0.1, 0.9], [0.9, 0.1]]).first()
+    assert best["candidate"] == 1 and best["auc"] == 1.0
+    alone = blend.best_weights_auc(df.where("y = 1"), "y", ["a", "b"], [[0.1, 0.9], [0.9, 0.1]]).first()
+    assert alone["candidate"] == 0 and alone["auc"] is None
+    assert blend.best_weights_auc(df.where("y = 7"), "y", ["a", "b"]).count() == 0
