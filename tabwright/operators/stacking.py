@@ -87,16 +87,19 @@ class StackLearner:
     parallelism: int = 2
 
     def fit(self, table: DataFrame, task: str) -> FittedStack:
-        base = fit_all(table, self.learners, task, self.parallelism)
+        folded = cut_lineage(_refold(table, self.folds, self.seed))
+        base = fit_all(folded.drop("fold"), self.learners, task, self.parallelism, written=True)
         passed = self._passed(table, base)
-        second = self.second_level(table, task, passed)
-        meta = fit_all(second, self.meta, task, self.parallelism)
+        second = self._second_level(folded, task, passed)
+        meta = fit_all(second, self.meta, task, self.parallelism, written=True)
         return FittedStack(base, meta, passed)
 
     def second_level(self, table: DataFrame, task: str, passed: Sequence[int] = ()) -> DataFrame:
         """The meta learners' training table, written once before they iterate over it."""
-        folded = _refold(table, self.folds, self.seed)
-        held = oof_predictions(folded, _hidden(self.learners), task, self.folds, self.parallelism)
+        return self._second_level(cut_lineage(_refold(table, self.folds, self.seed)), task, passed)
+
+    def _second_level(self, folded: DataFrame, task: str, passed: Sequence[int]) -> DataFrame:
+        held = oof_predictions(folded, _hidden(self.learners), task, self.folds, self.parallelism, written=True)
         wide = _meta_features(held, list(_hidden(self.learners)), passed)
         return cut_lineage(wide.select("key", "y", "features"))
 

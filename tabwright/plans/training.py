@@ -49,7 +49,8 @@ def train_models(
     """
     learners = dict(learners or default_learners(task))
     names = list(learners)
-    held = oof_predictions(table, learners, task, folds, parallelism)
+    table = cut_lineage(table)
+    held = oof_predictions(table, learners, task, folds, parallelism, written=True)
     held = cut_lineage(held.select("key", "y", "fold", *names))
     scores = fold_scores(held, "y", names, "fold", task)
     board = leaderboard(scores)
@@ -77,7 +78,7 @@ def train_models(
 
     predictions = None
     if test is not None:
-        made = predict_all(test, fit_all(table.drop("fold"), learners, task, parallelism))
+        made = predict_all(test, fit_all(table.drop("fold"), learners, task, parallelism, written=True))
         if best in makers:
             made = makers[best](made)
         predictions = made.drop("features")
