@@ -16,6 +16,8 @@ from ..functions.columns import per_column, quoted
 CLUSTERS = 5
 COMPONENTS = 5
 SEED = 42
+#: Rows of a part that the fit keeps: a split of a packed file holds many times its size in vectors.
+PART_ROWS = 1_000_000
 
 
 def _filled(c: str) -> Column:
@@ -28,6 +30,12 @@ def _vectors(df: DataFrame, exprs: Sequence[Column]) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="features").transform(table).select("features")
 
 
+def _dealt(vectors: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """``vectors`` in parts of about ``part_rows`` rows, however few splits they are read from."""
+    parts = -(-vectors.count() // part_rows)
+    return vectors.repartition(parts) if parts > 1 else vectors
+
+
 @dataclass
 class ClusterFeatures:
     """Nearest centre and the distance to every centre, as plain expressions."""
@@ -56,8 +64,8 @@ def fit_clusters(
     columns = list(columns)
     if len(columns) < 2:
         return ClusterFeatures(columns, [])
-    # The fit keeps its own compact copy of the vectors while it iterates.
-    model = KMeans(k=k, seed=seed).fit(_vectors(train, [_filled(c) for c in columns]))
+    # The fit keeps its own copy of the vectors while it iterates.
+    model = KMeans(k=k, seed=seed).fit(_dealt(_vectors(train, [_filled(c) for c in columns])))
     return ClusterFeatures(columns, [list(map(float, v)) for v in model.clusterCenters()])
 
 
