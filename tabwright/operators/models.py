@@ -163,15 +163,16 @@ def _together(spark: SparkSession, jobs: Sequence[Callable], parallelism: int) -
         return [f.result() for f in [pool.submit(wrap(j)) for j in jobs]]
 
 
-def fit_all(
-    table: DataFrame, learners: Mapping[str, Learner], task: str, parallelism: int = 2, written: bool = False
-) -> dict[str, Fitted]:
-    """Every learner fitted on the whole table, which is written first unless the caller has done so."""
-    table = table if written else cut_lineage(table)
-    _check_binary(table, task)
-    names = list(learners)
-    fits = _together(table.sparkSession, [lambda n=n: learners[n].fit(table, task) for n in names], parallelism)
-    return dict(zip(names, fits, strict=True))
+def fit_all(table: DataFrame, learners: Mapping[str, Learner], task: str, parallelism: int = 2) -> dict[str, Fitted]:
+    """Every learner fitted on the whole table."""
+    table = table.persist()
+    try:
+        _check_binary(table, task)
+        names = list(learners)
+        fits = _together(table.sparkSession, [lambda n=n: learners[n].fit(table, task) for n in names], parallelism)
+        return dict(zip(names, fits, strict=True))
+    finally:
+        table.unpersist()
 
 
 def predict_all(table: DataFrame, fitted: Mapping[str, Fitted]) -> DataFrame:
@@ -182,34 +183,32 @@ def predict_all(table: DataFrame, fitted: Mapping[str, Fitted]) -> DataFrame:
 
 
 def oof_predictions(
-    table: DataFrame,
-    learners: Mapping[str, Learner],
-    task: str,
-    folds: int = FOLDS,
-    parallelism: int = 2,
-    written: bool = False,
+    table: DataFrame, learners: Mapping[str, Learner], task: str, folds: int = FOLDS, parallelism: int = 2
 ) -> DataFrame:
     """``table`` with one out-of-fold prediction column per learner.
 
     Needs a ``fold`` column with values ``0 .. folds - 1``; any other value, or none,
-    raises an error. Every row is predicted by models that never saw its fold. The table is
-    written first unless the caller has done so: the fits and the union of the folds read
-    files, where each fold would make the table anew, all folds' shuffles in a few tasks.
+    raises an error. Every row is predicted by models that never saw its fold.
     """
-    table = table if written else cut_lineage(table)
-    inside = F.coalesce(F.col("fold").between(0, folds - 1), F.lit(False))
-    if outside := table.agg(F.count_if(~inside).alias("n")).first()["n"]:
-        raise ValueError(f"{outside} rows have a fold outside 0 to {folds - 1}")
-    _check_binary(table, task)
-    work = [(k, n) for k in range(folds) for n in learners]
-    fits = _together(
-        table.sparkSession,
-        [lambda k=k, n=n: learners[n].fit(table.where(F.col("fold") != k), task) for k, n in work],
-        parallelism,
-    )
+    table = table.persist()
+    try:
+        inside = F.coalesce(F.col("fold").between(0, folds - 1), F.lit(False))
+        if outside := table.agg(F.count_if(~inside).alias("n")).first()["n"]:
+            raise ValueError(f"{outside} rows have a fold outside 0 to {folds - 1}")
+        _check_binary(table, task)
+        work = [(k, n) for k in range(folds) for n in learners]
+        fits = _together(
+            table.sparkSession,
+            [lambda k=k, n=n: learners[n].fit(table.where(F.col("fold") != k), task) for k, n in work],
+            parallelism,
+        )
+        # The folds' union reads files: made anew for each fold, all shuffles would be read by a few tasks.
+        rows = cut_lineage(table)
+    finally:
+        table.unpersist()
     by_fold = dict(zip(work, fits, strict=True))
     held = [
-        predict_all(table.where(F.col("fold") == k), {n: by_fold[(k, n)] for n in learners})
+        predict_all(rows.where(F.col("fold") == k), {n: by_fold[(k, n)] for n in learners})
         for k in range(folds)
     ]
     return reduce(DataFrame.unionByName, held)
