@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations, combinations_with_replacement
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_columns, per_column, per_numeric_column, quoted
@@ -24,6 +24,8 @@ MAX_PRODUCTS = 10
 POLY_TOP = 10
 ROW_STATS_MIN = 3
 SCALE_MIN_MAX = 10
+# Derived columns of one scan: the code of more is too long for the JVM to compile.
+FEW = 4
 
 
 @dataclass(frozen=True)
@@ -193,13 +195,21 @@ class Scaling:
         return df.select(*[scaled(c) if c in self.params else quoted(c) for c in df.columns])
 
 
+def _by_few(train: DataFrame, columns: Sequence[str], make: Callable[[str], dict[str, Column]]) -> list[Row]:
+    """``per_column`` by a few columns at a time, each a scan of its own.
+
+    Derived columns are worked out for the statistic that reads them only, in compiled code; unpivoted
+    together, every one of them would be worked out anew for each column.
+    """
+    columns = list(columns)
+    return [r for at in range(0, len(columns), FEW) for r in per_column(train, columns[at : at + FEW], make).collect()]
+
+
 def fit_standard_scaling(train: DataFrame, columns: Sequence[str]) -> Scaling:
     """Mean and population standard deviation."""
     if not columns:
         return Scaling({})
-    rows = per_numeric_column(
-        train, columns, lambda c: {"m": F.avg(_x(c)), "s": F.stddev_pop(_x(c))}
-    ).collect()
+    rows = _by_few(train, columns, lambda c: {"m": F.avg(_x(c)), "s": F.stddev_pop(_x(c))})
     return Scaling({r["column"]: (r["m"], r["s"]) for r in rows if r["m"] is not None})
 
 
@@ -214,19 +224,10 @@ def scalable_columns(train: DataFrame, columns: Sequence[str] | None = None) ->
     columns = list(numeric_columns(train) if columns is None else columns)
     if not columns:
         return []
-    tops = {
-        r["column"]: r
-        for r in per_numeric_column(
-            train, columns, lambda c: {"lo": F.min(_x(c)), "hi": F.max(_x(c))}
-        ).collect()
-    }
+    tops = {r["column"]: r for r in _by_few(train, columns, lambda c: {"lo": F.min(_x(c)), "hi": F.max(_x(c))})}
     wide = [c for c in columns if tops[c]["hi"] is not None and tops[c]["hi"] > SCALE_MIN_MAX]
     # More than two values: some value lies strictly between the extremes.
-    between = per_column(
-        train,
-        wide,
-        lambda c: {"inner": F.count_if((_x(c) > tops[c]["lo"]) & (_x(c) < tops[c]["hi"]))},
-    ).collect() if wide else []
+    between = _by_few(train, wide, lambda c: {"inner": F.count_if((_x(c) > tops[c]["lo"]) & (_x(c) < tops[c]["hi"]))})
     return [r["column"] for r in between if r["inner"] > 0]
 
 

@@ -182,3 +182,32 @@ def test_best_weights_with_missing_and_infinite_scores(spark):
     alone = blend.best_weights_auc(df.where("y = 1"), "y", ["a", "b"], [[0.1, 0.9], [0.9, 0.1]]).first()
     assert alone["candidate"] == 0 and alone["auc"] is None
     assert blend.best_weights_auc(df.where("y = 7"), "y", ["a", "b"]).count() == 0
+
+
+def test_folds_are_united_from_files(spark):
+    """Each fold once made the table anew, with all its shuffles."""
+    made = spark.range(200).groupBy((F.col("id") % 40).alias("k")).agg(F.avg("id").alias("x"))
+    table = models.with_folds(models.feature_table(made.withColumn("y", F.col("x") * 2), "k", ["x"], "y"), 3)
+    held = models.oof_predictions(table, {"ridge": Learner("ridge")}, "regression", 3)
+    plan = held._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and held.count() == 40
+
+
+def test_cluster_vectors_are_dealt_into_parts(spark):
+    from tabwright.operators.reduce import _dealt
+
+    one = spark.range(1000).coalesce(1)
+    sizes = [r["n"] for r in _dealt(one, 100).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 1000 and len(sizes) == 10
+    assert _dealt(one, 1000).rdd.getNumPartitions() == 1
+
+
+def test_scaling_statistics_work_out_few_columns_at_once(spark):
+    from tabwright.operators import numeric
+
+    df = spark.range(50).select(*[(F.col("id") * (i + 1)).cast("double").alias(f"c{i}") for i in range(14)])
+    assert numeric.scalable_columns(df) == [f"c{i}" for i in range(14)]
+    found = numeric.fit_standard_scaling(df, df.columns).params
+    assert found["c13"][0] == pytest.approx(24.5 * 14) and len(found) == 14
+    rows = numeric._by_few(df, df.columns, lambda c: {"n": F.count(c)})
+    assert [r["column"] for r in rows] == df.columns
