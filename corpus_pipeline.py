@@ -30,7 +30,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the smallest id stays."""
+    """Of each group of near-duplicates (SimHash candidates, similarity 0.8 or more on five-word shingles) the smallest id stays."""
     return shingles.keep_one(docs)
 
 

@@ -7,7 +7,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from tabwright.llm import shingles
+from tabwright.llm import shingles, simhash
 from tests.llm.helpers import LOWER, SHINGLE_WORD, awkward, prose, table
 from tests.llm.test_groups import plain_components
 
@@ -64,3 +64,68 @@ def test_parts_are_those_of_all_pairs():
     want = plain_components(range(len(sets)), lambda a, b: similarity(sets[a], sets[b]) >= 0.8)
     got = shingles.parts_of([np.array(sorted(s), np.uint64) for s in sets])
     assert dict(enumerate(got.tolist())) == want
+
+
+def sets_around(bases, seed):
+    """Sets beside others of similarity 0.8 (the least that counts) and up, small ones among them."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(bases):
+        n = rng.choice([8, 9, 18, 36, 90, 360])
+        base = rng.sample(range(1 << 62), n)
+        swap = n // 9 if n % 9 == 0 else 0
+        out.append((base, base[swap:] + rng.sample(range(1 << 62), swap)) if swap else (base, base + rng.sample(range(1 << 62), n // 4)))
+    return out
+
+
+def test_candidates_come_from_fingerprints_at_a_wide_distance(spark):
+    pairs = sets_around(600, 5)
+    assert all(0.8 <= similarity(frozenset(a), frozenset(b)) < 0.801 for a, b in pairs)
+    rows = [(2 * i + k, simhash.sketch(np.array(sorted(s), np.uint64)).view(np.int64).tolist()) for i, p in enumerate(pairs) for k, s in enumerate(p)]
+    nodes = spark.createDataFrame(rows, "node long, fps array<long>")
+    # One fingerprint's four bits, as op5 takes them, lose nearly all of these pairs.
+    one = {n: f[0] for n, f in rows}
+    assert sum(((one[2 * i] ^ one[2 * i + 1]) & (1 << 64) - 1).bit_count() <= 4 for i in range(600)) < 60
+    found = {(r["a"], r["b"]) for r in simhash.wide_links(nodes).collect()}
+    assert found >= {(2 * i, 2 * i + 1) for i in range(600)}
+    # Unlike sets hardly ever link.
+    assert len(found) < 620
+    tied = spark.createDataFrame([(n, f, n // 2) for n, f in rows], "node long, fps array<long>, root long")
+    apart = {(r["a"], r["b"]) for r in simhash.wide_links(tied, apart=True).collect()}
+    assert apart == {(a, b) for a, b in found if a // 2 != b // 2}
+
+
+def test_bits_of_a_sketch_are_majorities():
+    own = np.array(sorted(random.Random(4).sample(range(1 << 62), 700)), np.uint64)
+    got = simhash.sketch(own)
+    for f in range(simhash.FINGERPRINTS):
+        each = simhash.mix(own * simhash._FACTORS[0][f] + simhash._FACTORS[1][f]).tolist()
+        assert int(got[f]) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in each) > len(each))
+
+
+def test_many_near_copies_link_without_all_pairs(spark):
+    rng = random.Random(9)
+    base = rng.sample(range(1 << 62), 300)
+    sets = [np.array(sorted(base[3:] + rng.sample(range(1 << 62), 3)), np.uint64) for _ in range(400)]
+    nodes = spark.createDataFrame([(i, simhash.sketch(s).view(np.int64).tolist()) for i, s in enumerate(sets)], "node long, fps array<long>")
+    found = simhash.wide_links(nodes).distinct()
+    # 8 tasks, each with a link a node at most, and mostly to the same one.
+    assert found.count() < 4 * 400
+    linked = {(r["a"], r["b"]) for r in found.collect()}
+    root = plain_components(range(400), lambda a, b: (b, a) in linked)
+    assert set(root.values()) == {0}
+
+
+def test_large_components_are_verified_in_blocks(spark):
+    """A chain whose neighbours are similar, near copies of one text, and texts that are candidates only."""
+    words = prose(77, 400).split()
+    rows = [(i, " ".join([*(f"new{j}" for j in range(8 * i)), *words[8 * i :]])) for i in range(30)]
+    rows += [(100 + i, " ".join([*prose(78, 200).split(), f"end{i}"])) for i in range(60)]
+    rows += [(200 + i, " ".join(w if k % 16 or k == 0 else f"own{i}x{k}" for k, w in enumerate(prose(79, 200).split()))) for i in range(40)]
+    sets = [plain_set(t) for _, t in rows]
+    root = plain_components(range(len(rows)), lambda a, b: similarity(sets[a], sets[b]) >= 0.8)
+    want = sorted(rows[r][0] for r in set(root.values()))
+    assert 0 in want and 29 not in want and 100 in want and 101 not in want and len(want) > 40
+    docs = table(spark, rows)
+    for part in (shingles.PART, 3000, 600, 1):
+        assert sorted(r["doc_id"] for r in shingles.keep_one(docs, part=part).collect()) == want
