@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from itertools import product
+from math import ceil
 from random import Random
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,15 +12,25 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import per_column
 from ..functions.scalar import log_likelihood, row_mean, weighted_sum
-from .weight_auc import class_counts, exact_auc
+from ..session import shuffles_freed
+from .weight_auc import RANGE_ROWS, class_counts, exact_auc, score_ranges
 
 MIN_BLEND = 2
 MIN_TOP = 3
 TOP = 5
 RANDOM_TRIALS = 200
 SCORE_BINS = 1024
-# So many candidates are ranked without another count by finer bins.
+# So many rivals share a pass of finer bins, at least, while there are as many.
 FEW = 4
+# More bins than a rival's distance asks for, as its place within its bounds is an estimate.
+SPARE = 1.25
+# Bins that did not tell so often will not tell: ties are in doubt however fine the bins.
+MOST_RECOUNTS = 2
+# Of an AUC, for the sums of doubles behind it.
+TOLERANCE = 1e-12
+# Candidates ranked together, and scores that any pass may deal.
+TOGETHER = 16
+AT_ONCE = TOGETHER * RANGE_ROWS
 
 
 def good_models(scores: DataFrame) -> DataFrame:
@@ -189,34 +200,77 @@ def best_weights_auc(
     """One row ``(candidate, weights, auc)``: the largest AUC (ties to the first), 200 random draws by default.
 
     One pass counts the classes per score bin of every candidate. Rows of one bin may be
-    ranked either way, so the counts bound each AUC from both sides; candidates whose bounds
-    reach the best one are counted again by finer bins while they are many, and ranked exactly.
+    ranked either way, so the counts bound each AUC from both sides. The most promising
+    candidate is ranked exactly; a rival whose bounds reach its AUC is counted again, by as
+    many bins as its distance asks for, and ranked exactly where bins cannot tell. A pass deals
+    no more scores than the rows hold predictions (or ``AT_ONCE``), and its files go when it ends.
     """
     tried = random_weights(len(predictions)) if candidates is None else list(candidates)
+    weights = {k: [float(v) for v in w] for k, w in enumerate(tried)}
     finite = [F.when(F.abs(x) < F.lit(float("inf")), x) for x in (F.col(p).cast("double") for p in predictions)]
-    ends = df.agg(*[f(x).alias(f"{n}{i}") for i, x in enumerate(finite) for n, f in (("lo", F.min), ("hi", F.max))]).first().asDict()
+    spread = [f(x).alias(f"{n}{i}") for i, x in enumerate(finite) for n, f in (("lo", F.min), ("hi", F.max))]
+    with shuffles_freed(df.sparkSession):
+        ends = df.agg(F.count(F.lit(1)).alias("rows"), *spread).first().asDict()
     low, high = (
         of([v for n, v in ends.items() if n.startswith(name) and v is not None], default=other)
         for of, name, other in ((min, "lo", 0.0), (max, "hi", 1.0))
     )
-    left, most = list(range(len(tried))), 4 * bins * len(tried)
-    while True:
-        numbered = [(k, [float(v) for v in tried[k]]) for k in left]
-        counted = class_counts(df, y, predictions, numbered, low, high, bins).collect()  # one row per candidate
-        pairs = {r["candidate"]: float(r["pos"]) * r["neg"] for r in counted}
-        if not any(pairs.values()):
-            # No AUC at all, or no rows: the first stands for all.
-            return search_weights_auc(df, y, predictions, tried[:1])
-        best = max(r["least"] / pairs[r["candidate"]] for r in counted if pairs[r["candidate"]])
-        left = sorted(r["candidate"] for r in counted if pairs[r["candidate"]] and r["most"] / pairs[r["candidate"]] >= best - 1e-12)
-        # What a task holds stays within four times the first pass.
-        finer = most // len(left)
-        if len(left) <= FEW or finer < 2 * bins:
-            break
-        bins = finer
-    found = search_weights_auc(df, y, predictions, [tried[k] for k in left])
-    number = F.get(F.array(*map(F.lit, left)), F.col("candidate"))
-    return found.withColumn("candidate", number).orderBy(F.desc_nulls_last("auc"), "candidate").limit(1)
+
+    def counted(cut: Mapping[int, int]) -> dict[int, tuple[float, float]]:
+        """The least and the largest AUC that each candidate may have, where there is one."""
+        found = class_counts(df, y, predictions, [(k, weights[k]) for k in cut], low, high, cut).collect()  # one row per candidate
+        pairs = {r["candidate"]: float(r["pos"]) * r["neg"] for r in found}
+        return {k: (r["least"] / pairs[k], r["most"] / pairs[k]) for r in found if pairs[k := r["candidate"]]}
+
+    def bins_to_tell(k: int) -> float:
+        """Bins by which a rival's bounds should no longer reach the best AUC: doubt falls as bins rise."""
+        gap = auc - sum(bounds[k]) / 2
+        if gap <= 0 or counts[k] > MOST_RECOUNTS:
+            return float("inf")
+        return max(2 * cut[k], ceil(SPARE * cut[k] * (bounds[k][1] - bounds[k][0]) / 2 / gap))
+
+    def rival(k: int) -> bool:
+        """Whether a candidate may be better than the best, or as good and before it."""
+        at_most = bounds[k][1]
+        return at_most >= auc - TOLERANCE and (at_most > auc or k < best)
+
+    # What a task holds stays within four times the first pass.
+    most, dealt = 4 * bins * len(tried), max(AT_ONCE, len(predictions) * ends["rows"])
+    with shuffles_freed(df.sparkSession):
+        cut, counts = dict.fromkeys(weights, bins), dict.fromkeys(weights, 1)
+        bounds = counted(cut)
+        # Until one is ranked, the AUC that some candidate has for sure.
+        best, auc = None, max((least for least, _ in bounds.values()), default=0.0)
+        left = {k for k, (_, at_most) in bounds.items() if at_most >= auc - TOLERANCE}
+        while left:
+            finer: dict[int, int] = {}
+            if best is not None:
+                # A rival that would take the pass from many others is ranked.
+                each = most // min(FEW, len(left))
+                for need, k in sorted((bins_to_tell(k), k) for k in left):
+                    if need > each or sum(finer.values()) + need > most:
+                        break
+                    finer[k] = int(need)
+            if finer:
+                cut |= finer
+                bounds |= counted(finer)
+                counts |= {k: counts[k] + 1 for k in finer}
+                left = {k for k in left if rival(k)}
+                continue
+            now = sorted(left, key=lambda k: (-sum(bounds[k]), k))[: 1 if best is None else TOGETHER]
+            edges, sizes = score_ranges(df, y, predictions, [(k, weights[k]) for k in now], ends["rows"])
+            while now:
+                some = [k for i, k in enumerate(now) if not i or sum(sizes[j] for j in now[: i + 1]) <= dealt]
+                ranked = exact_auc(df, y, predictions, [(k, weights[k]) for k in some], ends["rows"], edges=edges).collect()  # one row per candidate
+                known = [(-r["auc"], r["candidate"]) for r in ranked]
+                less, best = min(known if best is None else [(-auc, best), *known])
+                auc = -less
+                left = {k for k in left if k not in some and rival(k)}
+                now = [k for k in now if k in left]
+    if best is None:
+        # No AUC at all, or no rows: the first stands for all.
+        return search_weights_auc(df, y, predictions, tried[:1])
+    return df.sparkSession.createDataFrame([(best, weights[best], auc)], "candidate int, weights array<double>, auc double")
 
 
 def best_ensemble(scores: DataFrame, best_single: float) -> DataFrame:

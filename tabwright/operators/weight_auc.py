@@ -5,15 +5,18 @@ by vector and range, equal ones of a chunk as one with its count, so a group hol
 one vector. A pair of rows in different ranges is counted from the ranges' class counts, a pair
 within a range from its sorted scores. Rows with a missing prediction play no part, NaN is the
 largest score; a label is 1 or not 1, and rows without a label are in no pair.
+
+Arrays are shuffled byte by byte, the first bytes of all numbers first, and sorted scores as their
+differences: the upper bytes are alike, and the shuffle's compression takes them away.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import quoted
@@ -23,6 +26,8 @@ RANGE_ROWS = 500_000
 #: One of so many scores of a sorted chunk stands for its neighbours when ranges are cut.
 STRIDE = 256
 ACCURACY = 10_000
+#: Bins whose counts one group adds up.
+PIECE = 1024
 
 
 def _rows(df: DataFrame, y: str, predictions: Sequence[str]) -> DataFrame:
@@ -75,82 +80,140 @@ def _per_chunk(rows: DataFrame, candidates: Sequence[tuple[int, Sequence[float]]
     return rows.mapInArrow(run, schema)
 
 
+def _packing() -> tuple[Callable[[np.ndarray], bytes], Callable[[bytes], np.ndarray]]:
+    """``pack`` gives the bytes of 8-byte integers by their place in the number; ``unpack`` undoes it."""
+
+    def pack(values: np.ndarray) -> bytes:
+        return values.astype(np.int64, copy=False).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+    def unpack(data: bytes) -> np.ndarray:
+        return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, len(data) // 8).T).view(np.int64).ravel()
+
+    return pack, unpack
+
+
+def _below(parts: DataFrame, place: str) -> DataFrame:
+    """Add ``below``, the negatives of the candidate's lower places; there is one row per place."""
+    before = Window.partitionBy("candidate").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    return parts.withColumn("below", F.coalesce(F.sum("neg").over(before), F.lit(0)))
+
+
 def class_counts(
-    df: DataFrame, y: str, predictions: Sequence[str], candidates: Sequence[tuple[int, Sequence[float]]], low: float, high: float, bins: int
+    df: DataFrame, y: str, predictions: Sequence[str], candidates: Sequence[tuple[int, Sequence[float]]], low: float, high: float, bins: Mapping[int, int]
 ) -> DataFrame:
-    """``(candidate, pos, neg, least, most)``: pairs that are won for sure, and that may be won, by ``bins`` bins.
+    """``(candidate, pos, neg, least, most)``: pairs that are won for sure, and that may be won, by each candidate's ``bins``.
 
-    Bins rise with the score, so only pairs of one bin are in doubt. A task sums its bins in arrays
-    and gives one row per candidate.
+    Bins rise with the score, so only pairs of one bin are in doubt. A task sums its bins in arrays,
+    which are added up by pieces. Without a labelled row there is no row.
     """
     width = (high - low) or 1.0
+    pack, unpack = _packing()
+    piece = PIECE
 
     def start():
         # The last bin is for NaN.
-        counts = {k: np.zeros(2 * (bins + 1), np.int64) for k, _ in candidates}
+        counts = {k: np.zeros(2 * (bins[k] + 1), np.int64) for k, _ in candidates}
 
         def add(truth, scores):
             known, one = truth >= 0, truth == 1
-            every, at = bool(known.all()), one * (bins + 1)
+            every = bool(known.all())
             for k, s in scores:
-                place = np.clip((s - low) / width * bins, 0, bins - 1)
+                n = bins[k]
+                place = np.clip((s - low) / width * n, 0, n - 1)
                 nan = np.isnan(s)
                 if nan.any():
-                    place[nan] = bins
-                place = place.astype(np.int64) + at
-                counts[k] += np.bincount(place if every else place[known], minlength=2 * (bins + 1))
+                    place[nan] = n
+                place = place.astype(np.int64) + one * (n + 1)
+                counts[k] += np.bincount(place if every else place[known], minlength=2 * (n + 1))
             return ()
 
         def end():
-            keys = list(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([counts[k].tobytes() for k in keys], pa.binary())], names=["candidate", "counts"])
+            for k, c in counts.items():
+                both = c.reshape(2, -1)
+                pieces = [(j, some) for j in range(-(-both.shape[1] // piece)) if (some := both[:, j * piece : (j + 1) * piece]).any()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k] * len(pieces), pa.int32()), pa.array([j for j, _ in pieces], pa.int32()), pa.array([pack(some.ravel()) for _, some in pieces], pa.binary())],
+                    names=["candidate", "piece", "counts"],
+                )
 
         return add, end
 
-    parts = _per_chunk(_rows(df, y, predictions), candidates, 1 << 16, start, "candidate int, counts binary")
+    parts = _per_chunk(_rows(df, y, predictions), candidates, 1 << 16, start, "candidate int, piece int, counts binary")
 
     def bounds(table: pa.Table) -> pa.Table:
-        total = np.zeros(2 * (bins + 1), np.int64)
-        for c in table.column("counts"):
-            total += np.frombuffer(c.as_py(), np.int64)
-        neg, pos = total[: bins + 1], total[bins + 1 :]
+        neg, pos = sum(unpack(c.as_py()) for c in table.column("counts")).reshape(2, -1)
         below = np.cumsum(neg) - neg
-        least, most = float(pos @ below), float(pos @ (below + neg))
         return pa.table(
-            {"candidate": pa.array([table.column("candidate")[0].as_py()], pa.int32()), "pos": [int(pos.sum())], "neg": [int(neg.sum())], "least": [least], "most": [most]}
+            {
+                "candidate": pa.array([table.column("candidate")[0].as_py()], pa.int32()),
+                "piece": pa.array([table.column("piece")[0].as_py()], pa.int32()),
+                "pos": [int(pos.sum())],
+                "neg": [int(neg.sum())],
+                "least": [float(pos @ below)],
+                "most": [float(pos @ (below + neg))],
+            }
         )
 
-    return parts.groupBy("candidate").applyInArrow(bounds, "candidate int, pos long, neg long, least double, most double")
+    summed = parts.groupBy("candidate", "piece").applyInArrow(bounds, "candidate int, piece int, pos long, neg long, least double, most double")
+    sure = F.col("pos").cast("double") * F.col("below")
+    return _below(summed, "piece").groupBy("candidate").agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum(F.col("least") + sure).alias("least"), F.sum(F.col("most") + sure).alias("most")
+    )
+
 
+def score_ranges(
+    df: DataFrame, y: str, predictions: Sequence[str], candidates: Sequence[tuple[int, Sequence[float]]], count: int, range_rows: int = RANGE_ROWS
+) -> tuple[dict[int, np.ndarray], dict[int, int]]:
+    """Cuts of every candidate's scores into equal parts of about ``range_rows``, and how many scores :func:`exact_auc` deals, about.
 
-def _edges(rows: DataFrame, candidates: Sequence[tuple[int, Sequence[float]]], ranges: int) -> dict[int, np.ndarray]:
-    """Cuts of every candidate's scores into about ``ranges`` equal parts; results do not depend on them."""
+    Results do not depend on the cuts. ``count`` is the rows of ``df``, about; those of one range need no cuts.
+    """
+    ranges = -(-count // range_rows)
     if ranges < 2:
-        return {}
+        return {}, {k: count for k, _ in candidates}
     stride = STRIDE
 
     def start():
         def add(truth, scores):
             for k, s in scores:
-                some = np.sort(s)[min(stride // 2, len(s) // 2) :: stride]
+                s = np.sort(s)
+                some = s[min(stride // 2, len(s) // 2) :: stride]
                 some = some[np.isfinite(some)]
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([some], pa.list_(pa.float64()))], names=["candidate", "some"])
+                # The number of different scores comes once.
+                levels = np.zeros(max(1, len(some)), np.int64)
+                levels[0] = 1 + np.count_nonzero(s[1:] != s[:-1])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k] * len(levels), pa.int32()), pa.array(some if len(some) else [None], pa.float64()), pa.array(levels)], names=["candidate", "v", "levels"]
+                )
 
         return add, lambda: ()
 
-    some = _per_chunk(rows, candidates, 1 << 18, start, "candidate int, some array<double>").select("candidate", F.explode("some").alias("v"))
+    some = _per_chunk(_rows(df, y, predictions), candidates, 1 << 18, start, "candidate int, v double, levels long")
     probs = [i / ranges for i in range(1, ranges)]
-    found = some.groupBy("candidate").agg(F.percentile_approx("v", probs, ACCURACY).alias("cuts")).collect()  # one row per candidate
-    return {r["candidate"]: np.unique(np.array(r["cuts"], np.float64)) for r in found}
+    # One row per candidate.
+    found = some.groupBy("candidate").agg(F.percentile_approx("v", probs, ACCURACY).alias("cuts"), F.sum("levels").alias("levels")).collect()
+    cuts = {r["candidate"]: np.unique(np.array(r["cuts"] or [], np.float64)) for r in found}
+    return cuts, {r["candidate"]: r["levels"] for r in found}
 
 
 def exact_auc(
-    df: DataFrame, y: str, predictions: Sequence[str], candidates: Sequence[tuple[int, Sequence[float]]], count: int, range_rows: int = RANGE_ROWS
+    df: DataFrame,
+    y: str,
+    predictions: Sequence[str],
+    candidates: Sequence[tuple[int, Sequence[float]]],
+    count: int,
+    range_rows: int = RANGE_ROWS,
+    edges: Mapping[int, np.ndarray] | None = None,
 ) -> DataFrame:
-    """``(candidate, auc)`` of numbered weight vectors, ties counted half; ``count`` is the rows of ``df``, about."""
+    """``(candidate, auc)`` of numbered weight vectors, ties counted half; ``count`` is the rows of ``df``, about.
+
+    ``edges`` are the cuts of :func:`score_ranges` where the caller has them.
+    """
     rows = _rows(df, y, predictions)
-    edges = _edges(rows, candidates, -(-count // range_rows))
+    if edges is None:
+        edges = score_ranges(df, y, predictions, candidates, count, range_rows)[0]
     none = np.zeros(0)
+    pack, unpack = _packing()
 
     def start():
         def add(truth, scores):
@@ -166,8 +229,8 @@ def exact_auc(
                         if a < b:
                             ranges.append(j)
                             classes.append(positive)
-                            levels.append(v[a:b].tobytes())
-                            counts.append(n[a:b].astype(np.int64).tobytes() if (n[a:b] > 1).any() else b"")
+                            levels.append(pack(np.diff(v[a:b].view(np.int64), prepend=0)))
+                            counts.append(pack(n[a:b]) if (n[a:b] > 1).any() else b"")
                 if not ranges:
                     # No labels here: the candidate still has its row.
                     ranges, classes, levels, counts = [0], [True], [b""], [b""]
@@ -192,9 +255,9 @@ def exact_auc(
             levels, counts = [none], [np.zeros(0, np.int64)]
             for p, v, n in zip(table.column("positive"), table.column("levels"), table.column("counts"), strict=True):
                 if p.as_py() == positive:
-                    own, many = np.frombuffer(v.as_py(), np.float64), n.as_py()
+                    own, many = np.cumsum(unpack(v.as_py())).view(np.float64), n.as_py()
                     levels.append(own)
-                    counts.append(np.frombuffer(many, np.int64) if many else np.ones(len(own), np.int64))
+                    counts.append(unpack(many) if many else np.ones(len(own), np.int64))
             v, n = np.concatenate(levels), np.concatenate(counts)
             order = np.argsort(v)
             return v[order], n[order]
@@ -213,10 +276,7 @@ def exact_auc(
         )
 
     parts = dealt.groupBy("candidate", "range").applyInArrow(within, "candidate int, range int, pos long, neg long, won double")
-    # One row per range.
-    before = Window.partitionBy("candidate").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    below: Column = F.coalesce(F.sum("neg").over(before), F.lit(0))
-    summed = parts.withColumn("below", below).groupBy("candidate").agg(
+    summed = _below(parts, "range").groupBy("candidate").agg(
         F.sum(F.col("won") + F.col("pos").cast("double") * F.col("below")).alias("won"),
         (F.sum("pos").cast("double") * F.sum("neg")).alias("pairs"),
     )

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,3 +58,33 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = new_shared_path(spark, "stage")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock = threading.Lock()
+_inside: list[str | None] = []
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query that ends inside go at once, not when the driver happens to collect garbage.
+
+    For passes whose results are fetched. It holds for the whole session: a query that another
+    thread runs meanwhile makes its shuffles again if it is run again.
+    """
+    with _lock:
+        if not _inside:
+            _inside.append(spark.conf.get(_FREED, None))
+            spark.conf.set(_FREED, "true")
+        else:
+            _inside.append(None)
+    try:
+        yield
+    finally:
+        with _lock:
+            if len(_inside) > 1:
+                _inside.pop()
+            elif (was := _inside.pop()) is None:
+                spark.conf.unset(_FREED)
+            else:
+                spark.conf.set(_FREED, was)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,6 +185,102 @@ def test_best_weights_with_missing_and_infinite_scores(spark):
     assert blend.best_weights_auc(df.where("y = 7"), "y", ["a", "b"]).count() == 0
 
 
+def _aucs(rows, tried):
+    """AUC of every weight vector, pair by pair."""
+    y, xs = np.array([r[0] for r in rows]), np.array([r[1:] for r in rows]).T
+    found = []
+    for w in tried:
+        total = xs[0] * w[0]
+        for x, v in zip(xs[1:], w[1:], strict=True):
+            total = total + x * v
+        p, n = total[y == 1][:, None], total[y == 0][None, :]
+        found.append(float((p > n).mean() + (p == n).mean() / 2))
+    return found
+
+
+def test_best_weights_deal_few_scores_at_a_time(spark, monkeypatch):
+    """Near-equal candidates were once all dealt at once: 9 GB of shuffle files for 54 million rows."""
+    rng = random.Random(5)
+    rows = [(rng.randint(0, 1), rng.random(), rng.randint(0, 96) / 97, rng.randint(0, 10) / 11) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "y int, a double, b double, c double").repartition(5)
+    every, dealt, exact = _aucs(rows, blend.random_weights(3)), [], blend.exact_auc
+
+    def recorded(df, y, predictions, candidates, *given, **named):
+        dealt.append(len(candidates))
+        return exact(df, y, predictions, candidates, *given, **named)
+
+    monkeypatch.setattr(blend, "exact_auc", recorded)
+    monkeypatch.setattr(blend, "AT_ONCE", 0, raising=False)
+    for bins in (1024, 8):
+        dealt.clear()
+        best = blend.best_weights_auc(df, "y", ["a", "b", "c"], bins=bins).first()
+        assert best["auc"] == pytest.approx(max(every), abs=1e-12)
+        assert every[best["candidate"]] == pytest.approx(max(every), abs=1e-12)
+        assert max(dealt) <= 3
+
+
+@pytest.mark.parametrize("at_once", [0, 10**9])
+def test_best_weights_among_equals_are_the_first(spark, monkeypatch, at_once):
+    """Few levels stay in doubt however fine the bins; of equal AUC the first counts."""
+    rng = random.Random(6)
+    noise = [(k % 2, rng.randint(0, 2) / 2, rng.randint(0, 2) / 2) for k in range(300)]
+    apart = [(k % 2, k % 2 + rng.random() / 4, k % 2 + rng.random() / 4) for k in range(200)]
+    monkeypatch.setattr(blend, "AT_ONCE", at_once, raising=False)
+    tried = [[0.0, 1.0], [0.5, 0.5], [1.0, 0.0], [0.25, 0.75], [0.75, 0.25], [1.0, 0.0], [0.5, 0.5]]
+    for rows in (noise, [(y, -a, -b) for y, a, b in noise], apart, [(1 - y, a, b) for y, a, b in apart]):
+        df = spark.createDataFrame(rows, "y int, a double, b double")
+        every = _aucs(rows, tried)
+        for bins in (2, 1024):
+            best = blend.best_weights_auc(df, "y", ["a", "b"], tried, bins=bins).first()
+            assert (best["candidate"], best["auc"]) == (every.index(max(every)), pytest.approx(max(every), abs=1e-12))
+            assert list(best["weights"]) == tried[best["candidate"]]
+
+
+def test_class_counts_bound_the_auc_by_pieces(spark):
+    from tabwright.operators.weight_auc import PIECE, class_counts
+
+    rng = random.Random(7)
+    rows = [(rng.randint(0, 1), rng.random(), rng.choice([0.5, rng.random()])) for _ in range(600)]
+    df = spark.createDataFrame(rows, "y int, a double, b double").repartition(3)
+    tried, cut = [(2, [1.0, 0.0]), (9, [0.5, 0.5]), (4, [0.0, 1.0])], {2: 10, 9: 5 * PIECE + 3, 4: PIECE}
+    found = {r["candidate"]: r for r in class_counts(df, "y", ["a", "b"], tried, 0.0, 1.0, cut).collect()}
+    for k, (u, v) in tried:
+        at = [(y, int(min((u * a + v * b) * cut[k], cut[k] - 1))) for y, a, b in rows]
+        below = sum(p > n for t, p in at if t for s, n in at if not s)
+        tied = sum(p == n for t, p in at if t for s, n in at if not s)
+        r = found[k]
+        assert (r["pos"], r["neg"]) == (sum(t for t, _ in at), sum(1 - t for t, _ in at))
+        assert (r["least"], r["most"]) == (below, below + tied)
+
+
+def test_shuffle_files_go_when_a_query_ends(spark):
+    import time
+    from pathlib import Path
+
+    from tabwright.session import shuffles_freed
+
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+
+    def files() -> set[str]:
+        return {p.name for d in dirs for p in Path(str(d)).glob("*/shuffle_*.data")}
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, before = spark.conf.get(setting, None), files()
+    rng = random.Random(9)
+    rows = [(rng.randint(0, 1), rng.random(), rng.random()) for _ in range(500)]
+    df = spark.createDataFrame(rows, "y int, a double, b double").repartition(4)
+    with pytest.raises(ZeroDivisionError), shuffles_freed(spark), shuffles_freed(spark):
+        assert spark.conf.get(setting) == "true"
+        raise ZeroDivisionError
+    assert spark.conf.get(setting, None) == was
+    blend.best_weights_auc(df, "y", ["a", "b"])
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before
+    assert spark.conf.get(setting, None) == was
+
+
 def test_folds_are_united_from_files(spark):
     """Each fold once made the table anew, with all its shuffles."""
     made = spark.range(200).groupBy((F.col("id") % 40).alias("k")).agg(F.avg("id").alias("x"))
